@@ -21,8 +21,8 @@ RELATIONS = {
     "b_items": """
         SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id,
                o_custkey + l_linenumber % 2 AS seller_id,
-               l_extendedprice::DECIMAL(12,2) AS price,
-               l_extendedprice::DECIMAL(12,2) * l_discount::DECIMAL(4,2) AS freight
+               round(l_extendedprice * 100) * 100 AS price,
+               round(l_extendedprice * 100) * round(l_discount * 100) AS freight
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         WHERE (o_custkey + l_linenumber % 2) % 50 <> 0""",
     "b_reviews": """
@@ -58,7 +58,7 @@ RELATIONS = {
         summed AS (
             SELECT seller_id, count(DISTINCT order_id) AS n_orders, count(DISTINCT product_id) AS n_products,
                    avg(actual_days) AS mean_days, avg(score) AS mean_score,
-                   sum(price)::DOUBLE AS revenue, sum(freight)::DOUBLE AS freight
+                   sum(price) AS revenue, sum(freight) AS freight
             FROM row_by_row GROUP BY seller_id)
         SELECT s.seller_id, s.seller_city, s.seller_state, n_orders AS total_orders,
                n_products AS unique_products, round(mean_days, 2) AS avg_delivery_days,

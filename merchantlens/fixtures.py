@@ -6,7 +6,7 @@ Every frame is a plain transformation of the given parquet tables, so work on it
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 from merchantlens.operators.skew import hot_keys
 from merchantlens.sources.indicator_pages import INDICATORS
 
+# Columns of the test tables that are used; a declared schema spares a file footer read per table.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_extendedprice double,"
+    " l_discount double",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 PAGE_SIZE = 100
 FIRST_YEAR, LAST_YEAR = 2018, 2023
 
@@ -24,7 +35,7 @@ class BronzeFixture:
     folder: str
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @property
     def sellers(self) -> DataFrame:
@@ -60,8 +71,9 @@ class BronzeFixture:
 
     @property
     def items(self) -> DataFrame:
+        """Order items with money in hundredths of a cent: whole doubles, exact in any summing order."""
         buyers = self.given("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-        price = F.col("l_extendedprice").cast("decimal(12,2)")
+        cents = F.rint(F.col("l_extendedprice") * 100)
         return (
             self.given("lineitem")
             .join(buyers, "l_orderkey")
@@ -70,8 +82,8 @@ class BronzeFixture:
                 F.col("l_linenumber").alias("order_item_id"),
                 F.col("l_partkey").alias("product_id"),
                 (F.col("o_custkey") + F.col("l_linenumber") % 2).alias("seller_id"),
-                price.alias("price"),
-                (price * F.col("l_discount").cast("decimal(4,2)")).alias("freight_value"),
+                (cents * 100).alias("price"),
+                (cents * F.rint(F.col("l_discount") * 100)).alias("freight_value"),
             )
             .where(F.col("seller_id") % 50 != 0)
         )
@@ -165,7 +177,6 @@ class BronzeFixture:
 
 
 def _shift(days: Column | None = None, hours: Column | None = None) -> Column:
-    zero = F.lit(0)
-    return F.make_dt_interval(
-        zero if days is None else days.cast("int"), zero if hours is None else hours.cast("int")
-    )
+    parts = [(days, "DAY"), (hours, "HOUR")]
+    intervals = [F.expr(f"INTERVAL '1' {unit}") * n for n, unit in parts if n is not None]
+    return reduce(Column.__add__, intervals)

@@ -30,10 +30,10 @@ def gold_supplier_performance(
     An order with several reviews counts its items once per review, in revenue and freight too, and
     a repeated seller row counts them again; only the two distinct counts are free of that.
 
-    One row per item and order is split into an "order" grain (the sums) and a "product" grain (the
-    product id), so both distinct counts come out of one pass: orders where the join left them, by
-    order id, and products after a shuffle of distinct (seller, product) pairs. No single seller's
-    rows ever meet in one task.
+    Every joined item row is taken twice, once for its order with the sums and once for its product
+    id, so both distinct counts come out of one pass: orders where the join left them, by order id,
+    and products after a shuffle of distinct (seller, product) pairs. No single seller's rows ever
+    meet in one task.
     """
     deliveries = silver_orders.select(
         "order_id", F.col("actual_delivery_days").alias("delivery_days"), F.lit(0).alias("is_late")
@@ -45,15 +45,15 @@ def gold_supplier_performance(
     sold = items.where(F.col("seller_id").isNotNull()).select(
         "order_id", "seller_id", "product_id", "price", "freight_value"
     )
-    parts = [_order_and_product_grains(part) for part in lookup_join(sold, "order_id", sides, hot_orders)]
+    parts = [_orders_and_products(part) for part in lookup_join(sold, "order_id", sides, hot_orders)]
     per_product = (
         union_all(parts)
-        .groupBy("seller_id", "grain", "product_id")
+        .groupBy("seller_id", "for_order", "product_id")
         .agg(F.count(F.lit(1)).alias("orders"), *[F.sum(name).alias(name) for name in _SUMS])
     )
     per_seller = per_product.groupBy("seller_id").agg(
-        F.sum(F.when(F.col("grain") == "order", F.col("orders"))).alias("total_orders"),
-        F.count(F.when(F.col("grain") == "product", F.col("product_id"))).alias("unique_products"),
+        F.sum(F.when(F.col("for_order"), F.col("orders"))).alias("total_orders"),
+        F.count(F.when(~F.col("for_order"), F.col("product_id"))).alias("unique_products"),
         *[F.sum(name).alias(name) for name in _SUMS],
     )
     known = sellers.groupBy("seller_id", "seller_city", "seller_state").agg(
@@ -76,8 +76,8 @@ def gold_supplier_performance(
 _SUMS = ["revenue", "freight", "days", "days_weight", "scores", "scores_weight"]
 
 
-def _order_and_product_grains(joined: DataFrame) -> DataFrame:
-    """(seller, order) rows with the sums, and (seller, order, product) rows with the product id."""
+def _orders_and_products(joined: DataFrame) -> DataFrame:
+    """(seller, order) rows with the sums, and (seller, order, product) rows without."""
     reviews = F.greatest(F.coalesce("review_rows", F.lit(0)), F.lit(1))
     copies = F.col("order_rows") * reviews
     sums = {
@@ -88,16 +88,16 @@ def _order_and_product_grains(joined: DataFrame) -> DataFrame:
         "scores": F.col("score_sum") * F.col("order_rows"),
         "scores_weight": F.col("score_rows") * F.col("order_rows"),
     }
-    order_grain = F.col("grain") == "order"
+    for_order = F.col("for_order")
     return (
-        joined.withColumn("grain", F.explode(F.array(F.lit("order"), F.lit("product"))))
+        joined.withColumn("for_order", F.explode(F.array(F.lit(True), F.lit(False))))
         .groupBy(
             "seller_id",
             "order_id",
-            "grain",
-            F.when(~order_grain, F.col("product_id")).alias("product_id"),
+            "for_order",
+            F.when(~for_order, F.col("product_id")).alias("product_id"),
         )
-        .agg(*[F.sum(F.when(order_grain, value)).alias(name) for name, value in sums.items()])
+        .agg(*[F.sum(F.when(for_order, value)).alias(name) for name, value in sums.items()])
     )
 
 

@@ -1,0 +1,55 @@
+from __future__ import annotations
+
+import sys
+import uuid
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parent.parent
+sys.path.insert(0, str(ROOT))
+
+from merchantlens.session import build_session  # noqa: E402
+from merchantlens.sources.tables import Layers  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = build_session(
+        "tests",
+        "local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+        },
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture()
+def layers(spark, tmp_path):
+    tag = uuid.uuid4().hex[:12]
+    names = Layers(f"bronze_{tag}", f"silver_{tag}", f"gold_{tag}", str(tmp_path / "layers"))
+    names.create(spark)
+    return names
+
+
+@pytest.fixture()
+def set_conf(spark):
+    """Set session settings for one test."""
+    before: dict[str, str | None] = {}
+
+    def apply(**settings: str) -> None:
+        for key, value in settings.items():
+            name = key.replace("__", ".")
+            before.setdefault(name, spark.conf.get(name, None))
+            spark.conf.set(name, value)
+
+    yield apply
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
