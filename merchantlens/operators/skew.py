@@ -32,7 +32,7 @@ def planned_input_bytes(df: DataFrame) -> int:
 
 
 def hot_keys(df: DataFrame, key: str, small_input_bytes: int = SMALL_INPUT_BYTES) -> list:
-    """Keys that hold at least ``HOT_SHARE`` of the rows; none on a small input.
+    """Keys that hold at least ``HOT_SHARE`` of the rows; none on an input known to be small.
 
     One pass over the key column alone: partial sketches are merged, nothing is shuffled by key and
     at most 500 values reach the driver. The sketch only decides which way a key is joined; a key

@@ -122,18 +122,18 @@ def gold_supplier_risk(silver_sellers: DataFrame) -> DataFrame:
 def gold_concentration_risk(silver_sellers: DataFrame) -> DataFrame:
     """Each state's share of all orders (an order counts once per seller), largest first.
 
-    The grand total is a scalar subquery over the state rows: it reuses their shuffle and needs
-    neither a cross join nor a second pass over the sellers.
+    The grand total is a scalar subquery on the per-seller sums. Both readers of those sums need
+    all their columns, so the subquery reuses their shuffle: no cross join, no second computation.
     """
-    by_state = (
+    per_seller = (
         _active(silver_sellers)
-        .groupBy("seller_state")
-        .agg(
-            F.count_distinct("seller_id").alias("total_sellers"),
-            F.sum("total_orders").alias("total_orders"),
-        )
+        .groupBy("seller_state", "seller_id")
+        .agg(F.sum("total_orders").alias("orders"))
+    )
+    by_state = per_seller.groupBy("seller_state").agg(
+        F.count("seller_id").alias("total_sellers"), F.sum("orders").alias("total_orders")
     )
-    all_orders = by_state.agg(F.sum("total_orders").alias("all_orders")).scalar()
+    all_orders = per_seller.agg(F.sum("orders").alias("all_orders")).scalar()
     share = ratio(F.col("total_orders"), all_orders)
     return by_state.select(
         "seller_state",

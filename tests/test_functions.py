@@ -61,7 +61,7 @@ ANSWERS = [
     "text ACTION: inside a line",
     "x\x0bACTION: vt\x0cACTION: ff\x1cACTION: fs\x1dACTION: gs\x1eACTION: rs",
     "x\u2028ACTION: ls\u2029ACTION: ps\u0085ACTION: nel",
-    " 　ACTION: wide \t\x1f",
+    "\u00a0\u3000ACTION:\u00a0wide\u2003\t\x1f",
     "ACTıON: dotless i",
     "- ACTION: dash",
 ]
