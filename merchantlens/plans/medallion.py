@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from merchantlens.operators.skew import hot_keys
@@ -27,7 +29,10 @@ _BRONZE_SELLERS, _BRONZE_ORDERS = ("bronze", "sellers"), ("bronze", "orders")
 _BRONZE_ITEMS, _BRONZE_REVIEWS = ("bronze", "order_items"), ("bronze", "order_reviews")
 _SILVER_SELLERS, _SILVER_ORDERS = ("silver", "silver_sellers"), ("silver", "silver_orders")
 
-# Every model comes after the models it reads.
+# Models of one layer whose jobs may run at the same time.
+PARALLEL_MODELS = 4
+
+# Every model comes after the models it reads, which are all in an earlier layer.
 MODELS: dict[str, Model] = {
     "silver_orders": Model("silver", (_BRONZE_ORDERS,), silver.silver_orders),
     "silver_sellers": Model(
@@ -70,7 +75,8 @@ def build_models(
     """Build models into tables, full refresh; returns the rows stored per model.
 
     Silver is stored before gold reads it, so the three models on ``silver_sellers`` do not compute
-    it again. All inputs that are not built here must exist before anything runs.
+    it again. The models of a layer are submitted together, so one's last tasks and another's first
+    share the cluster. All inputs that are not built here must exist before anything runs.
     """
     layers.create(spark)
     names = selected_models(only)
@@ -81,14 +87,22 @@ def build_models(
     hot_orders: list = []
     if any(MODELS[n].joins_items for n in names):
         hot_orders = hot_keys(spark.table(layers.table(*_BRONZE_ITEMS)), "order_id")
-    stored: dict[str, int] = {}
-    for name in names:
+
+    def build(name: str) -> int:
         model = MODELS[name]
         inputs = [spark.table(layers.table(*source)) for source in model.inputs]
         extra = {"hot_orders": hot_orders} if model.joins_items else {}
-        stored[name] = refresh_table(
+        return refresh_table(
             model.build(*inputs, **extra), layers.table(model.layer, name), (bucketing or {}).get(name)
         )
+
+    stored: dict[str, int] = {}
+    with ThreadPoolExecutor(PARALLEL_MODELS) as pool:
+        for layer in ("silver", "gold"):
+            wave = [name for name in names if MODELS[name].layer == layer]
+            # Wrapped once per model: each thread needs its own copy of the session's local properties.
+            jobs = {name: pool.submit(inheritable_thread_target(spark)(build), name) for name in wave}
+            stored.update({name: job.result() for name, job in jobs.items()})
     return stored
 
 
