@@ -11,7 +11,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantlens.operators.skew import hot_keys
+from merchantlens.operators.skew import LookupSide, hot_keys, lookup_join, union_all
 from merchantlens.sources.indicator_pages import INDICATORS
 
 # Columns of the test tables that are used; a declared schema spares a file footer read per table.
@@ -73,10 +73,10 @@ class BronzeFixture:
     def items(self) -> DataFrame:
         """Order items with money in hundredths of a cent: whole doubles, exact in any summing order."""
         buyers = self.given("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+        bought = lookup_join(self.given("lineitem"), "l_orderkey", [LookupSide(buyers)], self.hot_orders)
         cents = F.rint(F.col("l_extendedprice") * 100)
         return (
-            self.given("lineitem")
-            .join(buyers, "l_orderkey")
+            union_all(bought)
             .select(
                 F.col("l_orderkey").alias("order_id"),
                 F.col("l_linenumber").alias("order_item_id"),
@@ -101,7 +101,7 @@ class BronzeFixture:
 
     @cached_property
     def hot_orders(self) -> list:
-        return hot_keys(self.items, "order_id")
+        return hot_keys(self.given("lineitem"), "l_orderkey")
 
     @property
     def indicator_pages(self) -> DataFrame:

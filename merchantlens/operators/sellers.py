@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchantlens.functions import ratio
 from merchantlens.operators.orders import deliveries_per_order, order_deliveries, reviews_per_order
-from merchantlens.operators.skew import LookupSide, lookup_join
+from merchantlens.operators.skew import LookupSide, lookup_join, union_all
 
 
 def seller_order_rows(items: DataFrame, orders: DataFrame) -> DataFrame:
@@ -64,7 +63,3 @@ def seller_metrics(
         ratio(F.col("days_sum"), F.col("days_rows")).alias("avg_delivery_days"),
         ratio(F.col("score_sum"), F.col("score_rows")).alias("avg_review_score"),
     )
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

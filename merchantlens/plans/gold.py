@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from merchantlens.functions import ratio, round_to
 from merchantlens.operators.orders import deliveries_per_order, reviews_per_order
-from merchantlens.operators.sellers import union_all
-from merchantlens.operators.skew import LookupSide, lookup_join
+from merchantlens.operators.skew import LookupSide, lookup_join, union_all
 
 # Tier and flag thresholds, all strict and applied before rounding.
 HIGH_LATE_RATE = 0.3

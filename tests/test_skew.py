@@ -144,3 +144,23 @@ def test_parts_of_a_lookup_join_are_the_join(spark, skewed, how):
     whole = skewed.items.join(facts, "order_id", how)
     assert sorted(r for p in parts for r in rows(p)) == rows(whole)
     assert len(parts) == 2
+
+
+def test_sketch_of_nothing(spark):
+    empty = spark.createDataFrame([], "k string")
+    assert skew.hot_keys(empty, "k", small_input_bytes=0) == []
+    nulls = spark.createDataFrame([(None,)], "k string")
+    assert skew.hot_keys(nulls, "k", small_input_bytes=0) == []
+
+
+def test_sketch_on_many_partitions_and_keys(spark):
+    """More distinct keys than counters: the hot ones are still found, with their share."""
+    key = F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 100 == 1, -2).otherwise(F.col("id"))
+    df = spark.range(0, 300_000, numPartitions=40).select(key.alias("k"))
+    assert skew.hot_keys(df, "k", small_input_bytes=0) == [-1, -2]
+
+
+def test_sketch_with_more_partitions_than_rows(spark, set_conf):
+    set_conf(**{"spark__sql__adaptive__enabled": "false", "spark__sql__shuffle__partitions": "64"})
+    df = spark.range(0, 3, numPartitions=20).selectExpr("'x' AS k")
+    assert skew.hot_keys(df, "k", small_input_bytes=0) == ["x"]
