@@ -67,6 +67,9 @@ def main() -> None:
         **{
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": cpus,
+            "spark.ui.showConsoleProgress": "false",
+            # Call-site capture for error messages costs more than planning on queries this small.
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
         },
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from merchantlens.fixtures import BronzeFixture
 from merchantlens.functions import action_items, action_items_or_reply, as_timestamp
 from merchantlens.operators.sellers import seller_order_rows, seller_review_scores
 from merchantlens.plans import gold, medallion, silver, views
-from merchantlens.session import scratch_folder
+from merchantlens.session import run_together, scratch_folder
 from merchantlens.sources import csv_tables, indicator_pages, trade_flows
 from merchantlens.sources.schemas import MANIFEST
 from merchantlens.sources.tables import Layers, refresh_table
@@ -256,16 +257,16 @@ def _land(df: DataFrame, landing: str, table: str) -> None:
 
 
 def _land_core_tables(spark: SparkSession, folder: str) -> str:
-    bronze, landing = BronzeFixture(spark, folder), _landing(spark, "core")
-    for table, df in _core_tables(bronze).items():
-        _land(df, landing, table)
+    tables, landing = _core_tables(BronzeFixture(spark, folder)), _landing(spark, "core")
+    run_together(spark, {name: partial(_land, df, landing, name) for name, df in tables.items()})
     return landing
 
 
 def _store_bronze(spark: SparkSession, folder: str, layers: Layers) -> dict[str, int]:
     layers.create(spark)
     tables = _core_tables(BronzeFixture(spark, folder))
-    return {table: refresh_table(df, layers.table("bronze", table)) for table, df in tables.items()}
+    jobs = {name: partial(refresh_table, df, layers.table("bronze", name)) for name, df in tables.items()}
+    return run_together(spark, jobs)
 
 
 def _core_tables(bronze: BronzeFixture) -> dict[str, DataFrame]:

@@ -6,9 +6,9 @@ Every frame is a plain transformation of the given parquet tables, so work on it
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantlens.operators.skew import LookupSide, hot_keys, lookup_join, union_all
@@ -39,64 +39,55 @@ class BronzeFixture:
 
     @property
     def sellers(self) -> DataFrame:
-        return (
-            self.given("customer")
-            .join(self.given("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(self.given("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                F.col("c_custkey").alias("seller_id"),
-                F.col("n_name").alias("seller_city"),
-                F.col("r_name").alias("seller_state"),
-            )
+        placed = self.given("customer").join(self.given("nation"), F.expr("c_nationkey = n_nationkey"))
+        return placed.join(self.given("region"), F.expr("n_regionkey = r_regionkey")).selectExpr(
+            "c_custkey AS seller_id", "n_name AS seller_city", "r_name AS seller_state"
         )
 
     @property
     def orders(self) -> DataFrame:
-        key, day = F.col("o_orderkey"), F.col("o_orderdate")
-        purchased = day + _shift(hours=key % 24)
-        approved = purchased + _shift(hours=1 + key % 8)
-        undelivered = (F.col("o_orderstatus") == "O") & (key % 4 == 0)
-        return self.given("orders").select(
-            key.alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderstatus").alias("order_status"),
-            purchased.alias("order_purchase_timestamp"),
-            approved.alias("order_approved_at"),
-            (approved + _shift(days=1 + key % 3)).alias("order_delivered_carrier_date"),
-            F.when(~undelivered, day + _shift(days=3 + key % 23, hours=(key * 7) % 24)).alias(
-                "order_delivered_customer_date"
-            ),
-            (day + _shift(days=10 + F.col("o_custkey") % 14)).alias("order_estimated_delivery_date"),
+        purchased = "o_orderdate + INTERVAL '1' HOUR * (o_orderkey % 24)"
+        approved = f"{purchased} + INTERVAL '1' HOUR * (1 + o_orderkey % 8)"
+        delivered = (
+            "o_orderdate + INTERVAL '1' DAY * (3 + o_orderkey % 23) + INTERVAL '1' HOUR * (o_orderkey * 7 % 24)"
+        )
+        return self.given("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_custkey AS customer_id",
+            "o_orderstatus AS order_status",
+            f"{purchased} AS order_purchase_timestamp",
+            f"{approved} AS order_approved_at",
+            f"{approved} + INTERVAL '1' DAY * (1 + o_orderkey % 3) AS order_delivered_carrier_date",
+            f"CASE WHEN NOT (o_orderstatus = 'O' AND o_orderkey % 4 = 0) THEN {delivered} END"
+            " AS order_delivered_customer_date",
+            "o_orderdate + INTERVAL '1' DAY * (10 + o_custkey % 14) AS order_estimated_delivery_date",
         )
 
     @property
     def items(self) -> DataFrame:
         """Order items with money in hundredths of a cent: whole doubles, exact in any summing order."""
-        buyers = self.given("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+        buyers = self.given("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
         bought = lookup_join(self.given("lineitem"), "l_orderkey", [LookupSide(buyers)], self.hot_orders)
-        cents = F.rint(F.col("l_extendedprice") * 100)
         return (
             union_all(bought)
-            .select(
-                F.col("l_orderkey").alias("order_id"),
-                F.col("l_linenumber").alias("order_item_id"),
-                F.col("l_partkey").alias("product_id"),
-                (F.col("o_custkey") + F.col("l_linenumber") % 2).alias("seller_id"),
-                (cents * 100).alias("price"),
-                (cents * F.rint(F.col("l_discount") * 100)).alias("freight_value"),
+            .selectExpr(
+                "l_orderkey AS order_id",
+                "l_linenumber AS order_item_id",
+                "l_partkey AS product_id",
+                "o_custkey + l_linenumber % 2 AS seller_id",
+                "rint(l_extendedprice * 100) * 100 AS price",
+                "rint(l_extendedprice * 100) * rint(l_discount * 100) AS freight_value",
             )
-            .where(F.col("seller_id") % 50 != 0)
+            .where("seller_id % 50 <> 0")
         )
 
     @property
     def reviews(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        first = F.when(key % 6 != 0, 1 + key % 5)
-        second = F.when(key % 7 == 0, 1 + (key + 2) % 5)
+        first = "CASE WHEN o_orderkey % 6 <> 0 THEN 1 + o_orderkey % 5 END"
+        second = "CASE WHEN o_orderkey % 7 = 0 THEN 1 + (o_orderkey + 2) % 5 END"
+        scores = f"explode(array({first}, {second})) AS review_score"
         return (
-            self.given("orders")
-            .select(key.alias("order_id"), F.explode(F.array(first, second)).alias("review_score"))
-            .where(F.col("review_score").isNotNull())
+            self.given("orders").selectExpr("o_orderkey AS order_id", scores).where("review_score IS NOT NULL")
         )
 
     @cached_property
@@ -108,75 +99,55 @@ class BronzeFixture:
         """Indicator payloads as text, one row per page of at most 100 observations.
 
         Countries are the customers, so pages grow with the data; a page holds one indicator and a
-        run of customer keys. Every run of pages also has one page without rows.
+        run of customer keys. Beside them there are pages without rows.
         """
-        key = F.col("c_custkey")
-        years = [str(year) for year in range(FIRST_YEAR, LAST_YEAR + 1)]
-        countries = self.given("customer").join(
-            self.given("nation"), F.col("c_nationkey") == F.col("n_nationkey")
+        codes = ", ".join(f"'{code}'" for code in INDICATORS)
+        years = ", ".join(f"'{year}'" for year in range(FIRST_YEAR, LAST_YEAR + 1))
+        customers_per_page = PAGE_SIZE // (LAST_YEAR - FIRST_YEAR + 1)
+        row = (
+            "struct(concat('N', c_custkey) AS countryiso3code, struct(n_name AS value) AS country,"
+            " struct(code AS id, concat('Logistics ', code) AS value) AS indicator, year AS date,"
+            " CASE WHEN c_custkey % 11 <> 0 THEN 1 + (c_custkey * 3 + position) % 40 / 10 END AS value)"
         )
-        indicators = F.array(*[F.lit(code) for code in INDICATORS])
-        observed = countries.select(
-            "c_custkey", "n_name", F.posexplode(indicators).alias("position", "code")
-        ).select("*", F.explode(F.array(*[F.lit(year) for year in years])).alias("year"))
-        value = F.when(key % 11 != 0, 1 + (key * 3 + F.col("position")) % 40 / 10)
-        row = F.struct(
-            F.concat(F.lit("N"), key.cast("string")).alias("countryiso3code"),
-            F.struct(F.col("n_name").alias("value")).alias("country"),
-            F.struct(F.col("code").alias("id"), F.concat(F.lit("Logistics "), "code").alias("value")).alias(
-                "indicator"
-            ),
-            F.col("year").alias("date"),
-            value.alias("value"),
+        pages = (
+            self.given("customer")
+            .join(self.given("nation"), F.expr("c_nationkey = n_nationkey"))
+            .selectExpr("c_custkey", "n_name", f"posexplode(array({codes})) AS (position, code)")
+            .selectExpr("*", f"explode(array({years})) AS year")
+            .groupBy("code", F.expr(f"c_custkey div {customers_per_page}"))
+            .agg(F.expr(f"to_json(collect_list({row}), map('ignoreNullFields', 'false')) AS rows"))
+            .selectExpr("""concat('[{"page":1,"pages":1},', rows, ']') AS payload""")
         )
-        run = F.floor(key / (PAGE_SIZE // len(years))).alias("run")
-        full = (
-            observed.groupBy("code", run)
-            .agg(F.to_json(F.collect_list(row), {"ignoreNullFields": "false"}).alias("rows"))
-            .select(F.concat(F.lit('[{"page":1,"pages":1},'), "rows", F.lit("]")).alias("payload"))
+        return pages.unionByName(
+            self.given("nation").selectExpr("""'[{"page":1,"pages":1},null]' AS payload""")
         )
-        empty = self.given("nation").select(F.lit('[{"page":1,"pages":1},null]').alias("payload"))
-        return full.unionByName(empty)
 
     @property
     def trade_records(self) -> DataFrame:
+        """Imports and exports per nation, year and market segment."""
         placed = (
             self.given("orders")
-            .join(self.given("customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(self.given("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(self.given("customer"), F.expr("o_custkey = c_custkey"))
+            .join(self.given("nation"), F.expr("c_nationkey = n_nationkey"))
         )
-        direction = F.when(F.col("o_orderkey") % 2 == 0, "M").otherwise("X")
         return (
-            placed.groupBy(
-                F.col("n_nationkey").cast("string").alias("reporterCode"),
-                F.year("o_orderdate").cast("string").alias("period"),
-                direction.alias("flowCode"),
-                F.col("c_mktsegment").alias("customsCode"),
-            )
-            .agg(F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("primaryValue"))
-            .select(
-                "reporterCode",
-                F.lit("0").alias("partnerCode"),
-                F.lit("TOTAL").alias("cmdCode"),
-                "period",
-                "flowCode",
-                "customsCode",
-                "primaryValue",
+            placed.selectExpr(
+                "string(n_nationkey) AS reporterCode",
+                "'0' AS partnerCode",
+                "'TOTAL' AS cmdCode",
+                "string(year(o_orderdate)) AS period",
+                "CASE WHEN o_orderkey % 2 = 0 THEN 'M' ELSE 'X' END AS flowCode",
+                "c_mktsegment AS customsCode",
+                "o_totalprice",
             )
+            .groupBy("reporterCode", "partnerCode", "cmdCode", "period", "flowCode", "customsCode")
+            .agg(F.expr("double(sum(cast(o_totalprice AS decimal(14,2)))) AS primaryValue"))
         )
 
     @property
     def answers(self) -> DataFrame:
-        prefix = F.when(F.col("turn") % 2 == 1, "ACTION: ").otherwise("")
-        suffix = F.when(
-            F.col("conv_id") % 3 == 0, "\n  action: follow up \n• ACTION: bulleted"
-        ).otherwise("")
-        return self.given("conversations").select(
-            "conv_id", "turn", F.concat(prefix, F.col("text"), suffix).alias("answer"), "text"
+        prefix = "CASE WHEN turn % 2 = 1 THEN 'ACTION: ' ELSE '' END"
+        suffix = "CASE WHEN conv_id % 3 = 0 THEN '\\n  action: follow up \\n• ACTION: bulleted' ELSE '' END"
+        return self.given("conversations").selectExpr(
+            "conv_id", "turn", f"concat({prefix}, text, {suffix}) AS answer", "text"
         )
-
-
-def _shift(days: Column | None = None, hours: Column | None = None) -> Column:
-    parts = [(days, "DAY"), (hours, "HOUR")]
-    intervals = [F.expr(f"INTERVAL '1' {unit}") * n for n, unit in parts if n is not None]
-    return reduce(Column.__add__, intervals)

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from merchantlens.operators.skew import hot_keys
 from merchantlens.plans import gold, silver
+from merchantlens.session import run_together
 from merchantlens.sources.schemas import DECLARED_SOURCES
 from merchantlens.sources.tables import Bucketing, Layers, refresh_table
 
@@ -29,9 +29,6 @@ _BRONZE_SELLERS, _BRONZE_ORDERS = ("bronze", "sellers"), ("bronze", "orders")
 _BRONZE_ITEMS, _BRONZE_REVIEWS = ("bronze", "order_items"), ("bronze", "order_reviews")
 _SILVER_SELLERS, _SILVER_ORDERS = ("silver", "silver_sellers"), ("silver", "silver_orders")
 
-# Models of one layer whose jobs may run at the same time.
-PARALLEL_MODELS = 4
-
 # Every model comes after the models it reads, which are all in an earlier layer.
 MODELS: dict[str, Model] = {
     "silver_orders": Model("silver", (_BRONZE_ORDERS,), silver.silver_orders),
@@ -75,8 +72,8 @@ def build_models(
     """Build models into tables, full refresh; returns the rows stored per model.
 
     Silver is stored before gold reads it, so the three models on ``silver_sellers`` do not compute
-    it again. The models of a layer are submitted together, so one's last tasks and another's first
-    share the cluster. All inputs that are not built here must exist before anything runs.
+    it again; the models of a layer run together. All inputs that are not built here must exist
+    before anything runs.
     """
     layers.create(spark)
     names = selected_models(only)
@@ -97,12 +94,9 @@ def build_models(
         )
 
     stored: dict[str, int] = {}
-    with ThreadPoolExecutor(PARALLEL_MODELS) as pool:
-        for layer in ("silver", "gold"):
-            wave = [name for name in names if MODELS[name].layer == layer]
-            # Wrapped once per model: each thread needs its own copy of the session's local properties.
-            jobs = {name: pool.submit(inheritable_thread_target(spark)(build), name) for name in wave}
-            stored.update({name: job.result() for name, job in jobs.items()})
+    for layer in ("silver", "gold"):
+        wave = [name for name in names if MODELS[name].layer == layer]
+        stored.update(run_together(spark, {name: partial(build, name) for name in wave}))
     return stored
 
 

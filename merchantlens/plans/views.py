@@ -60,13 +60,17 @@ def tier_counts(risk: DataFrame) -> DataFrame:
 
 def concentration_view(concentration: DataFrame) -> DataFrame:
     """State table for display: share in percent, largest first."""
+    return _with_percent(concentration).orderBy(F.desc_nulls_last("pct"), F.asc_nulls_last("seller_state"))
+
+
+def _with_percent(concentration: DataFrame) -> DataFrame:
     return concentration.select(
         "seller_state",
         "total_sellers",
         "total_orders",
         round_to(F.col("pct_of_total_orders") * 100, 2).alias("pct"),
         "concentration_flag",
-    ).orderBy(F.desc_nulls_last("pct"), F.asc_nulls_last("seller_state"))
+    )
 
 
 def concentration_alert(concentration: DataFrame) -> DataFrame:
@@ -74,7 +78,7 @@ def concentration_alert(concentration: DataFrame) -> DataFrame:
 
     Flagged states hold more than a fifth of all orders each, so the list has at most four entries.
     """
-    flagged = concentration_view(concentration).where(F.col("concentration_flag") == "HIGH")
+    flagged = _with_percent(concentration).where(F.col("concentration_flag") == "HIGH")
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("pct")).alias("rank"), "seller_state")))
     states = F.transform(F.col("ranked"), lambda entry: entry["seller_state"])
     verb = F.when(F.size("ranked") == 1, " accounts").otherwise(" account")

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+Result = TypeVar("Result")
+
+# Independent table writes that are submitted at the same time.
+PARALLEL_WRITES = 4
+
 # Settings the jobs rely on. Memory, executors and shuffle.partitions belong to the cluster.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,3 +46,14 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
             raise RuntimeError("spark.checkpoint.dir is unset: name a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="merchantlens-")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def run_together(spark: SparkSession, jobs: Mapping[str, Callable[[], Result]]) -> dict[str, Result]:
+    """Run independent jobs from a few driver threads; results in the order given.
+
+    One job's last tasks and another's first then share the cluster. The first failure is raised.
+    """
+    with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
+        # Wrapped once per job: each thread needs its own copy of the session's local properties.
+        running = {name: pool.submit(inheritable_thread_target(spark)(job)) for name, job in jobs.items()}
+        return {name: job.result() for name, job in running.items()}

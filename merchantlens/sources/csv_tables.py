@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from merchantlens.session import run_together
 from merchantlens.sources.schemas import MANIFEST, CsvTable
 from merchantlens.sources.tables import Bucketing, Layers, refresh_table
 
@@ -62,15 +64,15 @@ def load_all_csv(
     """
     layers.create(spark)
     present = _entries(spark, raw_folder)
-    loaded: dict[str, int] = {}
+    jobs: dict[str, Callable[[], int]] = {}
     for entry in MANIFEST:
-        if entry.file_name not in present:
-            log.warning("missing, skipped: %s/%s", raw_folder, entry.file_name)
-            continue
-        loaded[entry.table] = load_csv_table(
-            spark, f"{raw_folder}/{entry.file_name}", entry, layers, (bucketing or {}).get(entry.table)
-        )
-    return loaded
+        path = f"{raw_folder}/{entry.file_name}"
+        if entry.file_name in present:
+            layout = (bucketing or {}).get(entry.table)
+            jobs[entry.table] = partial(load_csv_table, spark, path, entry, layers, layout)
+        else:
+            log.warning("missing, skipped: %s", path)
+    return run_together(spark, jobs)
 
 
 def _entries(spark: SparkSession, folder: str) -> set[str]:
