@@ -65,7 +65,10 @@ class BronzeFixture:
 
     @property
     def items(self) -> DataFrame:
-        """Order items with money in hundredths of a cent: whole doubles, exact in any summing order."""
+        """Order items with money in hundredths of a cent: whole doubles, exact in any summing order.
+
+        ``o_orderkey`` is a key of the orders, as a lookup side requires.
+        """
         buyers = self.given("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
         bought = lookup_join(self.given("lineitem"), "l_orderkey", [LookupSide(buyers)], self.hot_orders)
         return (

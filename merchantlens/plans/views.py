@@ -138,7 +138,7 @@ def read_only_sql(spark: SparkSession, query: str, max_rows: int = MAX_SQL_ROWS)
     """
     if re.search(r"\b(java_method|try_reflect|reflect)`?\s*\(", query, re.IGNORECASE):
         raise ValueError("functions that call JVM methods are not allowed in ad-hoc queries")
-    body = query.strip().rstrip(";")
+    body = re.sub(r"(?:;\s*(?:--[^\n]*(?:\n\s*|\Z))*)+\Z", "", query.strip())
     return spark.sql(f"SELECT * FROM (\n{body}\n) LIMIT {int(max_rows)}")
 
 

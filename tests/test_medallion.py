@@ -74,3 +74,18 @@ def test_missing_sources(spark, stored_bronze):
 def test_build_if_absent(spark, stored_bronze):
     assert set(medallion.build_models_if_absent(spark, stored_bronze)) == set(medallion.MODELS)
     assert medallion.build_models_if_absent(spark, stored_bronze) == {}
+
+
+def test_invariants_across_the_layers(spark, stored_bronze):
+    medallion.build_models(spark, stored_bronze)
+    table = {n: spark.table(stored_bronze.table(m.layer, n)) for n, m in medallion.MODELS.items()}
+    active = [r for r in table["silver_sellers"].collect() if r["total_orders"] > 0]
+    risk, states = table["gold_supplier_risk"].collect(), table["gold_concentration_risk"].collect()
+    summary = table["gold_executive_summary"].first()
+    cards = {r["seller_id"]: r for r in table["gold_supplier_performance"].collect()}
+    assert len(risk) == len(active) == summary["total_sellers"] == sum(r["total_sellers"] for r in states)
+    assert sum(r["pct_of_total_orders"] for r in states) == pytest.approx(1, abs=1e-3)
+    assert sum(r["total_orders"] for r in states) == summary["total_orders"]
+    rates = [r["late_delivery_rate"] for r in active]
+    assert min(rates) <= summary["overall_late_rate"] <= max(rates)
+    assert {r["seller_id"]: r["total_orders"] for r in active} == {s: r["total_orders"] for s, r in cards.items()}

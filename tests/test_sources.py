@@ -65,6 +65,16 @@ def test_manifest_loads_what_is_there(spark, layers, tmp_path):
     assert spark.table(layers.table("bronze", "sellers")).first()["seller_zip_code_prefix"] == "01234"
 
 
+@pytest.mark.parametrize("table", ["product_category_name_translation", "order_reviews"])
+def test_byte_order_mark_and_crlf(spark, layers, tmp_path, table):
+    header = list(ENTRY[table].types)[:2]
+    text = "\ufeff" + ",".join(header) + "\r\nbeleza,beauty\r\nlivros,books\r\n"
+    path = land(tmp_path / "raw", ENTRY[table].file_name, text)
+    assert csv_tables.load_csv_table(spark, path, ENTRY[table], layers) == 2
+    rows = spark.table(layers.table("bronze", table)).select(*header).collect()
+    assert sorted(tuple(r) for r in rows) == [("beleza", "beauty"), ("livros", "books")]
+
+
 def test_a_second_load_replaces_the_first(spark, layers, tmp_path):
     path = land(tmp_path / "raw", "olist_orders_dataset.csv", ORDERS_CSV)
     csv_tables.load_csv_table(spark, path, ENTRY["orders"], layers)

@@ -119,6 +119,8 @@ def test_kpi_report_without_sellers(spark):
         "SELECT id FROM numbers ORDER BY id DESC",
         "SELECT id FROM numbers ORDER BY id DESC;  ",
         "SELECT id FROM numbers ORDER BY id DESC -- note",
+        "SELECT id FROM numbers ORDER BY id DESC; -- done\n",
+        "SELECT id FROM numbers ORDER BY id DESC -- a; b",
         "WITH n AS (SELECT id FROM numbers) SELECT id FROM n ORDER BY id DESC",
     ],
 )
