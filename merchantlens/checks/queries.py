@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantlens.fixtures import BronzeFixture
-from merchantlens.functions import action_items, action_items_or_reply, as_timestamp
+from merchantlens.functions import action_items, action_items_or_reply
 from merchantlens.operators.sellers import seller_order_rows, seller_review_scores
 from merchantlens.plans import gold, medallion, silver, views
 from merchantlens.session import run_together, scratch_folder

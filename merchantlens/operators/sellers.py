@@ -24,7 +24,10 @@ def seller_review_scores(items: DataFrame, reviews: DataFrame, hot_orders: Seque
     return (
         union_all(parts)
         .groupBy("seller_id")
-        .agg(F.sum("score_sum").alias("score_sum"), F.sum("score_rows").alias("score_rows"))
+        .agg(
+            F.sum("score_sum").alias("score_sum"),
+            F.sum(F.col("score_rows").cast("double")).alias("score_rows"),
+        )
         .select("seller_id", ratio(F.col("score_sum"), F.col("score_rows")).alias("avg_review_score"))
     )
 
@@ -36,7 +39,8 @@ def seller_metrics(
 
     Rates and averages weigh item rows; ``total_orders`` counts an order once per seller. The items
     are moved once, by order id: the distinct orders of a seller are found where the join leaves
-    them, and only sums per seller and task move on.
+    them, and only sums per seller and task move on. The sums are doubles: exact up to 2^53, and
+    where repeated orders meet very many items they cannot overflow.
     """
     keys = items.where(F.col("seller_id").isNotNull()).select("order_id", "seller_id")
     sides = [
@@ -47,7 +51,7 @@ def seller_metrics(
     per_order = [
         part.groupBy("seller_id", "order_id").agg(
             F.max(F.when(F.col("order_rows") > 0, 1).otherwise(0)).alias("orders"),
-            *[F.sum(name).alias(name) for name in sums],
+            *[F.sum(F.col(name).cast("double")).alias(name) for name in sums],
         )
         for part in lookup_join(keys, "order_id", sides, hot_orders)
     ]

@@ -66,8 +66,8 @@ def gold_supplier_performance(
         "unique_products",
         round_to(ratio(F.col("days"), F.col("days_weight")), 2).alias("avg_delivery_days"),
         round_to(ratio(F.col("scores"), F.col("scores_weight")), 2).alias("avg_review_score"),
-        (F.col("revenue") * F.col("seller_rows")).cast("double").alias("total_revenue"),
-        (F.col("freight") * F.col("seller_rows")).cast("double").alias("total_freight_cost"),
+        (F.col("revenue") * F.col("seller_rows")).alias("total_revenue"),
+        (F.col("freight") * F.col("seller_rows")).alias("total_freight_cost"),
         round_to(ratio(F.col("freight"), F.col("revenue")) * 100, 2).alias("freight_pct_of_revenue"),
     )
 
@@ -76,16 +76,20 @@ _SUMS = ["revenue", "freight", "days", "days_weight", "scores", "scores_weight"]
 
 
 def _orders_and_products(joined: DataFrame) -> DataFrame:
-    """(seller, order) rows with the sums, and (seller, order, product) rows without."""
-    reviews = F.greatest(F.coalesce("review_rows", F.lit(0)), F.lit(1))
-    copies = F.col("order_rows") * reviews
+    """(seller, order) rows with the sums, and (seller, order, product) rows without.
+
+    Weights are doubles: exact up to 2^53, and item, order and review counts that multiply to more
+    than a BIGINT holds do not overflow.
+    """
+    orders = F.col("order_rows").cast("double")
+    reviews = F.greatest(F.coalesce("review_rows", F.lit(0)), F.lit(1)).cast("double")
     sums = {
-        "revenue": F.col("price") * copies,
-        "freight": F.col("freight_value") * copies,
+        "revenue": F.col("price") * (orders * reviews),
+        "freight": F.col("freight_value") * (orders * reviews),
         "days": F.col("days_sum") * reviews,
         "days_weight": F.col("days_rows") * reviews,
-        "scores": F.col("score_sum") * F.col("order_rows"),
-        "scores_weight": F.col("score_rows") * F.col("order_rows"),
+        "scores": F.col("score_sum") * orders,
+        "scores_weight": F.col("score_rows") * orders,
     }
     for_order = F.col("for_order")
     return (

@@ -18,7 +18,9 @@ def skewed(spark):
     """A third of all items on one order, a third of one seller's, repeated orders and reviews."""
     draw = random.Random(3)
     days = [f"2023-01-{d:02d} 12:00" for d in range(1, 29)]
-    orders = [order(f"o{n}", "2023-01-01 08:00", draw.choice([*days, None]), draw.choice(days)) for n in range(300)]
+    orders = [
+        order(f"o{n}", "2023-01-01 08:00", draw.choice([*days, None]), draw.choice(days)) for n in range(300)
+    ]
     orders += [order("hot", "2023-01-01 08:00", d, "2023-01-09 00:00") for d in days[:6]]
     orders += orders[:20]
 
@@ -164,3 +166,18 @@ def test_sketch_with_more_partitions_than_rows(spark, set_conf):
     set_conf(**{"spark__sql__adaptive__enabled": "false", "spark__sql__shuffle__partitions": "64"})
     df = spark.range(0, 3, numPartitions=20).selectExpr("'x' AS k")
     assert skew.hot_keys(df, "k", small_input_bytes=0) == ["x"]
+
+
+def test_weights_beyond_bigint_do_not_overflow(spark):
+    """Counts per order as a hot key at scale has them: their products exceed a BIGINT."""
+    many = 4 * 10**9
+    joined = spark.createDataFrame(
+        [("s", "o", "p", 2.0, 1.0, many, 3 * many, many, many, 5.0 * many, many)] * 2,
+        "seller_id string, order_id string, product_id string, price double, freight_value double,"
+        " order_rows bigint, days_sum bigint, days_rows bigint, review_rows bigint, score_sum double,"
+        " score_rows bigint",
+    )
+    row = gold._orders_and_products(joined).where("for_order").first()
+    assert row["revenue"] == 4.0 * many * many
+    assert row["days"] / row["days_weight"] == 3.0
+    assert row["scores"] / row["scores_weight"] == 5.0

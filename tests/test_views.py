@@ -48,7 +48,12 @@ def test_lookup_takes_its_value_as_data(spark):
 
 
 def test_risk_view_orders_and_rounds_again(spark):
-    rows = [("low", "LOW", 0.1, None), ("h1", "HIGH", 0.3125, 1.005), ("m", "MEDIUM", 0.2, 4.0), ("h2", "HIGH", 0.5, 1.0)]
+    rows = [
+        ("low", "LOW", 0.1, None),
+        ("h1", "HIGH", 0.3125, 1.005),
+        ("m", "MEDIUM", 0.2, 4.0),
+        ("h2", "HIGH", 0.5, 1.0),
+    ]
     shown = views.risk_view(risk(spark, rows)).collect()
     assert [r["seller_id"] for r in shown] == ["h2", "h1", "m", "low"]
     assert (shown[1]["late_rate_pct"], shown[1]["review_score"], shown[1]["delivery_days"]) == (31.3, 1.0, 3.5)
