@@ -172,7 +172,9 @@ def csv_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 def bronze_manifest_counts(spark: SparkSession, folder: str) -> DataFrame:
     landing, layers = _land_core_tables(spark, folder), _layers(spark)
-    return _counts(spark, csv_tables.load_all_csv(spark, landing, layers))
+    loaded = csv_tables.load_all_csv(spark, landing, layers)
+    _drop(spark, layers)
+    return _counts(spark, loaded)
 
 
 def bronze_lineage(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,7 +228,9 @@ def trade_flows_select(spark: SparkSession, folder: str) -> DataFrame:
 def layer_row_counts(spark: SparkSession, folder: str) -> DataFrame:
     layers = _layers(spark)
     stored = _store_bronze(spark, folder, layers)
-    return _counts(spark, {**stored, **medallion.build_models(spark, layers)})
+    stored.update(medallion.build_models(spark, layers))
+    _drop(spark, layers)
+    return _counts(spark, stored)
 
 
 def build_if_absent(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,6 +239,7 @@ def build_if_absent(spark: SparkSession, folder: str) -> DataFrame:
     _store_bronze(spark, folder, layers)
     first = medallion.build_models_if_absent(spark, layers)
     second = medallion.build_models_if_absent(spark, layers)
+    _drop(spark, layers)
     rows = [(1, len(first), sum(first.values())), (2, len(second), sum(second.values()))]
     return spark.createDataFrame(rows, "attempt bigint, n_tables bigint, n_rows bigint")
 
@@ -248,6 +253,12 @@ def _layers(spark: SparkSession) -> Layers:
     return Layers(f"bronze_{tag}", f"silver_{tag}", f"gold_{tag}", scratch_folder(spark, "layers"))
 
 
+def _drop(spark: SparkSession, layers: Layers) -> None:
+    """Drop databases made by ``_layers`` whose tables the result does not read."""
+    for database in (layers.bronze, layers.silver, layers.gold):
+        spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
+
+
 def _landing(spark: SparkSession, label: str) -> str:
     return scratch_folder(spark, f"landing-{label}")
 
