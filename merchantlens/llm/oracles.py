@@ -10,7 +10,7 @@ QUALITY = rf"""
 WITH split_up AS (
     SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS whole,
            regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
-           list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{WORD}')) AS l
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l
     FROM documents
 ), windows AS (
     SELECT row_id, i, list_slice(w, i, i + 7) AS win
@@ -25,7 +25,7 @@ WITH split_up AS (
            len(l) - len(list_distinct(l)) AS n_dup_lines,
            coalesce(c.n, 0) AS n_repeat_words,
            len(regexp_extract_all(whole, '!')) AS n_exclamations,
-           len(list_filter(w, x -> list_contains([{", ".join(f"'{word}'" for word in STOP_WORDS)}], x)))
+           len(list_filter(w, lambda x: list_contains([{", ".join(f"'{word}'" for word in STOP_WORDS)}], x)))
                AS n_stop_words,
            len(l) AS n_lines
     FROM split_up s LEFT JOIN covered c USING (row_id)
