@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantlens.llm import packing, quality_rules, simhash, token_counts
+from merchantlens.llm import packing, quality_rules, simhash, suffix_dedup, token_counts
 from merchantlens.llm.common import read_table
 
 TOKEN_LIMIT = 1024
 
 
+def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    counted = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", *[f"_cut.{name}" for name in counted])
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -41,6 +47,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
