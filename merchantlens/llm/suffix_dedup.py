@@ -5,11 +5,14 @@
    anchor). Equal windows have equal anchors, so a run of neighbouring windows with one anchor is a short
    text of its own, a segment, and segments of different anchors share no window.
 3. Anchors that occur once are done with. Equal segments that occur twice are repeated as a whole.
-4. Anchors with different segments remain. A hash of the anchor deals their distinct segments to buckets of
-   bounded size; each bucket is a collection whose Burrows-Wheeler transform and common prefixes are built
-   column by column (``column_bwt``). Windows that share ``length`` bytes with a neighbour are repeated.
-5. An anchor with more distinct segments than a bucket may hold has its windows counted one by one instead,
-   which any number of tasks can share.
+4. Anchors with different segments remain. Their segments are cut into slices of 32 windows at fixed
+   distances from the anchor. The bytes that all windows of a slice share, its core, must occur twice, or
+   none of its windows does; and slices that are equal as a whole are repeated.
+5. What remains are different slices with one core. A hash of the core deals them to buckets of bounded
+   size; each bucket is a collection whose Burrows-Wheeler transform and common prefixes are built column
+   by column (``column_bwt``). Windows that share ``length`` bytes with a neighbour are repeated. A core
+   with more distinct slices than a bucket may hold has its windows counted one by one instead, which any
+   number of tasks can share.
 6. The repeated windows go back to the texts, are joined to spans there, and cut out.
 
 The sequential files of the method are the bucket arrays here: a bucket is read and rewritten front to back
@@ -37,22 +40,24 @@ GRAM = 64
 # Windows of a text are taken in blocks of so many, which bounds the memory for a long one.
 BLOCK = 1 << 19
 BUCKET_BYTES = 1_500_000
-# Distinct segments of one anchor that a bucket takes.
-ANCHOR_LIMIT = 2_000
+# Windows of a slice, and distinct slices of one core that a bucket takes.
+SLICE = 32
+CORE_LIMIT = 2_000
 
-SEGMENTS = "key binary, anchor bigint, c1 bigint, c2 bigint, lo int, hi int, copies bigint"
+SEGMENTS = "key binary, anchor bigint, c1 bigint, c2 bigint, lo int, hi int, lead int, copies bigint"
 SPANS = "array<struct<lo: int, hi: int>>"
 WORD = ["anchor", "c1", "c2"]
+SLICES = "anchor bigint, c1 bigint, c2 bigint, at int, until int, core binary, content binary"
 
 
 def segments_of(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: anchor hash, first and last window start of each."""
+    """Runs of windows with one anchor: its hash, first and last window start, anchor place after the first."""
     found = [
         _block_segments(np.frombuffer(data[start : start + BLOCK + length - 1], np.uint8), start, length, gram)
         for start in range(0, len(data) - length + 1, BLOCK)
     ]
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.empty((4, 0), np.int64))
     return tuple(np.concatenate(column) for column in zip(*found, strict=True))
 
 
@@ -70,7 +75,7 @@ def _block_segments(symbols: np.ndarray, start: int, length: int, gram: int):
     anchors = (_sliding_minimum(ranked, length - gram + 1) & low).astype(np.int64)
     first = np.flatnonzero(np.diff(anchors, prepend=-1))
     last = np.append(first[1:], len(anchors)) - 1
-    return hashes[anchors[first]].view(np.int64), first + start, last + start
+    return hashes[anchors[first]].view(np.int64), first + start, last + start, anchors[first] - first
 
 
 def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -110,13 +115,13 @@ def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             for begin in range(0, len(batch), 500):
                 columns = []
                 for key, data, copies in batch.iloc[begin : begin + 500].itertuples(index=False):
-                    anchors, lo, hi = segments_of(data, length)
+                    anchors, lo, hi, lead = segments_of(data, length)
                     view = memoryview(data)
                     digests = b"".join(
                         xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)
                     )
                     content = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                    columns.append((key, copies, anchors, content, lo, hi))
+                    columns.append((key, copies, anchors, content, lo, hi, lead))
                 sizes = [len(c[2]) for c in columns]
                 yield pd.DataFrame(
                     {
@@ -126,6 +131,7 @@ def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                         "c2": np.concatenate([c[3][:, 1] for c in columns]),
                         "lo": np.concatenate([c[4] for c in columns]).astype(np.int32),
                         "hi": np.concatenate([c[5] for c in columns]).astype(np.int32),
+                        "lead": np.concatenate([c[6] for c in columns]).astype(np.int32),
                         "copies": np.repeat(np.array([c[1] for c in columns], np.int64), sizes),
                     }
                 )
@@ -135,7 +141,7 @@ def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeated_spans(
-    texts: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, anchor_limit: int = ANCHOR_LIMIT
+    texts: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, core_limit: int = CORE_LIMIT
 ) -> DataFrame:
     """(key, spans): byte ranges [lo, hi) covered by repeated strings, unmerged, for texts that have any."""
     segments = stored(cut_segments(texts, length), "segments")
@@ -143,25 +149,18 @@ def repeated_spans(
     segments = stored(segments.join(shared, "anchor", "left_semi"), "shared-segments")
 
     contents = segments.groupBy(*WORD).agg(
-        F.sum("copies").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("at")
+        F.sum("copies").alias("n"), F.min(F.struct("key", "lo", "hi", "lead")).alias("at")
     )
     contents = stored(contents, "segment-contents")
-    rivals = contents.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1")
-    compared = stored(contents.join(rivals, "anchor").select(*WORD, "at.*", "rivals"), "compared-segments")
-
-    size = compared.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
-    pieces = _with_bytes(compared, texts, length)
-    buckets = max(1, math.ceil(size / bucket_bytes))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    pieces = stored(pieces, "segment-bytes")
-    small = pieces.where(F.col("rivals") <= anchor_limit)
-    by_transform = small.groupBy("bucket").applyInPandas(_transform(length), f"anchor bigint, c1 bigint, c2 bigint, runs {SPANS}")
-    by_count = _counted_windows(pieces.where(F.col("rivals") > anchor_limit), length)
+    rivals = contents.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1").select("anchor")
+    compared = stored(contents.join(rivals, "anchor").select(*WORD, "at.*"), "compared-segments")
+    pieces = stored(_with_bytes(compared, texts, length), "segment-bytes")
+    partial = _compare(pieces, length, bucket_bytes, core_limit)
 
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("at.hi") - F.col("at.lo")).alias("hi")))
     full = contents.where("n > 1").select(*WORD, whole.cast(SPANS).alias("runs"))
     single = contents.where("n = 1").select(*WORD)
-    partly = by_transform.unionByName(by_count).join(single, WORD, "left_semi")
+    partly = partial.join(single, WORD, "left_semi")
     runs = stored(full.unionByName(partly), "repeated-runs")
     placed = segments.join(runs, WORD).select("key", "lo", F.explode("runs").alias("run"))
     span = F.struct(
@@ -180,18 +179,75 @@ def _with_bytes(compared: DataFrame, texts: DataFrame, length: int) -> DataFrame
             [[d[p["lo"] : p["hi"] + length] for p in places_of] for d, places_of in zip(data, places, strict=True)]
         )
 
-    wanted = compared.groupBy("key").agg(F.collect_list(F.struct(*WORD, "lo", "hi", "rivals")).alias("places"))
+    wanted = compared.groupBy("key").agg(F.collect_list(F.struct(*WORD, "lo", "hi", "lead")).alias("places"))
     met = wanted.join(texts.select("key", "data"), "key")
     zipped = met.select(F.explode(F.arrays_zip("places", slices("data", "places").alias("segment"))).alias("z"))
-    return zipped.select(*[f"z.places.{name}" for name in (*WORD, "rivals")], F.col("z.segment").alias("segment"))
+    return zipped.select(*[f"z.places.{name}" for name in (*WORD, "lead")], F.col("z.segment").alias("segment"))
+
+
+def _compare(pieces: DataFrame, length: int, bucket_bytes: int, core_limit: int) -> DataFrame:
+    """(*WORD, runs): repeated windows of distinct segments that share their anchor."""
+    slices = stored(_slices(pieces, length), "slices")
+    contents = slices.groupBy("core", "content").agg(
+        F.count("*").alias("n"), F.min(F.struct(*WORD, "at", "until")).alias("of")
+    )
+    contents = stored(contents, "slice-contents")
+    rivals = contents.groupBy("core").agg(F.count("*").alias("rivals")).where("rivals > 1")
+    compared = stored(contents.join(rivals, "core"), "compared-slices").select("core", "content", "rivals", "of.*")
+    wanted = compared.groupBy(*WORD).agg(F.collect_list(F.struct("core", "content", "rivals", "at", "until")).alias("s"))
+    bounds = F.col("until") - F.col("at") + length
+    size = compared.agg(F.sum(bounds)).first()[0] or 0
+    buckets = max(1, math.ceil(size / bucket_bytes))
+    cut = (
+        pieces.join(wanted, WORD)
+        .select("segment", F.explode("s").alias("s"))
+        .select("s.*", F.substring("segment", F.col("s.at") + 1, F.col("s.until") - F.col("s.at") + length).alias("segment"))
+        .withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets)))
+    )
+    cut = stored(cut, "slice-bytes")
+    few, many = cut.where(F.col("rivals") <= core_limit), cut.where(F.col("rivals") > core_limit)
+    found = few.groupBy("bucket").applyInPandas(_transform(length), f"core binary, content binary, runs {SPANS}")
+    whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("of.until") - F.col("of.at")).alias("hi")))
+    full = contents.where("n > 1").select("core", "content", whole.cast(SPANS).alias("runs"))
+    single = contents.where("n = 1").select("core", "content")
+    partly = found.unionByName(_counted_windows(many, length)).join(single, ["core", "content"], "left_semi")
+    runs = stored(full.unionByName(partly), "slice-runs")
+    placed = slices.join(runs, ["core", "content"]).select(*WORD, "at", F.explode("runs").alias("run"))
+    run = F.struct((F.col("at") + F.col("run.lo")).alias("lo"), (F.col("at") + F.col("run.hi")).alias("hi"))
+    return placed.groupBy(*WORD).agg(F.collect_list(run).cast(SPANS).alias("runs"))
+
+
+def _slices(pieces: DataFrame, length: int) -> DataFrame:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            rows = []
+            for anchor, c1, c2, lead, segment in batch[[*WORD, "lead", "segment"]].itertuples(index=False):
+                last = len(segment) - length
+                # Slice g holds the windows that start 32 g to 32 g + 31 bytes before the anchor.
+                for g in range((lead - last) // SLICE, lead // SLICE + 1):
+                    at, until = max(0, lead - SLICE * g - SLICE + 1), min(last, lead - SLICE * g)
+                    core = lead - SLICE * g
+                    rows.append(
+                        (
+                            anchor, c1, c2, at, until,
+                            digest(segment[core : core + length - SLICE + 1], g),
+                            digest(segment[at : until + length], core - at),
+                        )
+                    )
+            yield pd.DataFrame(rows, columns=[name.split()[0] for name in SLICES.split(", ")])
+
+    return pieces.mapInPandas(cut, SLICES)
 
 
 def _transform(length: int):
     def transform(frame: pd.DataFrame) -> pd.DataFrame:
         # Sorted, so that a repeated attempt builds the same collection.
-        frame = frame.sort_values(WORD, ignore_index=True)
+        frame = frame.sort_values(["core", "content"], ignore_index=True)
         starts = Collection(list(frame["segment"])).build().repeated(length)
-        out = frame[WORD].assign(runs=[_runs(s) for s in starts])
+        out = frame[["core", "content"]].assign(runs=[_runs(s) for s in starts])
         return out[[len(s) > 0 for s in starts]]
 
     return transform
@@ -206,28 +262,30 @@ def _runs(starts: np.ndarray) -> list[dict[str, int]]:
 
 
 def _counted_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of segments whose anchor is too frequent for one bucket."""
+    """Repeated windows of slices whose core is too frequent for one bucket."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                n = len(row.segment) - length + 1
-                yield pd.DataFrame(
-                    {
-                        "anchor": row.anchor, "c1": row.c1, "c2": row.c2, "at": np.arange(n, dtype=np.int32),
-                        "window": [xxhash.xxh3_128_digest(row.segment[i : i + length]) for i in range(n)],
-                    }
-                )
-
-    each = stored(
-        pieces.select(*WORD, "segment").mapInPandas(windows, "anchor bigint, c1 bigint, c2 bigint, at int, window binary"),
-        "frequent-windows",
+            rows = [
+                (core, content, i, xxhash.xxh3_128_digest(segment[i : i + length]))
+                for core, content, segment in batch.itertuples(index=False)
+                for i in range(len(segment) - length + 1)
+            ]
+            yield pd.DataFrame(rows, columns=["core", "content", "at", "window"])
+
+    each = pieces.select("core", "content", "segment").mapInPandas(
+        windows, "core binary, content binary, at int, window binary"
     )
+    each = stored(each, "frequent-windows")
     twice = each.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     one = F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return each.join(twice, "window", "left_semi").groupBy(*WORD).agg(F.collect_list(one).cast(SPANS).alias("runs"))
+    return (
+        each.join(twice, "window", "left_semi")
+        .groupBy("core", "content")
+        .agg(F.collect_list(one).cast(SPANS).alias("runs"))
+    )
 
 
 CUT = "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept: binary, kept_sha256: string>"
