@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantlens.llm import packing, quality_rules, simhash
+from merchantlens.llm import decontamination, packing, quality_rules, simhash, suffix_dedup
 from merchantlens.llm.common import read_table, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,6 +29,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings of 400 or more that occur twice; a text of nothing else goes.
+
+    A character cut in two is left out, and ``n_chars`` follows the text.
+    """
+    cut = suffix_dedup.remove_repeats(docs)
+    text = F.when(F.col("_cut.n_removed") > 0, suffix_dedup.valid_text(F.col("_cut.kept"))).otherwise(
+        F.col("_cut.kept").cast("string")
+    )
+    kept = cut.where("_cut.n_removed = 0 OR _cut.n_removed < _cut.n_bytes").withColumn("text", text)
+    sized = kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+    return sized.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a verified overlap with a benchmark item."""
+    return decontamination.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most 4096 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -37,6 +56,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality),
     ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", decontaminate),
     ("best_fit_packing", pack),
 ]
 

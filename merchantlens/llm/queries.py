@@ -6,10 +6,55 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantlens.llm import packing, quality_rules, simhash, suffix_dedup, token_counts
-from merchantlens.llm.common import read_table
+from merchantlens.llm import (
+    decontamination,
+    language_id,
+    license_scan,
+    packing,
+    quality_neighbours,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    url_filters,
+)
+from merchantlens.llm.common import is_held_out, is_training, read_table
 
 TOKEN_LIMIT = 1024
+LEAST_QUALITY = 0.7
+URL_RULES = [
+    url_filters.UrlRule("block", "net/"),
+    url_filters.UrlRule("allow", "example.net/en/"),
+    url_filters.UrlRule("block", "example.com/de/"),
+    url_filters.UrlRule("allow", "org/fr/"),
+]
+
+
+def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """A page's outcome is bad if the label under its number says low quality or toxic."""
+    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    labels = read_table(spark, folder, "labels")
+    bad = F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad")
+    outcomes = pages.join(labels.groupBy("doc_id").agg(bad), F.col("page_id") == F.col("doc_id")).select(
+        url_filters.url_parts(F.col("url"))[0].alias("host"), "bad"
+    )
+    judged = url_filters.filter_urls(pages, outcomes, URL_RULES)
+    return judged.select(
+        "page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
+        F.col("_verdict").alias("verdict"), F.col("_n_labelled").alias("host_labelled"), F.col("_n_bad").alias("host_bad"),
+    )
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn_languages(docs.where(is_training(F.col("doc_id"))))
+    named = language_id.identify_languages(docs, model)
+    return named.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, read_table(spark, folder, "benchmark"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +80,19 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    labels = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    training = docs.where(is_training(F.col("doc_id"))).join(labels, "doc_id")
+    scored = quality_neighbours.score_quality(docs, quality_neighbours.learn_neighbours(training))
+    return scored.select(
+        "doc_id",
+        is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge_quality(read_table(spark, folder, "documents").select("doc_id", "text"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -46,10 +104,19 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_language_id": op2_language_id,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scans": op10_license_scans,
 }

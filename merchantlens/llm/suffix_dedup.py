@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantlens.llm.column_bwt import Collection
@@ -103,7 +103,7 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> str:
     return name
 
 
-def _key(text: str):
+def _key(text: str) -> Column:
     return F.substring(text_key(F.coalesce(F.col(text), F.lit(""))), 1, 16)
 
 
@@ -291,8 +291,8 @@ def _counted_windows(pieces: DataFrame, length: int) -> DataFrame:
 CUT = "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept: binary, kept_sha256: string>"
 
 
-@F.pandas_udf(CUT)
 def cut_spans(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """What is left of each text without its spans, which may overlap."""
     rows = []
     for whole, ranges in zip(data, spans, strict=True):
         merged: list[list[int]] = []
@@ -307,6 +307,15 @@ def cut_spans(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
+def valid_text(kept: Column) -> Column:
+    """Bytes as text, without what is left of characters that were cut in two."""
+
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda data: data.decode("utf-8", "ignore"))
+
+    return F.pandas_udf(decode, "string")(kept)
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, **limits: int) -> DataFrame:
     """``docs`` with ``_cut``: sizes, spans, kept bytes and their SHA-256, every repeated byte left out.
 
@@ -317,7 +326,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, **
     name = distinct_texts(docs, text)
     texts = spark.table(name)
     spans = repeated_spans(texts, length, **limits)
-    cut = texts.join(spans, "key", "left").select("key", "copies", cut_spans("data", "spans").alias("_cut"))
+    cut = texts.join(spans, "key", "left").select("key", "copies", F.pandas_udf(cut_spans, CUT)("data", "spans").alias("_cut"))
     cut = stored(cut, "cut-texts")
     spark.sql(f"DROP TABLE {name}")
     hot = hot_keys(cut, "key", "copies", docs.count()).withColumnRenamed("key", "_key")
