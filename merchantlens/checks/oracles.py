@@ -116,7 +116,7 @@ RELATIONS = {
         FROM conversations""",
     "b_replies": """
         SELECT conv_id, turn, role, text,
-               CASE conv_id % 4 WHEN 0 THEN [role, split_part(text, chr(10), 1)]
+               CASE conv_id % 4 WHEN 0 THEN [role, text]
                     ELSE ['Review findings and prioritize remediation steps.'] END AS from_reply,
                list_transform(
                    list_filter(string_split(if(turn % 5 = 4, 'Action: ' || role, text), chr(10)),
@@ -178,7 +178,7 @@ FINAL = {
         FROM m_summary""",
     "read_only_sql": """
         SELECT seller_id, seller_state, late_delivery_rate FROM m_risk
-        WHERE risk_tier = 'HIGH' ORDER BY late_delivery_rate DESC, seller_id LIMIT 50""",
+        ORDER BY late_delivery_rate DESC, seller_id""",
     "action_items": r"""
         WITH found AS (
             SELECT conv_id, turn, list_transform(
@@ -200,22 +200,44 @@ FINAL = {
         SELECT 'sellers' AS table_name, count(*) AS n_rows FROM b_sellers
         UNION ALL SELECT 'orders', count(*) FROM b_orders
         UNION ALL SELECT 'order_items', count(*) FROM b_items
-        UNION ALL SELECT 'order_reviews', count(*) FROM b_reviews""",
+        UNION ALL SELECT 'order_reviews', count(*) FROM b_reviews
+        UNION ALL SELECT 'customers', count(*) FROM customer
+        UNION ALL SELECT 'geolocation', count(*) FROM supplier
+        UNION ALL SELECT 'order_payments', count(*) FROM orders
+        UNION ALL SELECT 'products', count(*) FROM part
+        UNION ALL SELECT 'product_category_name_translation', count(*) FROM nation""",
     "bronze_lineage": """
-        SELECT true AS names_a_file, true AS has_load_time, count(*) AS n_rows FROM b_orders""",
+        SELECT 'sellers' AS table_name, 'olist_sellers_dataset.csv' AS source_file, true AS has_load_time, count(*) AS n_rows FROM b_sellers
+        UNION ALL SELECT 'orders' AS table_name, 'olist_orders_dataset.csv' AS source_file, true AS has_load_time, count(*) AS n_rows FROM b_orders
+        UNION ALL SELECT 'order_items' AS table_name, 'olist_order_items_dataset.csv' AS source_file, true AS has_load_time, count(*) AS n_rows FROM b_items
+        UNION ALL SELECT 'order_reviews' AS table_name, 'olist_order_reviews_dataset.csv' AS source_file, true AS has_load_time, count(*) AS n_rows FROM b_reviews""",
     "table_refresh": """
-        SELECT order_status, count(*) AS n_rows, max(order_id) AS last_order_id
-        FROM b_orders WHERE order_status = 'F' GROUP BY order_status""",
+        SELECT lower(order_status) AS order_status, 2::INT AS revision, count(*) AS n_rows,
+               max(order_id) AS last_order_id
+        FROM b_orders GROUP BY order_status""",
     "lpi_flatten": "SELECT * FROM b_observations",
-    "lpi_load": """
-        SELECT * FROM b_observations
-        WHERE indicator_code IN ('LP.LPI.OVRL.XQ', 'LP.LPI.CUST.XQ', 'LP.LPI.INFR.XQ')""",
+    "lpi_load": "SELECT * FROM b_observations",
     "trade_flows_load": "SELECT * FROM b_trade",
     "trade_flows_select": """
         SELECT * FROM b_trade
         WHERE "reporterCode" = '7' AND "partnerCode" = '0' AND "cmdCode" = 'TOTAL' AND period = '1997'
-          AND "flowCode" = 'X'
-        LIMIT 500""",
+          AND "flowCode" = 'X'""",
+    "one_layer_counts": """
+        SELECT 'silver_orders' AS table_name, count(*) AS n_rows FROM m_orders
+        UNION ALL SELECT 'silver_sellers', count(*) FROM m_sellers
+        UNION ALL SELECT 'gold_supplier_risk', count(*) FROM m_risk""",
+    "declared_sources": """
+        SELECT 'sellers' AS table_name, count(*) AS n_rows FROM b_sellers
+        UNION ALL SELECT 'orders' AS table_name, count(*) AS n_rows FROM b_orders
+        UNION ALL SELECT 'order_items' AS table_name, count(*) AS n_rows FROM b_items
+        UNION ALL SELECT 'order_reviews' AS table_name, count(*) AS n_rows FROM b_reviews
+        UNION ALL SELECT 'customers', -1
+        UNION ALL SELECT 'geolocation', -1
+        UNION ALL SELECT 'order_payments', -1
+        UNION ALL SELECT 'products', -1
+        UNION ALL SELECT 'product_category_name_translation', -1
+        UNION ALL SELECT 'comtrade_trade_flows', -1
+        UNION ALL SELECT 'world_bank_lpi', -1""",
     "layer_row_counts": """
         SELECT 'sellers' AS table_name, count(*) AS n_rows FROM b_sellers
         UNION ALL SELECT 'orders', count(*) FROM b_orders

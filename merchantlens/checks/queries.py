@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ def silver_sellers(spark: SparkSession, folder: str) -> DataFrame:
 
 def join_items_orders(spark: SparkSession, folder: str) -> DataFrame:
     bronze = BronzeFixture(spark, folder)
-    rows = seller_order_rows(bronze.items, bronze.orders)
+    rows = seller_order_rows(bronze.items, bronze.orders, bronze.hot_orders)
     return rows.select("order_id", "order_item_id", "seller_id", "delivery_days", "is_late")
 
 
@@ -111,7 +111,7 @@ def read_only_sql(spark: SparkSession, folder: str) -> DataFrame:
     return views.read_only_sql(
         spark,
         "SELECT seller_id, seller_state, late_delivery_rate FROM adhoc_supplier_risk\n"
-        "WHERE risk_tier = 'HIGH' ORDER BY late_delivery_rate DESC, seller_id; ",
+        "ORDER BY late_delivery_rate DESC, seller_id; ",
     )
 
 
@@ -131,7 +131,7 @@ def action_item_lines(spark: SparkSession, folder: str) -> DataFrame:
 def action_item_replies(spark: SparkSession, folder: str) -> DataFrame:
     """Answers with their follow-up reply: a JSON array, a broken one, one with a tail, or prose."""
     reply_kind = F.col("conv_id") % 4
-    array = F.to_json(F.array("role", F.substring_index("text", "\n", 1)))
+    array = F.to_json(F.array("role", "text"))
     reply = (
         F.when(reply_kind == 0, F.concat(F.lit("  "), array))
         .when(reply_kind == 1, F.concat(array, F.lit(" as asked")))
@@ -167,7 +167,7 @@ def csv_ingest(spark: SparkSession, folder: str) -> DataFrame:
     landing, layers = _landing(spark, "reviews"), _layers(spark)
     _land(written, landing, "order_reviews")
     csv_tables.load_all_csv(spark, landing, layers)
-    return spark.table(layers.table("bronze", "order_reviews")).drop("_source_file", "_loaded_at")
+    return spark.table(layers.table("bronze", "order_reviews")).drop("_source_file", "_source_part", "_loaded_at")
 
 
 def bronze_manifest_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,11 +180,17 @@ def bronze_manifest_counts(spark: SparkSession, folder: str) -> DataFrame:
 def bronze_lineage(spark: SparkSession, folder: str) -> DataFrame:
     landing, layers = _land_core_tables(spark, folder), _layers(spark)
     csv_tables.load_all_csv(spark, landing, layers)
-    stored = spark.table(layers.table("bronze", "orders"))
-    return stored.groupBy(
-        F.col("_source_file").rlike(r"^part-[^/]*\.csv$").alias("names_a_file"),
-        F.col("_loaded_at").isNotNull().alias("has_load_time"),
-    ).agg(F.count(F.lit(1)).alias("n_rows"))
+    per_table = [
+        spark.table(layers.table("bronze", name))
+        .groupBy(
+            F.lit(name).alias("table_name"),
+            F.col("_source_file").alias("source_file"),
+            F.col("_loaded_at").isNotNull().alias("has_load_time"),
+        )
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+        for name in ("sellers", "orders", "order_items", "order_reviews")
+    ]
+    return reduce(DataFrame.unionByName, per_table)
 
 
 def table_refresh(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,10 +199,11 @@ def table_refresh(spark: SparkSession, folder: str) -> DataFrame:
     layers.create(spark)
     table = layers.table("bronze", "orders")
     refresh_table(bronze.orders, table)
-    refresh_table(bronze.orders.where(F.col("order_status") == "F"), table)
+    second = bronze.orders.withColumns({"order_status": F.lower("order_status"), "revision": F.lit(2)})
+    refresh_table(second, table)
     return (
         spark.table(table)
-        .groupBy("order_status")
+        .groupBy("order_status", "revision")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.max("order_id").alias("last_order_id"))
     )
 
@@ -208,7 +215,7 @@ def lpi_flatten(spark: SparkSession, folder: str) -> DataFrame:
 def lpi_load(spark: SparkSession, folder: str) -> DataFrame:
     landing, layers = scratch_folder(spark, "indicator-pages"), _layers(spark)
     BronzeFixture(spark, folder).indicator_pages.write.text(landing)
-    wanted = indicator_pages.INDICATORS[:3]
+    wanted = indicator_pages.INDICATORS
     indicator_pages.load_indicators(spark, landing, layers, wanted, page_per_line=True)
     return spark.table(layers.table("bronze", indicator_pages.TABLE)).drop("_loaded_at")
 
@@ -233,6 +240,25 @@ def layer_row_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _counts(spark, stored)
 
 
+def one_layer_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The silver layer alone, then one gold model alone."""
+    layers = _layers(spark)
+    _store_bronze(spark, folder, layers)
+    built = medallion.build_models(spark, layers, only="silver")
+    built.update(medallion.build_models(spark, layers, only="gold_supplier_risk"))
+    _drop(spark, layers)
+    return _counts(spark, built)
+
+
+def declared_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The declared sources a catalog with the core tables lacks, as -1 rows beside the rows of those present."""
+    layers = _layers(spark)
+    stored = _store_bronze(spark, folder, layers)
+    missing = medallion.missing_sources(spark, layers)
+    _drop(spark, layers)
+    return _counts(spark, {**stored, **dict.fromkeys(missing, -1)})
+
+
 def build_if_absent(spark: SparkSession, folder: str) -> DataFrame:
     """Tables built by a first and by a second conditional build of the same layers."""
     layers = _layers(spark)
@@ -268,7 +294,8 @@ def _land(df: DataFrame, landing: str, table: str) -> None:
 
 
 def _land_core_tables(spark: SparkSession, folder: str) -> str:
-    tables, landing = _core_tables(BronzeFixture(spark, folder)), _landing(spark, "core")
+    bronze, landing = BronzeFixture(spark, folder), _landing(spark, "core")
+    tables = {**_core_tables(bronze), **_other_tables(bronze)}
     run_together(spark, {name: partial(_land, df, landing, name) for name, df in tables.items()})
     return landing
 
@@ -289,6 +316,25 @@ def _core_tables(bronze: BronzeFixture) -> dict[str, DataFrame]:
     }
 
 
+def _other_tables(bronze: BronzeFixture) -> dict[str, DataFrame]:
+    """The manifest tables no model reads."""
+    return {
+        "customers": bronze.given("customer").selectExpr(
+            "c_custkey AS customer_id", "c_custkey AS customer_unique_id", "c_mktsegment AS customer_city"
+        ),
+        "geolocation": bronze.given("supplier").selectExpr(
+            "s_suppkey AS geolocation_zip_code_prefix", "s_acctbal AS geolocation_lat", "s_name AS geolocation_city"
+        ),
+        "order_payments": bronze.given("orders").selectExpr(
+            "o_orderkey AS order_id", "1 AS payment_sequential", "double(o_totalprice) AS payment_value"
+        ),
+        "products": bronze.given("part").selectExpr("p_partkey AS product_id", "p_size AS product_length_cm"),
+        "product_category_name_translation": bronze.given("nation").selectExpr(
+            "n_name AS product_category_name", "lower(n_name) AS product_category_name_english"
+        ),
+    }
+
+
 def _loaded_trade_flows(spark: SparkSession, folder: str) -> DataFrame:
     """Replies of one reporter and period each, landed, read back and stored."""
     landing, layers = scratch_folder(spark, "trade-replies"), _layers(spark)
@@ -335,5 +381,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trade_flows_load": trade_flows_load,
     "trade_flows_select": trade_flows_select,
     "layer_row_counts": layer_row_counts,
+    "one_layer_counts": one_layer_counts,
+    "declared_sources": declared_sources,
     "build_if_absent": build_if_absent,
 }

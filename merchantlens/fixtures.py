@@ -19,6 +19,8 @@ SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_acctbal double",
+    "part": "p_partkey bigint, p_size int",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
     " o_orderdate timestamp_ntz",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_extendedprice double,"

@@ -12,9 +12,13 @@ from merchantlens.operators.orders import deliveries_per_order, order_deliveries
 from merchantlens.operators.skew import LookupSide, lookup_join, union_all
 
 
-def seller_order_rows(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per item of a known seller and order, with that order's delivery days and late flag."""
-    return items.where(F.col("seller_id").isNotNull()).join(order_deliveries(orders), "order_id")
+def seller_order_rows(items: DataFrame, orders: DataFrame, hot_orders: Sequence = ()) -> DataFrame:
+    """One row per item of a known seller and order, with that order's delivery days and late flag.
+
+    Items of hot orders stay where they are, as in the models; an order id is one row of ``orders``.
+    """
+    known = items.where(F.col("seller_id").isNotNull())
+    return union_all(lookup_join(known, "order_id", [LookupSide(order_deliveries(orders))], hot_orders))
 
 
 def seller_review_scores(items: DataFrame, reviews: DataFrame, hot_orders: Sequence = ()) -> DataFrame:

@@ -16,8 +16,6 @@ HOT_SHARE = 1 / 2000
 SKETCH_COUNTERS = 16_384
 # Sketches are merged in two steps, so that no task receives one from every scan task.
 SKETCH_GROUPS = 512
-# Below this input size even a single key holding everything is little work for one task.
-SMALL_INPUT_BYTES = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -28,21 +26,13 @@ class LookupSide:
     how: str = "inner"
 
 
-def planned_input_bytes(df: DataFrame) -> int:
-    """Bytes of the files below a DataFrame as the optimizer sees them, after partition pruning."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def hot_keys(df: DataFrame, key: str, small_input_bytes: int = SMALL_INPUT_BYTES) -> list:
-    """Keys that hold at least ``HOT_SHARE`` of the rows; none on an input known to be small.
+def hot_keys(df: DataFrame, key: str) -> list:
+    """Keys that hold at least ``HOT_SHARE`` of the rows.
 
     One pass over the key column alone: sketches are merged, nothing is shuffled by key and at most
     2000 values reach the driver. The sketch only decides which way a key is joined; a key it misses
     is still joined, so results do not depend on its accuracy.
     """
-    if planned_input_bytes(df) < small_input_bytes:
-        return []
     column = F.col(key)
     sketches = (
         df.where(column.isNotNull())
@@ -74,7 +64,8 @@ def lookup_join(left: DataFrame, key: str, sides: Sequence[LookupSide], hot: Seq
     """
     if not hot:
         return [_join_all(left, key, sides)]
-    is_hot = F.col(key).isin(list(hot))
+    # A null key equals none of the hot ones and goes the ordinary way.
+    is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
     cold = _join_all(
         left.where(~is_hot), key, [LookupSide(s.frame.where(~is_hot), s.how) for s in sides]
     )

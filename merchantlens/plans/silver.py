@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from merchantlens.functions import as_timestamp, calendar_days
 from merchantlens.operators.sellers import seller_metrics
 
-LINEAGE_COLUMNS = ("_source_file", "_loaded_at")
+LINEAGE_COLUMNS = ("_source_file", "_source_part", "_loaded_at")
 
 
 def silver_orders(orders: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from merchantlens.functions import printf_round, round_to
 # Limits, tiers and KPI thresholds the views are defined by.
 DEFAULT_TOP_SUPPLIERS = 50
 MAX_TOP_SUPPLIERS = 500
-MAX_SQL_ROWS = 50
+SHOWN_SQL_ROWS = 50
+RUN_ON_FILES = "spark.sql.runSQLOnFiles"
 RISK_TIERS = ("HIGH", "MEDIUM", "LOW")
 ALL_TIERS = "All"
 LATE_RATE_WARN = 0.1
@@ -130,22 +131,41 @@ def _fixed(value: Column, digits: int) -> Column:
     return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", printf_round(value, digits)))
 
 
-def read_only_sql(spark: SparkSession, query: str, max_rows: int = MAX_SQL_ROWS) -> DataFrame:
-    """Run an ad-hoc query, first ``max_rows`` rows in its own order.
+def read_only_sql(spark: SparkSession, query: str) -> DataFrame:
+    """Run an ad-hoc query; its whole result, in its own order.
 
-    The query becomes a subquery, where the grammar admits nothing but queries. Functions that call
-    arbitrary JVM methods are refused as well.
+    The query becomes a subquery, where the grammar admits nothing but queries. Files cannot be named
+    as tables, and a plan that calls JVM methods is refused once it is analysed, however it is spelled.
     """
-    if re.search(r"\b(java_method|try_reflect|reflect)`?\s*\(", query, re.IGNORECASE):
-        raise ValueError("functions that call JVM methods are not allowed in ad-hoc queries")
     body = re.sub(r"(?:;\s*(?:--[^\n]*(?:\n\s*|\Z))*)+\Z", "", query.strip())
-    return spark.sql(f"SELECT * FROM (\n{body}\n) LIMIT {int(max_rows)}")
+    on_files = spark.conf.get(RUN_ON_FILES)
+    spark.conf.set(RUN_ON_FILES, "false")
+    try:
+        result = spark.sql(f"SELECT * FROM (\n{body}\n)")
+    finally:
+        spark.conf.set(RUN_ON_FILES, on_files)
+    # Quotes inside literals are escaped in this form, so only an expression's class can match.
+    if re.search(r'"class":"[\w.]*(?:Reflect|Reflection|StaticInvoke|Invoke)"', _plan_json(result)):
+        raise ValueError("functions that call JVM methods are not allowed in ad-hoc queries")
+    return result
+
 
+def _plan_json(df: DataFrame) -> str:
+    return df._jdf.queryExecution().analyzed().toJSON()
 
-def read_only_sql_text(spark: SparkSession, query: str, max_rows: int = MAX_SQL_ROWS) -> str:
-    """The result of an ad-hoc query as a text table; an empty result or an error as a sentence."""
+
+def read_only_sql_text(spark: SparkSession, query: str, shown_rows: int = SHOWN_SQL_ROWS) -> str:
+    """The result of an ad-hoc query as a text table; an empty result or an error as a sentence.
+
+    A longer result shows its first rows only, and a last line says how many were left out.
+    """
     try:
-        shown = read_only_sql(spark, query, max_rows).toPandas()
+        result = read_only_sql(spark, query)
+        shown = result.limit(shown_rows + 1).toPandas()
+        more = result.count() - shown_rows if len(shown) > shown_rows else 0
     except Exception as error:  # the caller is a reader: any failure is reported as text
         return f"SQL error: {error}"
-    return "Query returned no rows." if shown.empty else shown.to_string(index=False)
+    if shown.empty:
+        return "Query returned no rows."
+    table = shown.head(shown_rows).to_string(index=False)
+    return f"{table}\n... {more} more rows" if more else table

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
@@ -38,13 +37,11 @@ def build_session(app_name: str = "merchantlens", master: str | None = None, **s
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting: there one machine is the whole cluster.
+    Where the setting is missing, the folder lies in the warehouse, which is shared as well.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is unset: name a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="merchantlens-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

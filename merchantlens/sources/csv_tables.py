@@ -35,7 +35,8 @@ def read_csv_table(spark: SparkSession, path: str, entry: CsvTable) -> DataFrame
         spark.read.schema(schema)
         .options(**options, mode="DROPMALFORMED", enforceSchema=False)
         .csv(path)
-        .withColumn("_source_file", F.col("_metadata.file_name"))
+        .withColumn("_source_file", F.lit(path.rstrip("/").rpartition("/")[2]))
+        .withColumn("_source_part", F.col("_metadata.file_name"))
         .withColumn("_loaded_at", F.current_timestamp())
     )
 

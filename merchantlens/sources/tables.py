@@ -40,17 +40,39 @@ class Bucketing:
 def refresh_table(df: DataFrame, table: str, bucketing: Bucketing | None = None) -> int:
     """Replace a table by the rows of ``df``; returns the row count of the stored table.
 
-    Counting the stored table, not ``df``, matters: a CSV scan that drops bad rows only sees them
-    when it parses every column. ``df`` must not read the table it replaces.
+    The rows are written beside the old table, counted there and put in its place, so a failing scan
+    leaves the old table as it was, and ``df`` may read it. Counting what is stored matters: a CSV scan
+    that drops bad rows only sees them when it parses every column.
     """
+    return _replace(_staged(df, table, bucketing), table)
+
+
+def refresh_table_unless_empty(df: DataFrame, table: str) -> int:
+    """Replace a table, but leave it as it is and return 0 when there is nothing to store."""
+    staged = _staged(df, table)
+    if staged.isEmpty():
+        df.sparkSession.sql(f"DROP TABLE {_staging_name(table)}")
+        return 0
+    return _replace(staged, table)
+
+
+def _staging_name(table: str) -> str:
+    return f"{table}__staging"
+
+
+def _staged(df: DataFrame, table: str, bucketing: Bucketing | None = None) -> DataFrame:
+    """The rows of ``df`` as a stored table beside the one they are meant for."""
     writer = df.write.mode("overwrite").format("parquet")
     if bucketing:
         placed = df.repartition(bucketing.buckets, bucketing.column)
         writer = placed.write.mode("overwrite").format("parquet").bucketBy(bucketing.buckets, bucketing.column)
-    writer.saveAsTable(table)
-    return df.sparkSession.table(table).count()
+    writer.saveAsTable(_staging_name(table))
+    return df.sparkSession.table(_staging_name(table))
 
 
-def refresh_table_unless_empty(df: DataFrame, table: str) -> int:
-    """Replace a table, but leave it as it is and return 0 when there is nothing to store."""
-    return 0 if df.isEmpty() else refresh_table(df, table)
+def _replace(staged: DataFrame, table: str) -> int:
+    n_rows = staged.count()
+    spark = staged.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {_staging_name(table)} RENAME TO {table}")
+    return n_rows

@@ -10,12 +10,12 @@ from merchantlens.sources.tables import Layers, refresh_table_unless_empty
 
 TABLE = "comtrade_trade_flows"
 
-# Defaults and record limit of a selection.
+# Defaults of a selection.
 WORLD = "0"
 ALL_COMMODITIES = "TOTAL"
 DEFAULT_PERIOD = "2023"
 IMPORTS, EXPORTS = "M", "X"
-MAX_RECORDS = 500
+YEARLY, COMMODITY_TRADE, HARMONIZED = "A", "C", "HS"
 
 
 def read_replies(
@@ -50,17 +50,35 @@ def select_trade_flows(
     commodity_code: str = ALL_COMMODITIES,
     period: str = DEFAULT_PERIOD,
     trade_flow: str = IMPORTS,
+    second_partner: str = WORLD,
+    trade_type: str = COMMODITY_TRADE,
+    frequency: str = YEARLY,
+    classification: str = HARMONIZED,
+    limit: int | None = None,
 ) -> DataFrame:
-    """At most 500 records of one reporter, partner, commodity, period and direction.
+    """The records of one reporter, partner, commodity, period and direction; all, or the first ``limit``.
 
-    The five equality filters reach the scan; the ordering makes the limit repeatable.
+    Second partner, trade type, frequency and classification count where the table has them. The
+    equality filters reach the scan; with a limit an ordering makes it repeatable.
     """
-    chosen = flows.where(
-        (F.col("reporterCode") == reporter)
-        & (F.col("partnerCode") == partner)
-        & (F.col("cmdCode") == commodity_code)
-        & (F.col("period") == period)
-        & (F.col("flowCode") == trade_flow)
-    )
+    wanted = {
+        "reporterCode": reporter,
+        "partnerCode": partner,
+        "cmdCode": commodity_code,
+        "period": period,
+        "flowCode": trade_flow,
+    }
+    optional = {
+        "partner2Code": second_partner,
+        "typeCode": trade_type,
+        "freqCode": frequency,
+        "clCode": classification,
+    }
+    wanted.update({name: value for name, value in optional.items() if name in flows.columns})
+    chosen = flows
+    for name, value in wanted.items():
+        chosen = chosen.where(F.col(name) == value)
+    if limit is None:
+        return chosen
     orderable = [name for name, kind in chosen.dtypes if not kind.startswith("map")]
-    return chosen.orderBy(*orderable).limit(MAX_RECORDS)
+    return chosen.orderBy(*orderable).limit(limit)

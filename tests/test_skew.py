@@ -53,22 +53,18 @@ def test_sketch_finds_every_hot_key_and_only_those(skewed):
     items = skewed.items
     counts = {r["order_id"]: r["count"] for r in items.groupBy("order_id").count().collect()}
     threshold = items.count() * skew.HOT_SHARE
-    found = skew.hot_keys(items, "order_id", small_input_bytes=0)
+    found = skew.hot_keys(items, "order_id")
     assert set(found) == {key for key, n in counts.items() if n >= threshold}
     assert "hot" in found
 
 
-def test_small_inputs_are_not_sketched(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("1 AS one")
-    assert skew.hot_keys(df, "one") == []
-    assert skew.hot_keys(df, "one", small_input_bytes=0) == [1]
-
-
-def test_input_size_adds_up_the_scans(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
-    one = skew.planned_input_bytes(df)
-    assert 0 < one < 10_000_000
-    assert skew.planned_input_bytes(df.join(df.withColumnRenamed("o_custkey", "c"), "o_orderkey")) <= 2 * one
+def test_null_keys_go_the_ordinary_way(spark):
+    left = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, n int")
+    right = spark.createDataFrame([("a", 10), (None, 20)], "k string, v int")
+    for how, expected in (("left", {("a", 1, 10), (None, 2, None), ("b", 3, None)}), ("inner", {("a", 1, 10)})):
+        for hot in ([], ["a"]):
+            parts = skew.lookup_join(left, "k", [skew.LookupSide(right, how)], hot)
+            assert {tuple(r) for r in skew.union_all(parts).collect()} == expected
 
 
 @pytest.mark.parametrize("hot", [[], HOT], ids=["cold", "hot"])
@@ -150,22 +146,22 @@ def test_parts_of_a_lookup_join_are_the_join(spark, skewed, how):
 
 def test_sketch_of_nothing(spark):
     empty = spark.createDataFrame([], "k string")
-    assert skew.hot_keys(empty, "k", small_input_bytes=0) == []
+    assert skew.hot_keys(empty, "k") == []
     nulls = spark.createDataFrame([(None,)], "k string")
-    assert skew.hot_keys(nulls, "k", small_input_bytes=0) == []
+    assert skew.hot_keys(nulls, "k") == []
 
 
 def test_sketch_on_many_partitions_and_keys(spark):
     """More distinct keys than counters: the hot ones are still found, with their share."""
     key = F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 100 == 1, -2).otherwise(F.col("id"))
     df = spark.range(0, 300_000, numPartitions=40).select(key.alias("k"))
-    assert skew.hot_keys(df, "k", small_input_bytes=0) == [-1, -2]
+    assert skew.hot_keys(df, "k") == [-1, -2]
 
 
 def test_sketch_with_more_partitions_than_rows(spark, set_conf):
     set_conf(**{"spark__sql__adaptive__enabled": "false", "spark__sql__shuffle__partitions": "64"})
     df = spark.range(0, 3, numPartitions=20).selectExpr("'x' AS k")
-    assert skew.hot_keys(df, "k", small_input_bytes=0) == ["x"]
+    assert skew.hot_keys(df, "k") == ["x"]
 
 
 def test_weights_beyond_bigint_do_not_overflow(spark):

@@ -106,7 +106,7 @@ def test_columns_match_by_name(spark, layers, tmp_path):
     stored = spark.table(layers.table("bronze", "order_items"))
     assert dict(stored.dtypes) | {"_loaded_at": ""} == {
         "price": "double", "order_id": "string", "order_item_id": "int", "note": "int",
-        "_source_file": "string", "_loaded_at": "",
+        "_source_file": "string", "_source_part": "string", "_loaded_at": "",
     }
     assert stored.first()["order_id"] == "007"
 
@@ -124,10 +124,10 @@ def test_part_files_load_as_one_table(spark, layers, tmp_path):
     for n in range(3):
         land(folder, f"part-{n}.csv", f"seller_id,seller_state\ns{n},SP\nt{n},MG\n")
     assert csv_tables.load_all_csv(spark, str(tmp_path / "raw"), layers) == {"sellers": 6}
-    files = spark.table(layers.table("bronze", "sellers")).groupBy("_source_file").count().collect()
-    assert sorted((r["_source_file"], r["count"]) for r in files) == [
-        ("part-0.csv", 2), ("part-1.csv", 2), ("part-2.csv", 2),
-    ]
+    files = spark.table(layers.table("bronze", "sellers")).groupBy("_source_file", "_source_part").count()
+    assert sorted(tuple(r) for r in files.collect()) == [
+        ("olist_sellers_dataset.csv", f"part-{n}.csv", 2) for n in range(3)
+    ]
 
 
 def test_a_part_with_another_header_fails_the_load(spark, layers, tmp_path):
@@ -237,7 +237,12 @@ def test_trade_selection(spark):
     rows += [flow(partner="32"), flow(commodity="01"), flow(period="2022"), flow("32"), flow(direction="X")]
     flows = spark.createDataFrame(rows)
     chosen = trade_flows.select_trade_flows(flows, "76")
-    assert [r["primaryValue"] for r in chosen.collect()] == [float(n) for n in range(500)]
+    assert sorted(r["primaryValue"] for r in chosen.collect()) == [float(n) for n in range(600)]
+    first = trade_flows.select_trade_flows(flows, "76", limit=500)
+    assert [r["primaryValue"] for r in first.collect()] == [float(n) for n in range(500)]
+    detailed = flows.selectExpr("*", "IF(primaryValue < 9, 'M', 'A') AS freqCode", "'0' AS partner2Code")
+    assert trade_flows.select_trade_flows(detailed, "76", frequency="M").count() == 9
+    assert trade_flows.select_trade_flows(detailed, "76", second_partner="4").count() == 0
     assert trade_flows.select_trade_flows(flows, "76", trade_flow="X").count() == 1
     assert trade_flows.select_trade_flows(flows, "76", partner="32").count() == 1
     assert trade_flows.select_trade_flows(flows, "76", commodity_code="01", period="2023").count() == 1

@@ -131,7 +131,7 @@ def test_kpi_report_without_sellers(spark):
 )
 def test_ad_hoc_queries_run(spark, query):
     spark.range(120).createOrReplaceTempView("numbers")
-    assert [r[0] for r in views.read_only_sql(spark, query).collect()] == list(range(119, 69, -1))
+    assert [r[0] for r in views.read_only_sql(spark, query).collect()] == list(range(119, -1, -1))
 
 
 @pytest.mark.parametrize(
@@ -143,6 +143,9 @@ def test_ad_hoc_queries_run(spark, query):
         "SHOW TABLES",
         "SET spark.sql.ansi.enabled = false",
         "SELECT 1; DROP VIEW numbers",
+        "SELECT reflect/**/('java.lang.Math', 'abs', -5)",
+        "SELECT java_method --x\n('java.lang.System', 'nanoTime')",
+        "SELECT * FROM text.`/etc/hostname`",
         "SELECT java_method('java.lang.System', 'nanoTime')",
         "SELECT `reflect`('java.lang.System', 'nanoTime')",
         "SELECT missing FROM numbers",
@@ -159,3 +162,15 @@ def test_ad_hoc_statements_that_are_no_query_are_refused(spark, query):
 def test_ad_hoc_results_as_text(spark):
     assert views.read_only_sql_text(spark, "SELECT 1 AS a WHERE 1 = 0") == "Query returned no rows."
     assert views.read_only_sql_text(spark, "SELECT 1 AS a, 'x' AS b").split() == ["a", "b", "1", "x"]
+
+
+def test_harmless_literals_pass_and_long_results_are_whole(spark):
+    assert views.read_only_sql(spark, "SELECT 'reflect (' AS note").first()[0] == "reflect ("
+    assert views.read_only_sql(spark, "SELECT id FROM range(60)").count() == 60
+    shown = views.read_only_sql_text(spark, "SELECT id FROM range(60) ORDER BY id").splitlines()
+    assert len(shown) == 52 and shown[-1] == "... 10 more rows"
+
+
+def test_nested_calls_are_refused(spark):
+    with pytest.raises(ValueError, match="JVM"):
+        views.read_only_sql(spark, "SELECT (SELECT reflect('java.lang.Math', 'abs', -5))")
