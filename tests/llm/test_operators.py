@@ -1,0 +1,296 @@
+"""The operators against brute force on awkward rows: nulls, empty, long and repeated texts, clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from merchantlens.llm import (
+    decontamination,
+    language_id,
+    license_scan,
+    packing,
+    quality_neighbours,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    url_filters,
+)
+from merchantlens.llm.chunk_tokens import ChunkIds, ChunkLengths
+from merchantlens.llm.column_bwt import END, Collection
+from merchantlens.llm.components import connected_components
+
+SCHEMA = "doc_id bigint, text string, lang string, words string, key string, label int, fp bigint, n int"
+RNG = random.Random(5)
+WORDS = ["the", "of", "ertion,", "Th", "hein.", "naïve", "été", "x1", "don't", "###", "ÜBER", "日本", "a b"]
+PASSAGE = " ".join(RNG.choice(WORDS[:8]) for _ in range(130))
+
+
+def prose(n: int) -> str:
+    return " ".join(RNG.choice(WORDS) for _ in range(n))
+
+
+TEXTS = [
+    None, "", " ", "\n\n", "one", "Two words", prose(40), prose(3000), PASSAGE, "x " + PASSAGE, PASSAGE + " y",
+    prose(50) + PASSAGE + prose(50), PASSAGE, PASSAGE, "  double  spaces \t tabs\r\n ends ", "<|endoftext|> a<|endoftext|>",
+    "ab " * 500, "é" * 900, "line\nline\nline\nother line\n", "a\x1cb \x85 c d", "1234 5678", prose(200),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(None if k == 9 else k, t, "en", "w", "k", 1, 7, 3) for k, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[6], rows[6]], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_text(docs, found, columns):
+    """Rows of docs and of a result, matched by id; ids here are unique but for exact repeats."""
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    return [(texts[r["doc_id"]] or "", *[r[c] for c in columns]) for r in found.collect()]
+
+
+def test_column_transform_equals_sorting():
+    for trial in range(60):
+        alphabet = b"ab" if trial % 2 else b"abcd"
+        texts = [bytes(RNG.choice(alphabet) for _ in range(RNG.randint(0, 12))) for _ in range(RNG.randint(1, 8))]
+        texts += texts[:2]
+        built = Collection(texts).build()
+        suffixes = sorted(
+            ([*(b + 1 for b in t[i:]), 0], d, i) for d, t in enumerate(texts) for i in range(len(t) + 1)
+        )
+        assert built.bwt.tolist() == [texts[d][i - 1] if i else END for _, d, i in suffixes]
+        shared = [
+            next((k for k, (x, y) in enumerate(zip(a[:-1], b[:-1], strict=False)) if x != y), min(len(a), len(b)) - 1)
+            for (a, _, _), (b, _, _) in zip(suffixes, suffixes[1:], strict=False)
+        ]
+        assert built.lcp.tolist() == [0, *shared]
+
+
+@pytest.mark.parametrize("limits", [{}, {"core_limit": 1}, {"bucket_bytes": 500}])
+def test_repeats_are_removed(spark, docs, limits):
+    rows = [(r["text"] or "").encode() for r in docs.collect()]
+    found = suffix_dedup.remove_repeats(docs, length=96, **limits)
+    assert set(found.columns) == (set(docs.columns) - {"text"}) | {"_cut"}
+    long_seen = Counter(b[i : i + 96] for b in rows for i in range(len(b) - 95))
+    cut = Counter(tuple(r["_cut"][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in found.collect())
+    expected = Counter()
+    for data in rows:
+        gone = np.zeros(len(data), bool)
+        for i in range(len(data) - 95):
+            if long_seen[data[i : i + 96]] > 1:
+                gone[i : i + 96] = True
+        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        expected[(len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
+    assert cut == expected
+
+
+def fingerprint_by_bits(text: str) -> int:
+    words = text.encode().lower().split()
+    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << i for i in range(64) if 2 * sum((h >> i) & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("list_limit", [4096, 1])
+def test_simhash_components(spark, docs, list_limit):
+    rows = [(r["doc_id"], fingerprint_by_bits(r["text"] or "")) for r in docs.collect()]
+    fps = sorted({fp for _, fp in rows})
+    root = {fp: fp for fp in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 4:
+                root[find(a)] = find(b)
+    least = {}
+    for doc_id, fp in rows:
+        if doc_id is not None:
+            least[find(fp)] = min(doc_id, least.get(find(fp), doc_id))
+    expected = Counter((d, f"{fp:016x}", least.get(find(fp))) for d, fp in rows)
+    found = simhash.simhash_components(docs, list_limit=list_limit)
+    got = found.select("doc_id", simhash.fingerprint_hex(F.col("fp")), "component_id").collect()
+    assert Counter(map(tuple, got)) == expected
+    kept = simhash.one_of_each(docs).collect()
+    assert len(kept) == len({find(fp) for _, fp in rows})
+
+
+def test_triples_cover_and_long_lists_lose_no_link(spark):
+    for four in itertools.combinations(range(8), 4):
+        assert any(set(t) <= set(four) for t in simhash.covering_triples())
+    fps = [RNG.getrandbits(64) for _ in range(30)]
+    fps += [fp ^ (1 << RNG.randrange(64)) ^ (1 << RNG.randrange(64)) for fp in fps for _ in range(3)]
+    frame = spark.createDataFrame([(simhash._signed(fp),) for fp in set(fps)], "fp bigint")
+    labels = [
+        {r["node"]: r["label"] for r in connected_components(simhash.link_fingerprints(frame, limit)).collect()}
+        for limit in (4096, 1)
+    ]
+    assert labels[0] == labels[1]
+
+
+def test_components_of_a_chain(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(900, 901)], "a bigint, b bigint")
+    labels = {r["node"]: r["label"] for r in connected_components(chain).collect()}
+    assert labels == {**dict.fromkeys(range(201), 0), 900: 900, 901: 900}
+
+
+def test_token_counts_are_the_librarys(docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    frequent = token_counts.frequent_lengths(docs, path, most=50)
+    for text, n_bytes, n_tokens in by_text(docs, token_counts.count_tokens(docs, path, frequent), ("n_bytes", "n_tokens")):
+        assert n_bytes == len(text.encode())
+        assert n_tokens == len(library.encode(text, add_special_tokens=False).ids), text[:80]
+
+
+def test_chunks_of_any_character(docs):
+    counts, ids = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(counts), Tokenizer.from_file(ids)
+    lengths, packed = ChunkLengths(counts, {}, entries=50), ChunkIds(ids, entries=50)
+    points = [c for c in [*range(0x3000), *range(0xFE00, 0xFF00), 0x1F600, 0x1D400] if not 0xD800 <= c < 0xE000]
+    for c in points:
+        text = f"a{chr(c)}b {chr(c)} {chr(c)}s's\n{chr(c)}, {chr(c).upper()}"
+        assert lengths.of_text(text) == len(library.encode(text, add_special_tokens=False).ids), hex(c)
+        assert np.frombuffer(packed.of_text(text), "<u4").tolist() == words.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+@pytest.mark.parametrize("measure", ["residual_norm", "dot_product"])
+def test_packing_is_an_exact_cover(docs, measure):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    capacity = packing.Capacity(tokens=64, pieces=5, attention=64 * 64, measure=measure)
+    rows = packing.pack_documents(docs, path, capacity, packing.GroupSize(tokens=2_000, rows=10)).collect()
+    pieces = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    expected = Counter()
+    for doc in docs.collect():
+        ids = [*library.encode(doc["text"] or "", add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(ids), 64)):
+            part = np.array(ids[start : start + 64], "<u4")
+            expected[(doc["doc_id"], piece, start, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert pieces == expected
+    for sequence in {r["sequence_id"] for r in rows}:
+        own = sorted((r["offset"], r["length"]) for r in rows if r["sequence_id"] == sequence)
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+        assert len(own) <= 5 and sum(n for _, n in own) <= 64 and sum(n * n for _, n in own) <= 64 * 64
+
+
+def test_quality_measures(docs):
+    for row in quality_rules.judge_quality(docs).collect():
+        text, m = row["text"] or "", row["_measures"]
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        often = Counter(windows)
+        covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(8)}
+        lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+        assert m["n_words"] == len(words) and m["word_chars"] == sum(map(len, words))
+        assert m["n_repeat_words"] == len(covered) and m["n_dup_lines"] == len(lines) - len(set(lines))
+        assert m["n_symbols"] == sum(text.count(c) for c in "#*$%&|<>")
+        failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+        assert row["_base_failed"] == failed and not (failed and row["_kept"])
+
+
+def test_decontamination_bridges_substitutions(spark, docs):
+    item = " ".join(f"w{k}" for k in range(30))
+    changed = " ".join(f"W{k}!" if k % 7 else "other" for k in range(30))
+    tests = spark.createDataFrame([(1, item), (None, item), (2, "too short"), (3, None)], "item_id bigint, text string")
+    more = docs.unionByName(
+        spark.createDataFrame([(100, prose(20) + " " + changed, *[None] * 6), (None, item, *[None] * 6)], SCHEMA)
+    )
+    for block_words in (100_000, 10):
+        found = decontamination.contaminated(more, tests, block_words=block_words).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == {(100, 1), (100, None), (None, 1), (None, None)}
+    clean = decontamination.without_contaminated(more, tests)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+
+
+def test_url_rules_and_reputation(spark):
+    rules = [url_filters.UrlRule("block", "net/"), url_filters.UrlRule("allow", "example.net/en/")]
+    rows = [
+        (1, "http://A.Example.NET/en/x?q#f"), (2, "http://example.net/de"), (3, "http://notexample.net/en/"), (4, None),
+        (5, "no scheme"), (6, "http://bad.org/x"), (7, "http://good.org/x"), (8, "http://net"), (9, "http://x.net?y=://z/"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string").withColumn("host", F.lit("clash"))
+    outcomes = spark.createDataFrame(
+        [("bad.org", 1)] * 90 + [("good.org", 0)] * 90 + [("new.org", 1), ("x.org", None)], "host string, bad int"
+    )
+    got = {r["page_id"]: r for r in url_filters.filter_urls(pages, outcomes, rules).collect()}
+    assert [(got[k]["_host"], got[k]["_path"], got[k]["_rule"], got[k]["_verdict"]) for k in range(1, 10)] == [
+        ("a.example.net", "/en/x", "example.net/en/", "allow"), ("example.net", "/de", "net/", "block"),
+        ("notexample.net", "/en/", "net/", "block"), ("", "", None, "allow"), ("", "", None, "allow"),
+        ("bad.org", "/x", None, "block"), ("good.org", "/x", None, "allow"), ("net", "", None, "allow"),
+        ("x.net", "", None, "allow"),
+    ]
+    lower = {r["host"]: r["lower"] for r in url_filters.host_reputation(outcomes).collect()}
+    assert lower["good.org"] < lower["new.org"] < lower["bad.org"]
+
+
+def test_languages_and_backoff(spark, docs):
+    train = spark.createDataFrame(
+        [("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "en"), ("le chat", None)],
+        "text string, lang string",
+    )
+    model = language_id.learn_languages(train)
+    assert model.languages == ["de", "en"]
+    asked = spark.createDataFrame([(1, "The dogs"), (2, "katzen hunde"), (3, "12 !"), (4, None)], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in language_id.identify_languages(asked, model).collect()}
+    assert [got[k]["lang_pred"] for k in (1, 2, 3, 4)] == ["en", "de", "und", "und"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["lang_pred"] for r in language_id.identify_languages(docs, language_id.learn_languages(train.limit(0))).collect()} == {"und"}
+
+
+def test_quality_votes(spark, docs):
+    good, bad = [prose(30) for _ in range(40)], ["SALE!! " * RNG.randint(5, 30) for _ in range(40)]
+    labelled = spark.createDataFrame([(t, 1) for t in good] + [(t, 0) for t in bad] + [(None, 1), ("x", None)], "text string, label int")
+    model = quality_neighbours.learn_neighbours(labelled)
+    asked = spark.createDataFrame([(1, prose(25)), (2, "SALE!! SALE!! NOW!!"), (3, None)], "doc_id int, text string")
+    got = {r["doc_id"]: r["score"] for r in quality_neighbours.score_quality(asked, model).collect()}
+    assert got[1] > 0.9 and got[2] < 0.1 and 0 <= got[3] <= 1
+    empty = quality_neighbours.learn_neighbours(labelled.limit(0))
+    assert {r["score"] for r in quality_neighbours.score_quality(docs, empty).collect()} == {0.5}
+
+
+def test_license_alignment(spark, docs):
+    notice = license_scan.TEMPLATES["MIT-header"]
+    partly = " ".join(w for k, w in enumerate(notice.split()) if k % 10)
+    rows = [(1, "x\n" + license_scan.TEMPLATES["MIT"] + "\ny"), (2, partly), (3, "the license of software"), (4, None)]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert [got[k]["license"] for k in (1, 2, 3, 4)] == ["MIT", "MIT-header", None, None]
+    assert got[1]["coverage"] == 1.0 and 0.8 <= got[2]["coverage"] < 1
+    assert license_scan.align([1, 2, 3, 9, 4], [1, 3, 2, 4]) in ([(0, 0), (1, 2), (4, 3)], [(0, 0), (2, 1), (4, 3)])
+
+
+def test_empty_tables(spark, nothing):
+    words, bytes_ = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    no_tests = spark.createDataFrame([], "item_id bigint, text string")
+    for result in (
+        packing.pack_documents(nothing, words),
+        simhash.simhash_components(nothing),
+        simhash.one_of_each(nothing),
+        suffix_dedup.remove_repeats(nothing),
+        token_counts.count_tokens(nothing, bytes_, token_counts.frequent_lengths(nothing, bytes_)),
+        quality_rules.judge_quality(nothing),
+        decontamination.contaminated(nothing, no_tests),
+        license_scan.scan_licenses(nothing),
+    ):
+        assert result.count() == 0
