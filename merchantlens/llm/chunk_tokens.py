@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-
-import numpy as np
+from struct import pack
 
 # Letters that case folding, composition and every version of the letter class leave no doubt about.
 PLAIN_WORD = re.compile(r"[a-zß-öø-ÿ]+", re.ASCII)
+MARKS = frozenset(".,")
 CACHE_ENTRIES = 400_000
 
 
@@ -45,32 +45,36 @@ class ChunkIds(dict):
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tokenizer, self.entries = load_tokenizer(path), entries
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.entries:
             self.clear()
-        text = chunk.decode("utf-8", "replace")
-        ids = self._word(low) if PLAIN_WORD.fullmatch(low := text.lower()) else self._other(text, low)
-        packed = self[chunk] = np.asarray(ids, "<u4").tobytes()
+        low = chunk.decode("utf-8", "replace").lower()
+        if PLAIN_WORD.fullmatch(low):
+            packed = self._word(low)
+        elif low[-1] in ".," and PLAIN_WORD.fullmatch(low, 0, len(low) - 1):
+            packed = self._word(low[:-1]) + self._whole(low[-1])
+        else:
+            packed = self._whole(chunk.decode("utf-8", "replace"))
+        self[chunk] = packed
         return packed
 
-    def _other(self, text: str, low: str) -> list[int]:
-        if low[-1] in ".," and PLAIN_WORD.fullmatch(low[:-1]):
-            return self._word(low[:-1]) + self._word_of_library(low[-1])
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _word(self, word: str) -> list[int]:
-        if (ids := self.words.get(word)) is None:
+    def _word(self, word: str) -> bytes:
+        if (packed := self.words.get(word)) is None:
             if len(self.words) >= self.entries:
                 self.words.clear()
-            ids = self.words[word] = [token.id for token in self.model.tokenize(word.translate(self.letters))]
-        return ids
+            tokens = self.model.tokenize(word if word.isascii() else word.translate(self.letters))
+            packed = self.words[word] = pack("<%dI" % len(tokens), *[token.id for token in tokens])
+        return packed
 
-    def _word_of_library(self, mark: str) -> list[int]:
-        if (ids := self.words.get(mark)) is None:
-            ids = self.words[mark] = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        return ids
+    def _whole(self, text: str) -> bytes:
+        if (packed := self.words.get(text)) is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            packed = pack("<%dI" % len(ids), *ids)
+            if text in MARKS:
+                self.words[text] = packed
+        return packed
 
     def of_text(self, text: str) -> bytes:
         # bytes.split knows the six ASCII white-space characters only; others stay inside a chunk.
