@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from merchantlens.llm.common import stored
+
 # The classifier is fitted on at most this many labelled documents, those with the smallest hash.
 SAMPLE = 3_000
 WORD_TERMS, SHAPE_TERMS = 4_096, 1_024
@@ -67,6 +69,19 @@ class ChunkTerms(dict):
         return terms, values
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, text: str = "text") -> DataFrame:
+    """Stored (text, label) rows of at most ``most`` labelled documents, those whose id hashes lowest.
+
+    Only ids are joined at full size; the texts of the chosen ones are picked out of the scan, so no
+    text is shuffled. ``labels`` has doc_id and label, null labels are left out.
+    """
+    known = labels.where(F.col("label").isNotNull()).select("doc_id", "label")
+    ids = docs.select("doc_id").distinct().join(known, "doc_id").distinct()
+    chosen = ids.orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label").limit(most)
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return stored(rows.select("text", "label"), "labelled-sample")
+
+
 def learn_neighbours(labelled: DataFrame, most: int = SAMPLE, text: str = "text", label: str = "label") -> NeighbourModel:
     """Fit on rows (text, label 0 or 1); null labels are left out, null texts are empty ones."""
     rows = labelled.where(F.col(label).isNotNull()).select(

@@ -83,7 +83,7 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     labels = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    training = docs.where(is_training(F.col("doc_id"))).join(labels, "doc_id")
+    training = quality_neighbours.labelled_sample(docs.where(is_training(F.col("doc_id"))), labels)
     scored = quality_neighbours.score_quality(docs, quality_neighbours.learn_neighbours(training))
     return scored.select(
         "doc_id",
