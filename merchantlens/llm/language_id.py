@@ -8,7 +8,7 @@ the model knows counts by its own frequency; another one by its known 4-grams, o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,8 @@ GRAMS = 20_000
 LONGEST_GRAM = 4
 UNKNOWN = "und"
 CACHE_ENTRIES = 200_000
+# Chunks that are looked up together.
+BLOCK = 20_000
 SCHEMA = "doc_id bigint, lang_pred string, score double"
 
 
@@ -49,9 +51,9 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     padded = F.concat(F.lit(" "), F.col("term"), F.lit(" "))
     tables = [_frequencies(counts, languages, WORDS)]
     for n in range(LONGEST_GRAM, 0, -1):
-        starts = F.sequence(F.lit(1), F.length(padded) - n + 1)
-        pieces = F.transform(starts, lambda i, n=n: F.substring(padded, i, F.lit(n)))
-        each = counts.where(F.length(padded) >= n).select("lang", "count", F.explode(pieces).alias("term"))
+        starts = F.explode(F.sequence(F.lit(1), F.length(padded) - n + 1)).alias("at")
+        each = counts.where(F.length(padded) >= n).select("lang", "count", padded.alias("padded"), starts)
+        each = each.select("lang", "count", F.substring("padded", F.col("at"), F.lit(n)).alias("term"))
         summed = stored(each.groupBy("term", "lang").agg(F.sum("count").alias("count")), "language-grams")
         tables.append(_frequencies(summed, languages, GRAMS))
     rows: list[dict[str, int]] = []
@@ -77,43 +79,95 @@ def _frequencies(counts: DataFrame, languages: list[str], most: int) -> tuple[li
     return list(top["term"]), logs
 
 
-class ChunkScores(dict):
-    """White-space delimited chunk to its row in a growing table of scores; emptied when full."""
+class ChunkScores:
+    """Scores of white-space delimited chunks, kept in a bounded table; unseen ones are scored together."""
 
     LETTERS = re.compile(r"[^\W\d_]+")
 
     def __init__(self, model: LanguageModel, entries: int = CACHE_ENTRIES):
         self.model, self.entries = model, entries
+        self.rows: dict[str, int] = {}
         self.table = np.zeros((entries, len(model.languages) + 1))
-
-    def __missing__(self, chunk: str) -> int:
-        row = self[chunk] = len(self)
-        self.table[row] = 0
-        for word in self.LETTERS.findall(chunk.lower()):
-            if any(map(str.isalpha, word)):
-                self.table[row, :-1] += self._word(word)
-                self.table[row, -1] += 1
-        return row
-
-    def _word(self, word: str) -> np.ndarray:
-        if (known := self.model.words.get(word)) is not None:
-            return self.model.logs[known]
-        padded = f" {word} "
-        for n, grams in self.model.grams:
-            found = [g for i in range(len(padded) - n + 1) if (g := grams.get(padded[i : i + n])) is not None]
-            if found:
-                return self.model.logs[found].mean(axis=0)
-        return np.zeros(len(self.model.languages))
-
-    def of_text(self, text: str) -> np.ndarray:
-        """Sums per language, and the number of words."""
-        total = np.zeros(len(self.model.languages) + 1)
-        chunks = text.split()
-        for begin in range(0, len(chunks), 10_000):
-            if len(self) > self.entries - 10_000:
-                self.clear()
-            total += self.table[list(map(self.__getitem__, chunks[begin : begin + 10_000]))].sum(axis=0)
-        return total
+        self.grams = [(n, *_sorted_keys(grams, n)) for n, grams in model.grams]
+
+    def of_texts(self, texts: Iterable[str]) -> np.ndarray:
+        """One row per text: sums per language, and the number of words."""
+        texts = list(texts)
+        totals = np.zeros((len(texts), self.table.shape[1]))
+        chunks: list[str] = []
+        owners: list[int] = []
+        starts: list[int] = []
+        for owner, text in enumerate(texts):
+            found = text.split()
+            for begin in range(0, len(found), BLOCK):
+                owners.append(owner)
+                starts.append(len(chunks))
+                chunks += found[begin : begin + BLOCK]
+                if len(chunks) >= BLOCK:
+                    np.add.at(totals, owners, np.add.reduceat(self._of_chunks(chunks), starts))
+                    chunks, owners, starts = [], [], []
+        if chunks:
+            np.add.at(totals, owners, np.add.reduceat(self._of_chunks(chunks), starts))
+        return totals
+
+    def _of_chunks(self, chunks: list[str]) -> np.ndarray:
+        if len(self.rows) > self.entries - 2 * BLOCK:
+            self.rows.clear()
+        begin = len(self.rows)
+        words: list[str] = []
+        owners: list[int] = []
+        for chunk in dict.fromkeys(chunks):
+            if chunk not in self.rows:
+                row = self.rows[chunk] = len(self.rows)
+                for word in self.LETTERS.findall(chunk.lower()):
+                    if word.isalpha() or any(map(str.isalpha, word)):
+                        words.append(word)
+                        owners.append(row)
+        self.table[begin : len(self.rows)] = 0
+        if words:
+            np.add.at(self.table, owners, np.column_stack([self._of_words(words), np.ones(len(words))]))
+        return self.table[list(map(self.rows.__getitem__, chunks))]
+
+    def _of_words(self, words: list[str]) -> np.ndarray:
+        logs = self.model.logs
+        known = np.array([self.model.words.get(word, -1) for word in words])
+        scores = np.zeros((len(words), logs.shape[1]))
+        scores[known >= 0] = logs[known[known >= 0]]
+        left = np.flatnonzero(known < 0)
+        for n, keys, rows in self.grams:
+            if not len(left) or not len(keys):
+                continue
+            padded = [f" {words[i]} " for i in left]
+            grams = _gram_keys("".join(padded), n)
+            ends = np.cumsum(np.fromiter(map(len, padded), np.int64, len(padded)))
+            owner = np.repeat(np.arange(len(left)), np.diff(ends, prepend=0))[: len(grams)]
+            place = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            # A string that runs into the next word belongs to neither.
+            hit = np.flatnonzero((keys[place] == grams) & (np.arange(len(grams)) + n <= ends[owner]))
+            if not len(hit):
+                continue
+            met, first, found = np.unique(owner[hit], return_index=True, return_counts=True)
+            scores[left[met]] = np.add.reduceat(logs[rows[place[hit]]], first) / found[:, None]
+            left = np.delete(left, met)
+        return scores
+
+
+def _gram_keys(text: str, n: int) -> np.ndarray:
+    """A 64-bit hash of each string of ``n`` characters, equal for equal strings."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    count = max(0, len(points) - n + 1)
+    keys = np.zeros(count, np.uint64)
+    for k in range(n):
+        keys = (keys + points[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def _sorted_keys(grams: dict[str, int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams in order, and their rows."""
+    keys = _gram_keys("".join(grams), n)[::n]
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(grams.values(), np.int64, len(grams))[order]
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -128,8 +182,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
         scores = ChunkScores(model)
         for batch in batches:
             named, sure = [], []
-            for text in batch["text"]:
-                total = scores.of_text(text or "")
+            for total in scores.of_texts(text or "" for text in batch["text"]):
                 if not model.languages or not total[-1]:
                     named.append(UNKNOWN)
                     sure.append(0.0)
