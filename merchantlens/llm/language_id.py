@@ -116,17 +116,22 @@ class ChunkScores:
         begin = len(self.rows)
         words: list[str] = []
         owners: list[int] = []
+        starts: list[int] = []
         for chunk in dict.fromkeys(chunks):
             if chunk not in self.rows:
                 row = self.rows[chunk] = len(self.rows)
-                for word in self.LETTERS.findall(chunk.lower()):
-                    if word.isalpha() or any(map(str.isalpha, word)):
-                        words.append(word)
-                        owners.append(row)
+                found = self.LETTERS.findall(chunk.lower())
+                if not all(map(str.isalpha, found)):
+                    found = [word for word in found if any(map(str.isalpha, word))]
+                if found:
+                    owners.append(row)
+                    starts.append(len(words))
+                    words += found
         self.table[begin : len(self.rows)] = 0
         if words:
-            np.add.at(self.table, owners, np.column_stack([self._of_words(words), np.ones(len(words))]))
-        return self.table[list(map(self.rows.__getitem__, chunks))]
+            scored = np.column_stack([self._of_words(words), np.ones(len(words))])
+            self.table[owners] = np.add.reduceat(scored, starts)
+        return self.table[np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))]
 
     def _of_words(self, words: list[str]) -> np.ndarray:
         logs = self.model.logs
