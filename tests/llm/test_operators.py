@@ -294,3 +294,29 @@ def test_empty_tables(spark, nothing):
         license_scan.scan_licenses(nothing),
     ):
         assert result.count() == 0
+
+
+def test_language_scores_equal_a_plain_loop(spark):
+    """N-grams of 4 to 1 characters, and the sums of known and unseen words, against counting in Python."""
+    texts = {"de": "Straße öffnen heute heute", "en": "the open street a"}
+    train = spark.createDataFrame([(text, lang) for lang, text in texts.items()], "text string, lang string")
+    model = language_id.learn_languages(train)
+    for n, grams in model.grams:
+        padded = [f" {word} " for text in texts.values() for word in text.lower().split()]
+        assert set(grams) == {word[i : i + n] for word in padded for i in range(len(word) - n + 1)}
+
+    def score(word):
+        if word in model.words:
+            return model.logs[model.words[word]]
+        for n, grams in model.grams:
+            pieces = [f" {word} "[i : i + n] for i in range(len(word) + 3 - n)]
+            if found := [grams[piece] for piece in pieces if piece in grams]:
+                return model.logs[found].mean(axis=0)
+        return np.zeros(2)
+
+    asked = ["straßen, opened-heute", "", "12 ½ ...", "qq zz öx", "the the " * 15_000 + "xstreet", "日本 a1b"]
+    got = language_id.ChunkScores(model).of_texts(asked)
+    for text, row in zip(asked, got, strict=True):
+        words = [w for w in re.findall(r"[^\W\d_]+", text.lower()) if any(map(str.isalpha, w))]
+        assert row[-1] == len(words)
+        assert np.allclose(row[:-1], sum(map(score, words), np.zeros(2)))
