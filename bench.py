@@ -22,28 +22,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
 ).split()
-HEADLINE = [
-    "silver_orders",
-    "silver_sellers",
-    "join_items_orders",
-    "seller_reviews",
-    "gold_supplier_performance",
-    "gold_supplier_risk",
-    "gold_concentration_risk",
-    "gold_executive_summary",
-    "top_suppliers",
-    "supplier_lookup",
-    "risk_view",
-    "concentration_view",
-    "concentration_alert",
-    "kpi_report",
-    "action_items",
-    "action_items_json",
-    "lpi_flatten",
-    "trade_flows_load",
-    "csv_ingest",
-    "layer_row_counts",
-]
+HEADLINE = list(QUERIES)
 
 
 def median_seconds(run: Callable[[], None], runs: int) -> float:

@@ -103,8 +103,11 @@ RELATIONS = {
                      (6, 'LP.LPI.TIME.XQ')) AS codes(pos, code),
              range(2018, 2024) AS years(y)""",
     "b_trade": """
-        SELECT n_nationkey::VARCHAR AS "reporterCode", '0' AS "partnerCode", 'TOTAL' AS "cmdCode",
+        SELECT n_nationkey::VARCHAR AS "reporterCode", if(o_orderkey % 3 = 0, '36', '0') AS "partnerCode",
+               if(o_orderkey % 5 = 0, '85', 'TOTAL') AS "cmdCode",
                year(o_orderdate)::VARCHAR AS period, if(o_orderkey % 2 = 0, 'M', 'X') AS "flowCode",
+               if(o_orderkey % 7 = 0, '36', '0') AS "partner2Code", if(o_orderkey % 11 = 0, 'S', 'C') AS "typeCode",
+               if(o_orderkey % 13 = 0, 'M', 'A') AS "freqCode", if(o_orderkey % 17 = 0, 'S4', 'HS') AS "clCode",
                c_mktsegment AS "customsCode", sum(o_totalprice::DECIMAL(14,2))::DOUBLE AS "primaryValue"
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         GROUP BY ALL""",
@@ -221,7 +224,14 @@ FINAL = {
     "trade_flows_select": """
         SELECT * FROM b_trade
         WHERE "reporterCode" = '7' AND "partnerCode" = '0' AND "cmdCode" = 'TOTAL' AND period = '1997'
-          AND "flowCode" = 'X'""",
+          AND "flowCode" = 'X' AND "partner2Code" = '0' AND "typeCode" = 'C' AND "freqCode" = 'A'
+          AND "clCode" = 'HS'""",
+    "lpi_rejects": """
+        SELECT (SELECT count(*) FROM b_observations) AS n_rows,
+               (SELECT count(*) + count(*) FILTER (c_custkey % 2 = 0) FROM customer) AS n_rejects""",
+    "trade_rejects": """
+        SELECT (SELECT count(*) FROM b_trade) AS n_rows,
+               (SELECT count(*) + count(*) FILTER (c_custkey % 2 = 0) FROM customer) AS n_rejects""",
     "one_layer_counts": """
         SELECT 'silver_orders' AS table_name, count(*) AS n_rows FROM m_orders
         UNION ALL SELECT 'silver_sellers', count(*) FROM m_sellers

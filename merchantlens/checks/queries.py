@@ -8,6 +8,7 @@ from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from merchantlens.fixtures import BronzeFixture
 from merchantlens.functions import action_items, action_items_or_reply
@@ -229,6 +230,37 @@ def trade_flows_select(spark: SparkSession, folder: str) -> DataFrame:
     return trade_flows.select_trade_flows(flows, reporter="7", period="1997", trade_flow="X")
 
 
+def lpi_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Readable observations and unreadable pages of a landing with cut pages and values that are no numbers."""
+    bronze, layers = BronzeFixture(spark, folder), _layers(spark)
+    landing = scratch_folder(spark, "indicator-pages")
+    cut = """'[{"page":1,"pages":1},[{"countryiso3code":"N' || c_custkey"""
+    wrong = """concat('[{"page":1,"pages":1},[{"countryiso3code":"N', c_custkey, '","value":"1.5x"}]]')"""
+    damaged = f"explode(array_compact(array({cut}, CASE WHEN c_custkey % 2 = 0 THEN {wrong} END))) AS payload"
+    pages = bronze.indicator_pages.unionByName(bronze.given("customer").selectExpr(damaged))
+    pages.write.text(landing)
+    n_rows = indicator_pages.load_indicators(spark, landing, layers, page_per_line=True, skip_unreadable=True)
+    _drop(spark, layers)
+    rejects = indicator_pages.unreadable_pages(indicator_pages.read_pages(spark, landing, page_per_line=True))
+    return rejects.agg(F.lit(n_rows).cast("bigint").alias("n_rows"), F.count(F.lit(1)).alias("n_rejects"))
+
+
+def trade_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Readable records and unreadable replies of a landing with cut replies and values that are no numbers."""
+    bronze, layers = BronzeFixture(spark, folder), _layers(spark)
+    records, landing = bronze.trade_records, scratch_folder(spark, "trade-replies")
+    cut, wrong = """'{"data":[{"reporterCode":"' || c_custkey""", """'{"data":[{"primaryValue":"1.5x"}]}'"""
+    damaged = f"explode(array_compact(array({cut}, CASE WHEN c_custkey % 2 = 0 THEN {wrong} END))) AS reply"
+    readable = _replies(records).select(F.to_json(F.struct("data")).alias("reply"))
+    readable.unionByName(bronze.given("customer").selectExpr(damaged)).write.text(landing)
+    schema = T.StructType([T.StructField("data", T.ArrayType(records.schema))])
+    kept = trade_flows.read_replies(spark, landing, schema, reply_per_line=True, skip_unreadable=True)
+    n_rows = trade_flows.load_trade_flows(kept, layers)
+    _drop(spark, layers)
+    rejects = trade_flows.unreadable_replies(spark, landing, schema, reply_per_line=True)
+    return rejects.agg(F.lit(n_rows).cast("bigint").alias("n_rows"), F.count(F.lit(1)).alias("n_rejects"))
+
+
 # --- building the layers ----------------------------------------------------------------------
 
 
@@ -338,15 +370,17 @@ def _other_tables(bronze: BronzeFixture) -> dict[str, DataFrame]:
 def _loaded_trade_flows(spark: SparkSession, folder: str) -> DataFrame:
     """Replies of one reporter and period each, landed, read back and stored."""
     landing, layers = scratch_folder(spark, "trade-replies"), _layers(spark)
-    records = BronzeFixture(spark, folder).trade_records
-    replies = records.groupBy("reporterCode", "period").agg(
-        F.collect_list(F.struct(*records.columns)).alias("data")
-    )
-    replies.select("data").write.json(landing)
+    _replies(BronzeFixture(spark, folder).trade_records).write.json(landing)
     trade_flows.load_trade_flows(trade_flows.read_replies(spark, landing, reply_per_line=True), layers)
     return spark.table(layers.table("bronze", trade_flows.TABLE))
 
 
+def _replies(records: DataFrame) -> DataFrame:
+    """One reply per reporter, period, direction and segment: at most 64 records, one per value of the rest."""
+    keys = ["reporterCode", "period", "flowCode", "customsCode"]
+    return records.groupBy(*keys).agg(F.collect_list(F.struct(*records.columns)).alias("data")).select("data")
+
+
 def _counts(spark: SparkSession, rows: dict[str, int]) -> DataFrame:
     return spark.createDataFrame(list(rows.items()), "table_name string, n_rows bigint")
 
@@ -380,6 +414,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lpi_load": lpi_load,
     "trade_flows_load": trade_flows_load,
     "trade_flows_select": trade_flows_select,
+    "lpi_rejects": lpi_rejects,
+    "trade_rejects": trade_rejects,
     "layer_row_counts": layer_row_counts,
     "one_layer_counts": one_layer_counts,
     "declared_sources": declared_sources,

@@ -129,24 +129,33 @@ class BronzeFixture:
 
     @property
     def trade_records(self) -> DataFrame:
-        """Imports and exports per nation, year and market segment."""
-        placed = (
+        """Trade per nation, year, direction, market segment and six more dimensions derived from order keys.
+
+        Orders are summed per customer before they meet the customers, so a customer with many orders
+        joins as a few rows.
+        """
+        dimensions = {
+            "partnerCode": "CASE WHEN o_orderkey % 3 = 0 THEN '36' ELSE '0' END",
+            "cmdCode": "CASE WHEN o_orderkey % 5 = 0 THEN '85' ELSE 'TOTAL' END",
+            "period": "string(year(o_orderdate))",
+            "flowCode": "CASE WHEN o_orderkey % 2 = 0 THEN 'M' ELSE 'X' END",
+            "partner2Code": "CASE WHEN o_orderkey % 7 = 0 THEN '36' ELSE '0' END",
+            "typeCode": "CASE WHEN o_orderkey % 11 = 0 THEN 'S' ELSE 'C' END",
+            "freqCode": "CASE WHEN o_orderkey % 13 = 0 THEN 'M' ELSE 'A' END",
+            "clCode": "CASE WHEN o_orderkey % 17 = 0 THEN 'S4' ELSE 'HS' END",
+        }
+        per_customer = (
             self.given("orders")
-            .join(self.given("customer"), F.expr("o_custkey = c_custkey"))
-            .join(self.given("nation"), F.expr("c_nationkey = n_nationkey"))
+            .selectExpr("o_custkey", "o_totalprice", *[f"{sql} AS {name}" for name, sql in dimensions.items()])
+            .groupBy("o_custkey", *dimensions)
+            .agg(F.expr("sum(cast(o_totalprice AS decimal(14,2))) AS traded"))
         )
         return (
-            placed.selectExpr(
-                "string(n_nationkey) AS reporterCode",
-                "'0' AS partnerCode",
-                "'TOTAL' AS cmdCode",
-                "string(year(o_orderdate)) AS period",
-                "CASE WHEN o_orderkey % 2 = 0 THEN 'M' ELSE 'X' END AS flowCode",
-                "c_mktsegment AS customsCode",
-                "o_totalprice",
-            )
-            .groupBy("reporterCode", "partnerCode", "cmdCode", "period", "flowCode", "customsCode")
-            .agg(F.expr("double(sum(cast(o_totalprice AS decimal(14,2)))) AS primaryValue"))
+            per_customer.join(self.given("customer"), F.expr("o_custkey = c_custkey"))
+            .join(self.given("nation"), F.expr("c_nationkey = n_nationkey"))
+            .withColumns({"reporterCode": F.expr("string(n_nationkey)"), "customsCode": F.col("c_mktsegment")})
+            .groupBy("reporterCode", *dimensions, "customsCode")
+            .agg(F.expr("double(sum(traded)) AS primaryValue"))
         )
 
     @property

@@ -20,7 +20,10 @@ SKETCH_GROUPS = 512
 
 @dataclass(frozen=True)
 class LookupSide:
-    """The right side of a join: at most one row per key, joined ``inner`` or ``left``."""
+    """The right side of a join: at most one row per key, joined ``inner`` or ``left``.
+
+    The rows of hot keys are broadcast; a hot key with a second row fails the query when it runs.
+    """
 
     frame: DataFrame
     how: str = "inner"
@@ -70,11 +73,20 @@ def lookup_join(left: DataFrame, key: str, sides: Sequence[LookupSide], hot: Seq
         left.where(~is_hot), key, [LookupSide(s.frame.where(~is_hot), s.how) for s in sides]
     )
     stay = _join_all(
-        left.where(is_hot), key, [LookupSide(F.broadcast(s.frame.where(is_hot)), s.how) for s in sides]
+        left.where(is_hot), key, [LookupSide(F.broadcast(_one_row(s.frame.where(is_hot), key)), s.how) for s in sides]
     )
     return [cold, stay]
 
 
+def _one_row(side: DataFrame, key: str) -> DataFrame:
+    """``side`` as it is, but a key with several rows raises an error instead of growing a broadcast."""
+    names = [name for name in side.columns if name != key]
+    repeated = F.raise_error(F.concat(F.lit(f"several rows for one {key}: "), F.col(key).cast("string")))
+    counted = side.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct(*names)).alias("row"))
+    row = F.when(F.col("n") > 1, repeated).otherwise(F.col("row"))
+    return counted.select(key, row.alias("row")).select(key, *[f"row.`{name}`" for name in names])
+
+
 def _join_all(left: DataFrame, key: str, sides: Sequence[LookupSide]) -> DataFrame:
     for side in sides:
         left = left.join(side.frame, key, side.how)

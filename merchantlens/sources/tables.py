@@ -5,6 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from merchantlens.operators.skew import hot_keys
+
+# Tasks that share the rows of one hot bucket key while a table is written.
+HOT_SPLITS = 64
 
 
 @dataclass(frozen=True)
@@ -27,10 +33,11 @@ class Layers:
 
 @dataclass(frozen=True)
 class Bucketing:
-    """Optional layout of a large table: hash buckets of one column, written one task per bucket.
+    """Optional layout of a large table: hash buckets of one column, one file per bucket.
 
-    Tables bucketed alike join and group on that column without a shuffle. A key holding a large
-    share of the rows makes one large bucket, so check ``skew.hot_keys`` before choosing it.
+    Tables bucketed alike join and group on that column without a shuffle. Rows of hot keys are
+    written by up to ``HOT_SPLITS`` tasks, as further files of their bucket: ``lookup_join`` reads them
+    apart from the cold keys, by files and not by buckets.
     """
 
     column: str
@@ -64,12 +71,22 @@ def _staged(df: DataFrame, table: str, bucketing: Bucketing | None = None) -> Da
     """The rows of ``df`` as a stored table beside the one they are meant for."""
     writer = df.write.mode("overwrite").format("parquet")
     if bucketing:
-        placed = df.repartition(bucketing.buckets, bucketing.column)
-        writer = placed.write.mode("overwrite").format("parquet").bucketBy(bucketing.buckets, bucketing.column)
+        writer = _placed(df, bucketing).write.mode("overwrite").format("parquet").bucketBy(bucketing.buckets, bucketing.column)
     writer.saveAsTable(_staging_name(table))
     return df.sparkSession.table(_staging_name(table))
 
 
+def _placed(df: DataFrame, bucketing: Bucketing) -> DataFrame:
+    """Rows of a cold key in the task of its bucket, rows of hot keys spread over tasks."""
+    hot = hot_keys(df, bucketing.column)
+    if not hot:
+        return df.repartition(bucketing.buckets, bucketing.column)
+    is_hot = F.coalesce(F.col(bucketing.column).isin(hot), F.lit(False))
+    cold = df.where(~is_hot).repartition(bucketing.buckets, bucketing.column)
+    dealt = df.where(is_hot).withColumn("_split", F.spark_partition_id() % HOT_SPLITS)
+    return cold.unionByName(dealt.repartition(HOT_SPLITS, "_split").drop("_split"))
+
+
 def _replace(staged: DataFrame, table: str) -> int:
     n_rows = staged.count()
     spark = staged.sparkSession

@@ -18,15 +18,24 @@ IMPORTS, EXPORTS = "M", "X"
 YEARLY, COMMODITY_TRADE, HARMONIZED = "A", "C", "HS"
 
 
+UNREADABLE = "_unreadable_reply"
+
+
 def read_replies(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, reply_per_line: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    reply_per_line: bool = False,
+    skip_unreadable: bool = False,
 ) -> DataFrame:
     """The records of all ``{"data": [...]}`` replies below a path, one column per record field.
 
     Record fields are not fixed, so they are inferred unless the reply's schema is given; give it
-    for large landings, it saves a pass. Replies without records contribute nothing.
+    for large landings, it saves a pass. Replies without records contribute nothing; an unreadable one,
+    or one with a value its schema has no place for, fails the query, unless those are to be skipped.
     """
     reader = spark.read.option("multiLine", not reply_per_line)
+    reader = reader.option("mode", "DROPMALFORMED" if skip_unreadable else "FAILFAST")
     replies = (reader.schema(schema) if schema else reader).json(path)
     data = replies.schema["data"].dataType if "data" in replies.columns else None
     if not (isinstance(data, T.ArrayType) and isinstance(data.elementType, T.StructType)):
@@ -34,6 +43,17 @@ def read_replies(
     return replies.select(F.explode("data").alias("record")).select("record.*")
 
 
+def unreadable_replies(
+    spark: SparkSession, path: str, schema: T.StructType | str, reply_per_line: bool = False
+) -> DataFrame:
+    """The text of the replies ``read_replies`` fails on with this schema, or leaves out if told so."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    marked = T.StructType([*kind.fields, T.StructField(UNREADABLE, T.StringType())])
+    replies = spark.read.text(path, wholetext=not reply_per_line).select(F.col("value").alias("reply"))
+    parsed = F.from_json("reply", marked, {"columnNameOfCorruptRecord": UNREADABLE})
+    return replies.where(parsed[UNREADABLE].isNotNull())
+
+
 def load_trade_flows(records: DataFrame, layers: Layers, table: str = TABLE) -> int:
     """Replace the trade-flow table by ``records``, stamped; with none it is left as it is."""
     if not records.columns:

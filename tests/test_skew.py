@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from merchantlens.operators import skew
 from merchantlens.operators.sellers import seller_review_scores
 from merchantlens.plans import gold, silver
+from merchantlens.sources.tables import Bucketing, refresh_table
 
 
 @pytest.fixture(scope="module")
@@ -177,3 +178,20 @@ def test_weights_beyond_bigint_do_not_overflow(spark):
     assert row["revenue"] == 4.0 * many * many
     assert row["days"] / row["days_weight"] == 3.0
     assert row["scores"] / row["scores_weight"] == 5.0
+
+
+def test_a_hot_key_with_two_rows_on_a_lookup_side_fails(spark):
+    left = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    right = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, m int")
+    parts = skew.lookup_join(left, "k", [skew.LookupSide(right)], ["a"])
+    with pytest.raises(Exception, match="several rows for one k: a"):
+        skew.union_all(parts).collect()
+
+
+def test_bucketed_tables_keep_all_rows_and_split_hot_keys(spark, layers):
+    rows = spark.range(0, 4000, 1, 8).selectExpr("if(id % 3 = 0, NULL, if(id % 3 = 1, 'hot', string(id))) AS k", "id")
+    table = layers.table("bronze", "split")
+    assert refresh_table(rows, table, Bucketing("k", 4)) == 4000
+    stored = spark.table(table)
+    assert rows.exceptAll(stored).isEmpty() and stored.exceptAll(rows).isEmpty()
+    assert stored.where("k = 'hot'").select(F.input_file_name()).distinct().count() > 1

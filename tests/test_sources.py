@@ -175,7 +175,9 @@ def test_indicator_pages(spark, layers, tmp_path):
     land(raw, "5.json", page([]))
     land(raw, "6.json", '[{"message": [{"id": "120"}]}]')
     land(raw, "7.json", "not json")
-    assert indicator_pages.load_indicators(spark, str(raw), layers) == 3
+    with pytest.raises(Exception, match="unreadable indicator page: not json"):
+        indicator_pages.load_indicators(spark, str(raw), layers)
+    assert indicator_pages.load_indicators(spark, str(raw), layers, skip_unreadable=True) == 3
     stored = spark.table(layers.table("bronze", indicator_pages.TABLE))
     assert stored.columns == [
         "country_code", "country_name", "indicator_code", "indicator_name", "year", "value", "_loaded_at",
@@ -196,6 +198,28 @@ def test_pages_without_observations_leave_the_table(spark, layers, tmp_path):
     assert spark.table(layers.table("bronze", indicator_pages.TABLE)).count() == 1
 
 
+@pytest.mark.parametrize(
+    "broken",
+    [
+        page([observation(OVERALL)])[:-40],
+        page([observation(OVERALL, value="1.5x")]),
+        page([observation(OVERALL), None]),
+        page("rows"),
+        '{"message": "busy"}',
+    ],
+)
+def test_an_unreadable_page_fails_the_load_and_leaves_the_table(spark, layers, tmp_path, broken):
+    raw = tmp_path / "pages"
+    land(raw, "1.json", page([observation(OVERALL, value="2.5")]))
+    assert indicator_pages.load_indicators(spark, str(raw), layers) == 1
+    land(raw, "2.json", broken)
+    with pytest.raises(Exception, match="unreadable indicator page"):
+        indicator_pages.load_indicators(spark, str(raw), layers)
+    pages = indicator_pages.read_pages(spark, str(raw))
+    assert [r["payload"] for r in indicator_pages.unreadable_pages(pages).collect()] == [broken]
+    assert [r["value"] for r in spark.table(layers.table("bronze", indicator_pages.TABLE)).collect()] == [2.5]
+
+
 def flow(reporter="76", partner="0", commodity="TOTAL", period="2023", direction="M", value=1.0, **more):
     return {
         "reporterCode": reporter, "partnerCode": partner, "cmdCode": commodity, "period": period,
@@ -224,6 +248,21 @@ def test_replies_without_records_leave_the_table(spark, layers, tmp_path, reply)
     assert spark.table(layers.table("bronze", trade_flows.TABLE)).count() == 1
 
 
+@pytest.mark.parametrize("broken", [json.dumps({"data": [flow()]})[:-9], json.dumps({"data": [flow(value="1.5x")]})])
+def test_an_unreadable_reply_fails_the_load_and_leaves_the_table(spark, layers, tmp_path, broken):
+    raw = tmp_path / "replies"
+    schema = "data array<struct<reporterCode string, primaryValue double>>"
+    land(raw, "1.json", json.dumps({"data": [flow()]}))
+    assert trade_flows.load_trade_flows(trade_flows.read_replies(spark, str(raw), schema), layers) == 1
+    land(raw, "2.json", broken)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        trade_flows.load_trade_flows(trade_flows.read_replies(spark, str(raw), schema), layers)
+    assert [r["reply"] for r in trade_flows.unreadable_replies(spark, str(raw), schema).collect()] == [broken]
+    assert spark.table(layers.table("bronze", trade_flows.TABLE)).count() == 1
+    kept = trade_flows.read_replies(spark, str(raw), schema, skip_unreadable=True)
+    assert trade_flows.load_trade_flows(kept, layers) == 1
+
+
 def test_replies_with_a_given_schema(spark, tmp_path):
     path = land(tmp_path, "1.json", json.dumps({"data": [flow(extra=1)]}))
     records = trade_flows.read_replies(
