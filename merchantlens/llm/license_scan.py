@@ -7,6 +7,7 @@ Coverage is the share of a template's words that are aligned.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -103,7 +104,7 @@ class LicenseScanner:
         best, found = (0.0, 0), (None, 0.0, 0, None, None)
         present = set(numbers)
         for name, template in self.templates:
-            if not template or len(present.intersection(template)) < LEAST_COVERAGE * len(set(template)):
+            if not template or sum(n in present for n in template) < LEAST_COVERAGE * len(template):
                 continue  # even an alignment of all shared words would fall short
             for window in self._windows(places, numbers, template):
                 begin, end = window
@@ -117,14 +118,31 @@ class LicenseScanner:
 
     @staticmethod
     def _windows(places: list[int], numbers: list[int], template: list[int]) -> Iterator[tuple[int, int]]:
-        """Stretches of the text around each occurrence of the template's rarest word."""
-        counts = Counter(n for n in numbers if n in set(template))
-        rarest = min(counts, key=lambda n: (counts[n], n))
+        """Stretches of the text around each occurrence of a word that a notice cannot do without."""
+        needed = needed_words(numbers, template)
         reach = int(SPREAD * len(template))
-        for at in (k for k, n in enumerate(numbers) if n == rarest):
+        for at in (k for k, n in enumerate(numbers) if n in needed):
             yield bisect_left(places, places[at] - reach), bisect_left(places, places[at] + reach + 1)
 
 
+def needed_words(numbers: list[int], template: list[int]) -> set[int]:
+    """The text's rarest template words, enough of them that a notice aligns one at least.
+
+    A notice may lack some of the template's places; the set has more places than that. Words the text
+    lacks come first and cost nothing.
+    """
+    own = Counter(template)
+    counts = Counter(n for n in numbers if n in own)
+    lacking = len(template) - math.ceil(LEAST_COVERAGE * len(template))
+    needed = set()
+    for n in sorted(own, key=lambda n: (counts[n], n)):
+        if lacking < 0:
+            break
+        needed.add(n)
+        lacking -= own[n]
+    return needed
+
+
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, text: str = "text") -> DataFrame:
     """Best license notice of each row: name, coverage, aligned words and their first and last place.
 

@@ -280,6 +280,19 @@ def test_license_alignment(spark, docs):
     assert license_scan.align([1, 2, 3, 9, 4], [1, 3, 2, 4]) in ([(0, 0), (1, 2), (4, 3)], [(0, 0), (2, 1), (4, 3)])
 
 
+def test_a_notice_without_the_texts_rarest_word_is_found():
+    scanner = license_scan.LicenseScanner(license_scan.TEMPLATES)
+    filler = "x " * 60
+    strays = "released " + filler + ("under the license " + filler) * 3
+    assert scanner.scan(strays + "Published under the MIT License. " + filler)[:2] == ("MIT", 0.8)
+    # Twelve places of the header are missing, all of them words that stand there once.
+    words = license_scan.TEMPLATES["MIT-header"].split()
+    once = [w for w in words if words.count(w) == 1][:12]
+    notice = " ".join(w for w in words if w not in once)
+    text = " ".join(once) + " " + "x " * 300 + (notice + " " + "x " * 300) * 2
+    assert scanner.scan(text)[0] == "MIT-header"
+
+
 def test_empty_tables(spark, nothing):
     words, bytes_ = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
     no_tests = spark.createDataFrame([], "item_id bigint, text string")
