@@ -3,15 +3,20 @@
 Words that occur once in the text and once in a template are anchors. The longest increasing run of them
 is kept, and the gaps between neighbours are aligned in the same way, where other words become unique.
 Coverage is the share of a template's words that are aligned.
+
+What is aligned are the stretches of a text that hold one notice each. Around each occurrence of a word that
+no notice can do without, the nearest stretches with the least coverage are found exactly; of these, as many
+as do not overlap are kept and extended to the most words up to their neighbours. So a notice that stands
+many times is found as often, and where repeated words leave no anchors, the stretch's own count stands.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -89,6 +94,19 @@ def _anchors(text: list[int], a: int, b: int, template: list[int], c: int, d: in
     return chain[::-1]
 
 
+class Notice(NamedTuple):
+    """Words are counted from the start of the text."""
+
+    license: str | None
+    coverage: float
+    n_aligned: int
+    first_word: int | None
+    last_word: int | None
+
+
+NO_NOTICE = Notice(None, 0.0, 0, None, None)
+
+
 class LicenseScanner:
     def __init__(self, templates: Mapping[str, str]):
         self.numbers: dict[str, int] = {}
@@ -97,32 +115,116 @@ class LicenseScanner:
             words = WORDS.findall(text.lower())
             self.templates.append((name, [self.numbers.setdefault(w, len(self.numbers)) for w in words]))
 
-    def scan(self, text: str) -> tuple[str | None, float, int, int | None, int | None]:
-        """Best covered template, the longer one of two alike; none below the least coverage."""
+    def scan(self, text: str) -> Notice:
+        """Best covered notice, of two alike the longer template's, then the first one."""
+        lengths = {name: len(template) for name, template in self.templates}
+        found = self.notices(text)
+        return max(found, key=lambda n: (n.n_aligned / lengths[n.license], lengths[n.license]), default=NO_NOTICE)
+
+    def notices(self, text: str) -> list[Notice]:
+        """All notices that reach the least coverage, by template and place; those of one template do not overlap."""
         known = [(k, n) for k, w in enumerate(WORDS.findall(text.lower())) if (n := self.numbers.get(w)) is not None]
         places, numbers = [k for k, _ in known], [n for _, n in known]
-        best, found = (0.0, 0), (None, 0.0, 0, None, None)
         present = set(numbers)
+        found = []
         for name, template in self.templates:
             if not template or sum(n in present for n in template) < LEAST_COVERAGE * len(template):
                 continue  # even an alignment of all shared words would fall short
-            for window in self._windows(places, numbers, template):
-                begin, end = window
-                pairs = align(numbers[begin:end], template)
-                coverage = len(pairs) / len(template)
-                if coverage >= LEAST_COVERAGE and (coverage, len(template)) > best:
-                    best = (coverage, len(template))
-                    first, last = places[begin + pairs[0][0]], places[begin + pairs[-1][0]]
-                    found = (name, round(coverage, 6), len(pairs), first, last)
+            for first, last, count in Stretches(places, numbers, template).found():
+                pairs = align(numbers[first : last + 1], template)
+                if len(pairs) >= count:
+                    first, last, count = first + pairs[0][0], first + pairs[-1][0], len(pairs)
+                found.append(Notice(name, round(count / len(template), 6), count, places[first], places[last]))
         return found
 
-    @staticmethod
-    def _windows(places: list[int], numbers: list[int], template: list[int]) -> Iterator[tuple[int, int]]:
-        """Stretches of the text around each occurrence of a word that a notice cannot do without."""
+
+class Stretches:
+    """Where the known words of a text, ``numbers`` at ``places``, hold a template."""
+
+    def __init__(self, places: list[int], numbers: list[int], template: list[int]):
+        self.places, self.numbers, self.template = places, numbers, template
+        self.missed = most_missed(len(template))
+        self.reach = int(SPREAD * len(template))
+        own = set(template)
+        self.ahead: dict[int, list[int]] = {}
+        for i, n in enumerate(numbers):
+            if n in own:
+                self.ahead.setdefault(n, []).append(i)
+        self.behind = {n: [-i for i in reversed(at)] for n, at in self.ahead.items()}
         needed = needed_words(numbers, template)
-        reach = int(SPREAD * len(template))
-        for at in (k for k, n in enumerate(numbers) if n in needed):
-            yield bisect_left(places, places[at] - reach), bisect_left(places, places[at] + reach + 1)
+        self.anchors = [(i, j) for i, n in enumerate(numbers) if n in needed for j, m in enumerate(template) if m == n]
+
+    def found(self) -> list[tuple[int, int, int]]:
+        """(first, last, number of aligned words) of as many notices as can stand side by side."""
+        spans = {
+            (-before[k], after[self.missed - k])
+            for i, j in self.anchors
+            for before, after in [self._ends(i, j, 0, self.places[-1])]
+            for k in range(self.missed + 1)
+            if before[k] is not None and after[self.missed - k] is not None
+        }
+        cores: list[tuple[int, int]] = []
+        for first, last in sorted(spans, key=lambda s: (s[1], -s[0])):
+            if not cores or first > cores[-1][1]:
+                cores.append((first, last))
+        out = []
+        for k, (first, last) in enumerate(cores):
+            low = self.places[out[-1][1]] + 1 if out else 0
+            high = self.places[cores[k + 1][0]] - 1 if k + 1 < len(cores) else self.places[-1]
+            inside = self.anchors[bisect_left(self.anchors, (first,)) : bisect_left(self.anchors, (last + 1,))]
+            out.append(max((self._widest(i, j, low, high) for i, j in inside), key=lambda s: (s[2], s[0] - s[1])))
+        return out
+
+    def _widest(self, i: int, j: int, low: int, high: int) -> tuple[int, int, int]:
+        """The shortest stretch with the most aligned words around text word i as template word j."""
+        before, after = self._ends(i, j, low, high)
+        left = next((k for k, end in enumerate(before) if end is not None), None)
+        right = next((k for k, end in enumerate(after) if end is not None), None)
+        if left is None or right is None:
+            return i, i, 1
+        return -before[left], after[right], len(self.template) - left - right
+
+    def _ends(self, i: int, j: int, low: int, high: int) -> tuple[list[int | None], list[int | None]]:
+        """Nearest ends before (negative) and after text word i as template word j, by number of words missed."""
+        low, high = max(low, self.places[i] - self.reach), min(high, self.places[i] + self.reach)
+        after, before = self.template[j + 1 :], self.template[:j][::-1]
+        same = alike(self.numbers[i + 1 : i + 1 + len(after)], after)
+        same_before = alike(self.numbers[max(0, i - j) : i][::-1], before)
+        return (
+            nearest_ends(self.behind, before, -i, -bisect_left(self.places, low), self.missed, same_before),
+            nearest_ends(self.ahead, after, i, bisect_right(self.places, high) - 1, self.missed, same),
+        )
+
+
+def alike(text: list[int], words: list[int]) -> int:
+    """How many words are the same from the start on."""
+    return next((k for k, (a, b) in enumerate(zip(text, words, strict=False)) if a != b), min(len(text), len(words)))
+
+
+def nearest_ends(
+    at: Mapping[int, list[int]], words: Sequence[int], start: int, limit: int, missed: int, same: int
+) -> list[int | None]:
+    """By k up to ``missed``: where ``words`` but k of them end at the earliest, taken in order after ``start``.
+
+    The first ``same`` words follow ``start`` without a gap: all but k of them end k words before the last.
+    """
+    same = min(same, limit - start)
+    ends: list[int | None] = [start + same - k if k <= same else None for k in range(missed + 1)]
+    for word in words[same:]:
+        own = at.get(word, ())
+        for k in range(missed, -1, -1):
+            taken = None
+            if ends[k] is not None:
+                n = bisect_right(own, ends[k])
+                taken = own[n] if n < len(own) and own[n] <= limit else None
+            left_out = ends[k - 1] if k else None
+            ends[k] = left_out if taken is None else taken if left_out is None else min(taken, left_out)
+    return ends
+
+
+def most_missed(length: int) -> int:
+    """Words a notice of a template of this length may lack."""
+    return next(k for k in range(length, -1, -1) if (length - k) / length >= LEAST_COVERAGE)
 
 
 def needed_words(numbers: list[int], template: list[int]) -> set[int]:
@@ -133,7 +235,7 @@ def needed_words(numbers: list[int], template: list[int]) -> set[int]:
     """
     own = Counter(template)
     counts = Counter(n for n in numbers if n in own)
-    lacking = len(template) - math.ceil(LEAST_COVERAGE * len(template))
+    lacking = most_missed(len(template))
     needed = set()
     for n in sorted(own, key=lambda n: (counts[n], n)):
         if lacking < 0:

@@ -293,6 +293,46 @@ def test_a_notice_without_the_texts_rarest_word_is_found():
     assert scanner.scan(text)[0] == "MIT-header"
 
 
+def test_a_repeated_notice_is_found():
+    scanner = license_scan.LicenseScanner(license_scan.TEMPLATES)
+    for name, template in license_scan.TEMPLATES.items():
+        n = len(license_scan.WORDS.findall(template))
+        for times in (2, 3):
+            text = "\n".join([template] * times)
+            assert scanner.scan(text)[:3] == (name, 1.0, n)
+            own = [(x.first_word, x.last_word) for x in scanner.notices(text) if x.license == name]
+            assert own == [(k * n, k * n + n - 1) for k in range(times)]
+    two = [x[1:] for x in scanner.notices("Released under the MIT License. Published under the MIT License.")]
+    assert two == [(1.0, 5, 0, 4), (0.8, 4, 6, 9)]
+
+
+def test_notices_equal_brute_force():
+    """Longest common subsequences of all stretches, and as many stretches side by side as there can be."""
+    template = [0, 1, 2, 1, 3]
+    names = "abcd"
+    scanner = license_scan.LicenseScanner({"t": " ".join(names[n] for n in template)})
+
+    def common(text):
+        row = [0] * (len(template) + 1)
+        for word in text:
+            row = [0, *itertools.accumulate(
+                range(len(template)), lambda best, j: max(best, row[j + 1], row[j] + (names[template[j]] == word)), initial=0
+            )][1:]
+        return row[-1]
+
+    for _ in range(300):
+        text = [RNG.choice("abcdx") for _ in range(RNG.randint(0, 11))]
+        most = [0]
+        for end in range(1, len(text) + 1):
+            last = [most[begin] + 1 for begin in range(end) if common(text[begin:end]) >= 4]
+            most.append(max([most[-1], *last]))
+        found = scanner.notices(" ".join(text))
+        assert len(found) == most[-1]
+        for n in found:
+            assert common(text[n.first_word : n.last_word + 1]) == n.n_aligned >= 4
+        assert all(a.last_word < b.first_word for a, b in zip(found, found[1:], strict=False))
+
+
 def test_empty_tables(spark, nothing):
     words, bytes_ = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
     no_tests = spark.createDataFrame([], "item_id bigint, text string")
