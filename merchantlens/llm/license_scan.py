@@ -51,7 +51,11 @@ LEAST_COVERAGE = 0.8
 # Aligned words must lie within so many template lengths of each other: a notice is not spread over a book.
 SPREAD = 2.0
 WORDS = re.compile(r"\w+(?:[.-]\w+)*")
-SCHEMA = "doc_id bigint, license string, coverage double, n_aligned bigint, first_word bigint, last_word bigint"
+NOTICE = "license: string, coverage: double, n_aligned: bigint, first_word: bigint, last_word: bigint"
+SCHEMA = (
+    "doc_id bigint, license string, coverage double, n_aligned bigint, first_word bigint, last_word bigint, "
+    f"notices array<struct<{NOTICE}>>"
+)
 
 
 def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
@@ -116,9 +120,12 @@ class LicenseScanner:
             self.templates.append((name, [self.numbers.setdefault(w, len(self.numbers)) for w in words]))
 
     def scan(self, text: str) -> Notice:
+        """The best of a text's notices."""
+        return self.best(self.notices(text))
+
+    def best(self, found: Sequence[Notice]) -> Notice:
         """Best covered notice, of two alike the longer template's, then the first one."""
         lengths = {name: len(template) for name, template in self.templates}
-        found = self.notices(text)
         return max(found, key=lambda n: (n.n_aligned / lengths[n.license], lengths[n.license]), default=NO_NOTICE)
 
     def notices(self, text: str) -> list[Notice]:
@@ -246,18 +253,21 @@ def needed_words(numbers: list[int], template: list[int]) -> set[int]:
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, text: str = "text") -> DataFrame:
-    """Best license notice of each row: name, coverage, aligned words and their first and last place.
+    """Best license notice of each row, and all its ``notices``: name, coverage, aligned words, first and last place.
 
-    Without a notice, and for null and empty texts: null, 0.0, 0, null, null.
+    ``notices`` holds every notice at or above the least coverage, by template name and place, a second one of
+    the same license too, and a short template's inside a longer one's. Without a notice, and for null and
+    empty texts: null, 0.0, 0, null, null and an empty array.
     """
     scanner = LicenseScanner(TEMPLATES if templates is None else templates)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [scanner.scan(text or "") for text in batch["text"]]
-            found = pd.DataFrame(rows, columns=["license", "coverage", "n_aligned", "first_word", "last_word"])
+            notices = [scanner.notices(text or "") for text in batch["text"]]
+            found = pd.DataFrame([scanner.best(n) for n in notices], columns=Notice._fields)
             found = found.astype({"first_word": "Int64", "last_word": "Int64", "license": object})
             found.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            found["notices"] = [[n._asdict() for n in own] for own in notices]
             yield found.astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInPandas(scan, SCHEMA)

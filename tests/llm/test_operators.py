@@ -333,6 +333,19 @@ def test_notices_equal_brute_force():
         assert all(a.last_word < b.first_word for a, b in zip(found, found[1:], strict=False))
 
 
+def test_all_notices_of_a_text(spark):
+    mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0"]
+    rows = [(1, f"{mit} x\n{gpl}\n" + "y " * 500 + mit), (2, license_scan.TEMPLATES["Apache-2.0-header"]), (3, None), (None, mit)]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert [tuple(n) for n in got[1]["notices"]] == [
+        ("GPL-3.0", 1.0, 12, 6, 17), ("MIT", 1.0, 5, 0, 4), ("MIT", 1.0, 5, 518, 522)
+    ]
+    assert tuple(got[1])[1:6] == ("GPL-3.0", 1.0, 12, 6, 17)
+    assert got[2]["license"] == "Apache-2.0-header"
+    assert [n["license"] for n in got[2]["notices"]] == ["Apache-2.0", "Apache-2.0-header"]
+    assert tuple(got[3]) == (3, None, 0.0, 0, None, None, []) and len(got[None]["notices"]) == 1
+
+
 def test_empty_tables(spark, nothing):
     words, bytes_ = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
     no_tests = spark.createDataFrame([], "item_id bigint, text string")
