@@ -69,13 +69,17 @@ def host_levels(host: Column) -> dict[str, Column]:
     return {"suffix": F.substring_index(host, ".", -1), "domain": F.substring_index(host, ".", -2), "host": host}
 
 
-def host_reputation(outcomes: DataFrame, setting: Reputation | None = None) -> DataFrame:
+def host_reputation(outcomes: DataFrame, setting: Reputation | None = None, hosts: DataFrame | None = None) -> DataFrame:
     """(host, n_labelled, n_bad, mean, lower) from rows (host, bad); ``bad`` is 0, 1 or null (not counted).
 
+    ``hosts`` are judged as well, those without an outcome by their domain, suffix and the overall rate.
     Counts are summed before the shuffle, so a host with most of the pages is one row per task.
     """
     setting = setting or Reputation()
-    per_host = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
+    rows = outcomes.select("host", F.col("bad").cast("long").alias("bad"))
+    if hosts is not None:
+        rows = rows.unionByName(hosts.select("host", F.lit(None).cast("long").alias("bad")))
+    per_host = rows.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     per_host = stored(per_host.where("host IS NOT NULL").withColumns(host_levels(F.col("host"))), "host-outcomes")
     total = per_host.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     # One pseudo-observation each keeps the overall rate inside (0, 1), without labels too.
@@ -121,15 +125,17 @@ def filter_urls(
 ) -> DataFrame:
     """``pages`` with ``_host``, ``_path``, ``_rule`` and ``_verdict``, and the host's counts.
 
-    A rule's verdict stands before the reputation's; an unknown host is allowed. ``outcomes`` has one
-    row (host, bad) per labelled page. Hosts that hold many pages are joined without being moved.
+    A rule's verdict stands before the reputation's. ``outcomes`` has one row (host, bad) per labelled page;
+    a host without one has the reputation of its domain, suffix or all pages. A page without a host is
+    allowed. Hosts that hold many pages are joined without being moved.
     """
     setting = setting or Reputation()
     host, path = url_parts(F.col(url))
     parted = pages.withColumns({"_host": host, "_path": path})
-    sizes = parted.groupBy("_host").agg(F.count("*").alias("_n"))
+    sizes = stored(parted.groupBy("_host").agg(F.count("*").alias("_n")), "host-sizes")
     hot = hot_keys(sizes, "_host", "_n", parted.count())
-    known = host_reputation(outcomes, setting).select(
+    hosts = sizes.where("_host != ''").select(F.col("_host").alias("host"))
+    known = host_reputation(outcomes, setting, hosts).select(
         F.col("host").alias("_host"), F.col("n_labelled").alias("_n_labelled"), F.col("n_bad").alias("_n_bad"),
         (F.col("lower") > setting.most_bad).alias("_bad_host"),
     )

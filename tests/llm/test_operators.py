@@ -245,6 +245,20 @@ def test_url_rules_and_reputation(spark):
     assert lower["good.org"] < lower["new.org"] < lower["bad.org"]
 
 
+def test_hosts_without_outcomes_have_their_domains_reputation(spark):
+    hosts = ["c.bad.org", "c.good.org", "new.com", "x.zip", "", "a.bad.org"]
+    pages = spark.createDataFrame([(k, f"http://{h}/x") for k, h in enumerate(hosts)], "page_id int, url string")
+    labelled = {"a.bad.org": 1, "b.bad.org": 1, "a.good.org": 0, "b.good.org": 0, "a.zip": 1, "b.zip": 1, "c.zip": 1, "a.com": 0}
+    outcomes = spark.createDataFrame([(h, bad) for h, bad in labelled.items() for _ in range(300)], "host string, bad int")
+    rows = url_filters.filter_urls(pages, outcomes, []).orderBy("page_id").collect()
+    assert [r["_verdict"] for r in rows] == ["block", "allow", "allow", "block", "allow", "block"]
+    assert [(r["_n_labelled"], r["_n_bad"]) for r in rows] == [(0, 0)] * 5 + [(300, 300)]
+    # Hosts without an outcome change nobody else's reputation.
+    alone = {r["host"]: r["lower"] for r in url_filters.host_reputation(outcomes).collect()}
+    among = url_filters.host_reputation(outcomes, hosts=pages.select(url_filters.url_parts(F.col("url"))[0].alias("host")))
+    assert {r["host"]: r["lower"] for r in among.collect() if r["host"] in alone} == pytest.approx(alone)
+
+
 def test_languages_and_backoff(spark, docs):
     train = spark.createDataFrame(
         [("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "en"), ("le chat", None)],
