@@ -18,6 +18,9 @@ from merchantlens.llm.common import read_table, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# The shortest repeated passage that goes whatever its bytes: over 50 words.
+PASSAGE_WORDS = 51
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the threshold table."""
@@ -30,11 +33,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 400 or more that occur twice; a text of nothing else goes.
+    """Texts without byte strings of 400 and passages of over 50 words that occur twice; a text of nothing else goes.
 
     A character cut in two is left out, and ``n_chars`` follows the text.
     """
-    cut = suffix_dedup.remove_repeats(docs)
+    cut = suffix_dedup.remove_repeats(docs, n_words=PASSAGE_WORDS)
     text = F.when(F.col("_cut.n_removed") > 0, suffix_dedup.valid_text(F.col("_cut.kept"))).otherwise(
         F.col("_cut.kept").cast("string")
     )

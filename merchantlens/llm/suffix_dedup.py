@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantlens.llm.column_bwt import Collection
-from merchantlens.llm.common import hot_keys, join_lookup, stored, text_key
+from merchantlens.llm.common import WORD_PATTERN, hot_keys, join_lookup, stored, text_key
 
 LENGTH = 400
 GRAM = 64
@@ -43,6 +44,9 @@ BUCKET_BYTES = 1_500_000
 # Windows of a slice, and distinct slices of one core that a bucket takes.
 SLICE = 32
 CORE_LIMIT = 2_000
+# Bytes a word is coded in where passages are measured in words.
+CODE = 4
+WORDS = re.compile(WORD_PATTERN.encode())
 
 SEGMENTS = "key binary, anchor bigint, c1 bigint, c2 bigint, lo int, hi int, lead int, copies bigint"
 SPANS = "array<struct<lo: int, hi: int>>"
@@ -90,15 +94,18 @@ def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> str:
     """Name of a new table (key, data, copies) of the distinct texts, bucketed by key."""
-    spark = docs.sparkSession
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     texts = (
         docs.select(_key(text).alias("key"), data.alias("data"))
         .groupBy("key")
         .agg(F.first("data").alias("data"), F.count("*").alias("copies"))
     )
-    name = f"distinct_texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _bucketed(texts, "distinct_texts")
+
+
+def _bucketed(texts: DataFrame, label: str) -> str:
+    name = f"{label}_{uuid.uuid4().hex}"
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts.write.format("parquet").bucketBy(buckets, "key").saveAsTable(name)
     return name
 
@@ -170,6 +177,42 @@ def repeated_spans(
     return placed.groupBy("key").agg(F.collect_list(span).cast(SPANS).alias("spans"))
 
 
+def repeated_passages(texts: DataFrame, n_words: int, **limits: int) -> DataFrame:
+    """(key, spans): byte ranges of the passages of ``n_words`` words that occur twice, however they are spaced.
+
+    Each word is coded in four bytes, and repeated strings of the codes of ``n_words`` words are sought.
+    """
+
+    def codes(data: pd.Series) -> pd.Series:
+        import xxhash
+
+        # The transform keeps byte 255 for the end of a text.
+        return data.map(lambda d: b"".join(map(xxhash.xxh32_digest, WORDS.findall(d))).replace(b"\xff", b"\xfe"))
+
+    def places(data: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_word_places(d, s, n_words) for d, s in zip(data, spans, strict=True)])
+
+    spark = texts.sparkSession
+    coded = texts.select("key", F.pandas_udf(codes, "binary")("data").alias("data"), "copies")
+    name = _bucketed(coded, "word_codes")
+    spans = repeated_spans(spark.table(name), CODE * n_words, **limits)
+    placed = texts.join(spans, "key").select("key", F.pandas_udf(places, SPANS)("data", "spans").alias("spans"))
+    placed = stored(placed, "repeated-passages")
+    spark.sql(f"DROP TABLE {name}")
+    return placed
+
+
+def _word_places(data: bytes, spans: list[dict[str, int]], n_words: int) -> list[dict[str, int]]:
+    """Byte ranges of ranges of codes, of which only strings of whole words count."""
+    words = [m.span() for m in WORDS.finditer(data)]
+    found = []
+    for span in spans:
+        first, last = -(-span["lo"] // CODE), span["hi"] // CODE - 1
+        if last - first + 1 >= n_words:
+            found.append({"lo": words[first][0], "hi": words[last][1]})
+    return found
+
+
 def _with_bytes(compared: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """``compared`` with the bytes of each segment, fetched once per text."""
 
@@ -316,16 +359,22 @@ def valid_text(kept: Column) -> Column:
     return F.pandas_udf(decode, "string")(kept)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, **limits: int) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, text: str = "text", length: int = LENGTH, n_words: int | None = None, **limits: int
+) -> DataFrame:
     """``docs`` with ``_cut``: sizes, spans, kept bytes and their SHA-256, every repeated byte left out.
 
-    All occurrences go, the first one too. A null text is an empty one; repeated rows make each other's
+    With ``n_words``, passages of so many words that occur twice are left out as well, however short they are
+    in bytes. Both are sought in the whole texts. All occurrences go, the first one too. A null text is an empty one; repeated rows make each other's
     texts repeated. Columns of ``docs`` but the text stay as they are.
     """
     spark = docs.sparkSession
     name = distinct_texts(docs, text)
     texts = spark.table(name)
     spans = repeated_spans(texts, length, **limits)
+    if n_words is not None:
+        both = spans.unionByName(repeated_passages(texts, n_words, **limits))
+        spans = both.groupBy("key").agg(F.flatten(F.collect_list("spans")).cast(SPANS).alias("spans"))
     cut = texts.join(spans, "key", "left").select("key", "copies", F.pandas_udf(cut_spans, CUT)("data", "spans").alias("_cut"))
     cut = stored(cut, "cut-texts")
     spark.sql(f"DROP TABLE {name}")

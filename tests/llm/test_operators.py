@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from merchantlens.llm import (
     decontamination,
     language_id,
@@ -102,6 +103,37 @@ def test_repeats_are_removed(spark, docs, limits):
     assert cut == expected
 
 
+def test_the_pipeline_cuts_shared_passages_of_51_words(spark):
+    long, short = ([f"{p}{k:03}" for k in range(n)] for p, n in (("p", 51), ("q", 50)))
+    own = [[f"{d}x{k}" for k in range(60)] for d in range(4)]
+    words = [own[0] + long + own[0][::-1], own[1] + long, short + own[2], own[3] + short]
+    texts = [" ".join(w) for w in words]
+    texts[1] = texts[1].replace("p020 p021", "p020\n\np021")
+    rows = [(d, text, len(text or "")) for d, text in enumerate([*texts, None, "é " * 20])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
+    assert len(" ".join(long)) < 400
+    assert got[0].split() == own[0] + own[0][::-1] and got[1].split() == own[1]
+    assert (got[2], got[3]) == (texts[2], texts[3]) and got[5] == "é " * 20
+
+
+def test_repeated_passages_equal_brute_force(spark):
+    shared = [RNG.choice("abcdefgh") * RNG.randint(1, 3) for _ in range(60)]
+    texts = [[RNG.choice("abcdefgh") * RNG.randint(1, 3) for _ in range(RNG.randint(0, 90))] for _ in range(30)]
+    for k in range(0, 30, 2):
+        a = RNG.randint(0, 40)
+        texts[k][10:10] = shared[a : a + RNG.randint(20, 40)]
+    rows = [(str(k).encode(), RNG.choice(" \n").join(t).encode(), 1) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "key binary, data binary, copies bigint")
+    seen = Counter(tuple(t[i : i + 24]) for t in texts for i in range(len(t) - 23))
+    found = {int(r["key"]): r["spans"] for r in suffix_dedup.repeated_passages(frame, 24).collect()}
+    assert sum(n > 1 for n in seen.values()) > 20
+    for k, t in enumerate(texts):
+        gone = {i + j for i in range(len(t) - 23) if seen[tuple(t[i : i + 24])] > 1 for j in range(24)}
+        ends = [m.span() for m in re.finditer(rb"\S+", rows[k][1])]
+        assert gone == {i for i, (a, b) in enumerate(ends) if any(s["lo"] <= a and b <= s["hi"] for s in found.get(k, []))}
+
+
 def fingerprint_by_bits(text: str) -> int:
     words = text.encode().lower().split()
     shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
