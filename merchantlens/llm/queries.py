@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from merchantlens.llm import (
     decontamination,
+    forced_bpe,
+    hard_negatives,
     language_id,
     license_scan,
     packing,
@@ -15,6 +17,7 @@ from merchantlens.llm import (
     quality_rules,
     simhash,
     suffix_dedup,
+    target_sampling,
     token_counts,
     url_filters,
 )
@@ -108,6 +111,24 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, folder, "documents"))
 
 
+def op11_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    encoded = forced_bpe.encode_documents(read_table(spark, folder, "documents"), tokenizer)
+    return forced_bpe.decode_documents(encoded, tokenizer).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return target_sampling.draw(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_language_id": op2_language_id,
@@ -119,4 +140,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scans": op10_license_scans,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_target_resampling": op13_target_resampling,
 }
