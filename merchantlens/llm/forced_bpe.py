@@ -41,7 +41,7 @@ CLOSING_MARK = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[ \n]|\Z)")
 
 
 class ForcedBoundaryBpe:
-    """Encoder and decoder of one tokenizer file: a byte-level vocabulary with a suffix at word ends."""
+    """Encoder of one tokenizer file: a byte-level vocabulary with a suffix at word ends."""
 
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
         from tokenizers import Tokenizer
@@ -60,7 +60,6 @@ class ForcedBoundaryBpe:
             raise ValueError("added tokens that strip, normalize or match whole words are not supported")
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.special else None
-        self.strings = {i: token.encode() for token, i in (self.vocabulary | self.special).items()}
         # The byte alphabet's letters for Latin-1, as the pre-tokenizer writes them.
         self.letters = {
             point: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(point))[0][0]
@@ -174,6 +173,15 @@ class ForcedBoundaryBpe:
         known = self.chunks
         return b"".join([known.get(c) or self._chunk(c) for c in map(bytes.decode, chunks)])
 
+
+class TokenStrings:
+    """Decoder of one tokenizer file: a string per id."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.strings = {i: token.encode() for token, i in Tokenizer.from_file(path).get_vocab(True).items()}
+
     def decode(self, ids: bytes) -> str:
         """The tokens' strings with spaces between them, special ones included; unknown ids are left out."""
         strings = self.strings
@@ -217,12 +225,12 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) per row of packed ``ids``, special tokens kept; null ids give the empty text."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = ForcedBoundaryBpe(tokenizer)
+        tokens = TokenStrings(tokenizer)
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for doc_id, n_tokens, ids in zip(batch["doc_id"].astype("Int64"), batch["n_tokens"], batch["ids"], strict=True):
-                    yield doc_id, n_tokens, ids, bpe.decode(ids or b"")
+                    yield doc_id, n_tokens, ids, tokens.decode(ids or b"")
 
         yield from _sliced(["doc_id", "n_tokens", "ids", "decoded"], rows(), lambda row: len(row[3]))
 

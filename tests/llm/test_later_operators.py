@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from merchantlens.llm import forced_bpe, hard_negatives, target_sampling
+from merchantlens.llm.oracles import ORACLES
 from merchantlens.llm.queries import QUERIES
 
 RNG = random.Random(11)
@@ -42,11 +44,12 @@ def ids_of(packed: bytes) -> list[int]:
 
 def test_round_trip_of_any_character(bpe, library):
     points = [c for c in [*range(0x3000), *range(0xFE00, 0xFF00), 0x1F600, 0x1D400, 0x10D50] if not 0xD800 <= c < 0xE000]
+    tokens = forced_bpe.TokenStrings(TOKENIZER)
     for c in points:
         text = f"a{chr(c)}b {chr(c)} {chr(c)}s's\n{chr(c)}, {chr(c).upper()} Word{chr(c)}. x.{chr(c)}"
         expected = library.encode(text, add_special_tokens=False).ids
         assert ids_of(bpe.encode(text)) == expected, hex(c)
-        assert bpe.decode(bpe.encode(text)) == library.decode(expected, skip_special_tokens=False), hex(c)
+        assert tokens.decode(bpe.encode(text)) == library.decode(expected, skip_special_tokens=False), hex(c)
 
 
 @pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "theandir", "éèaçüß", "日本語のab1'st", "!?.,-'s |<>endoftx"])
@@ -259,3 +262,14 @@ def test_resampling_query(spark):
     target = [r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     found = QUERIES["op13_target_resampling"](spark, FOLDER)
     assert Counter(map(tuple, found.collect())) == drawn_by_brute_force(docs, target)
+
+
+@pytest.mark.parametrize("name", ["op12_hard_negatives", "op13_target_resampling"])
+def test_queries_equal_their_sql(spark, name):
+    connection = duckdb.connect()
+    for table in ("documents", "benchmark", "embeddings"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    cursor = connection.execute(ORACLES[name])
+    expected = [c[0] for c in cursor.description]
+    assert sorted(expected) == sorted(QUERIES[name](spark, FOLDER).columns)
+    assert Counter(cursor.fetchall()) == Counter(map(tuple, QUERIES[name](spark, FOLDER).select(*expected).collect()))
