@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantlens.functions import printf_round, round_to
+from merchantlens.plans.read_only import read_only_query
 
 # Limits, tiers and KPI thresholds the views are defined by.
 DEFAULT_TOP_SUPPLIERS = 50
 MAX_TOP_SUPPLIERS = 500
 SHOWN_SQL_ROWS = 50
-RUN_ON_FILES = "spark.sql.runSQLOnFiles"
 RISK_TIERS = ("HIGH", "MEDIUM", "LOW")
 ALL_TIERS = "All"
 LATE_RATE_WARN = 0.1
@@ -134,24 +132,10 @@ def _fixed(value: Column, digits: int) -> Column:
 def read_only_sql(spark: SparkSession, query: str) -> DataFrame:
     """Run an ad-hoc query; its whole result, in its own order.
 
-    The query becomes a subquery, where the grammar admits nothing but queries. Files cannot be named
-    as tables, and a plan that calls JVM methods is refused once it is analysed, however it is spelled.
+    Only tables and views can be read, with built-in operators and functions: programs, files, method
+    calls and registered functions are refused once the query is analysed, however they are spelled.
     """
-    body = re.sub(r"(?:;\s*(?:--[^\n]*(?:\n\s*|\Z))*)+\Z", "", query.strip())
-    on_files = spark.conf.get(RUN_ON_FILES)
-    spark.conf.set(RUN_ON_FILES, "false")
-    try:
-        result = spark.sql(f"SELECT * FROM (\n{body}\n)")
-    finally:
-        spark.conf.set(RUN_ON_FILES, on_files)
-    # Quotes inside literals are escaped in this form, so only an expression's class can match.
-    if re.search(r'"class":"[\w.]*(?:Reflect|Reflection|StaticInvoke|Invoke)"', _plan_json(result)):
-        raise ValueError("functions that call JVM methods are not allowed in ad-hoc queries")
-    return result
-
-
-def _plan_json(df: DataFrame) -> str:
-    return df._jdf.queryExecution().analyzed().toJSON()
+    return read_only_query(spark, query)
 
 
 def read_only_sql_text(spark: SparkSession, query: str, shown_rows: int = SHOWN_SQL_ROWS) -> str:
