@@ -146,6 +146,15 @@ FINAL = {
     "join_items_orders": """
         SELECT order_id, order_item_id, seller_id, days AS delivery_days, late AS is_late
         FROM m_item_orders""",
+    "join_repeated_hot_orders": """
+        WITH ids AS (
+            SELECT if(order_id % 1500 = 0, 3, order_id) AS order_id, actual_days AS days,
+                   coalesce(delivered > estimated, false)::INT AS late FROM m_orders
+            UNION ALL
+            SELECT order_id, actual_days, coalesce(delivered > estimated, false)::INT FROM m_orders WHERE order_id % 7 = 0)
+        SELECT seller_id, count(*) AS n_rows, sum(days)::BIGINT AS days, sum(late)::BIGINT AS late
+        FROM b_items i JOIN ids ON if(i.order_id % 3 = 0, 3, i.order_id) = ids.order_id
+        GROUP BY seller_id""",
     "seller_reviews": "SELECT seller_id, score AS avg_review_score FROM m_scores",
     "gold_supplier_performance": "SELECT * FROM m_performance",
     "gold_supplier_risk": "SELECT * FROM m_risk",

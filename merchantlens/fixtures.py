@@ -86,6 +86,17 @@ class BronzeFixture:
             .where("seller_id % 50 <> 0")
         )
 
+    @property
+    def items_with_hot_order(self) -> DataFrame:
+        """The items, those of every third order moved to order 3."""
+        return self.items.withColumn("order_id", F.expr("CASE WHEN order_id % 3 = 0 THEN 3 ELSE order_id END"))
+
+    @property
+    def orders_with_repeats(self) -> DataFrame:
+        """The orders, every 1500th one carrying the id 3 as well, and every 7th one twice."""
+        moved = self.orders.withColumn("order_id", F.expr("CASE WHEN order_id % 1500 = 0 THEN 3 ELSE order_id END"))
+        return moved.unionByName(self.orders.where("order_id % 7 = 0"))
+
     @property
     def reviews(self) -> DataFrame:
         first = "CASE WHEN o_orderkey % 6 <> 0 THEN 1 + o_orderkey % 5 END"

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from merchantlens.functions import ratio
 from merchantlens.operators.orders import deliveries_per_order, order_deliveries, reviews_per_order
-from merchantlens.operators.skew import LookupSide, lookup_join, union_all
+from merchantlens.operators.skew import LookupSide, lookup_join, split_join, union_all
 
 
 def seller_order_rows(items: DataFrame, orders: DataFrame, hot_orders: Sequence = ()) -> DataFrame:
-    """One row per item of a known seller and order, with that order's delivery days and late flag.
+    """One row per item of a known seller and row of its order, with that row's delivery days and late flag.
 
-    Items of hot orders stay where they are, as in the models; an order id is one row of ``orders``.
+    Items of hot orders stay where they are, as in the models, while the order id is one row of ``orders``;
+    a hot id with more rows is split over tasks on both sides. ``hot_orders`` should name the ids that
+    are hot in either table.
     """
     known = items.where(F.col("seller_id").isNotNull())
-    return union_all(lookup_join(known, "order_id", [LookupSide(order_deliveries(orders))], hot_orders))
+    return split_join(known, order_deliveries(orders), "order_id", "inner", hot_orders)
 
 
 def seller_review_scores(items: DataFrame, reviews: DataFrame, hot_orders: Sequence = ()) -> DataFrame:

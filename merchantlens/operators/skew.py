@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot from 1/2000 of all rows on, so there are never more than 2000 of them.
@@ -14,6 +15,8 @@ HOT_SHARE = 1 / 2000
 # Counters of the heavy-hitter sketch. Its error is about 3.5 / counters of all rows, well below the
 # hot share, at about half a megabyte per sketch.
 SKETCH_COUNTERS = 16_384
+# Rows of one hot key, on either side, that meet in one cell of a split join.
+CELL_ROWS = 8192
 # Sketches are merged in two steps, so that no task receives one from every scan task.
 SKETCH_GROUPS = 512
 
@@ -78,6 +81,60 @@ def lookup_join(left: DataFrame, key: str, sides: Sequence[LookupSide], hot: Seq
     return [cold, stay]
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: Sequence = ()) -> DataFrame:
+    """Join on ``key``, ``inner`` or ``left``, where a hot key may have many rows on both sides.
+
+    ``hot`` names the keys that are heavy on either side; it decides the way, never the rows. A hot key with
+    at most one row on the right takes the way of ``lookup_join``. One with more is dealt over a grid: its
+    left rows to as many parts as they fill cells, its right rows likewise, each left row to every right
+    part and each right row to every left part. Each pair of rows meets in exactly one cell, a cell takes
+    some ``CELL_ROWS`` rows of either side, and cells are keys of the shuffle of their own, so any
+    number of tasks share the output of one key. Copies are fewer than the pairs by that factor.
+
+    Rows go to parts by a hash of their values and of the input partition they are in: the same for a
+    repeated attempt, and different for equal rows from different partitions.
+    """
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
+    n_right = _rows_per_key(right.where(is_hot), key)
+    many = [k for k, n in n_right.items() if n > 1]
+    if not many:
+        return union_all(lookup_join(left, key, [LookupSide(right, how)], hot))
+    in_grid = F.coalesce(F.col(key).isin(many), F.lit(False))
+    single = [k for k in hot if k not in set(many)]
+    parts = lookup_join(left.where(~in_grid), key, [LookupSide(right.where(~in_grid), how)], single)
+    n_left = _rows_per_key(left.where(in_grid), key)
+    # A grid key has rows on the right, so inner and left joins give the same there.
+    cells = {k: (_cells(n_left.get(k, 0)), _cells(n_right[k])) for k in many}
+    dealt_left = _dealt(left.where(in_grid), key, cells, ("__left_part", "__right_part"), 0)
+    dealt_right = _dealt(right.where(in_grid), key, cells, ("__right_part", "__left_part"), 1)
+    grid = dealt_left.join(dealt_right, [key, "__left_part", "__right_part"]).drop("__left_part", "__right_part")
+    return union_all([*parts, grid])
+
+
+def _cells(n_rows: int) -> int:
+    return max(1, math.ceil(n_rows / CELL_ROWS))
+
+
+def _rows_per_key(df: DataFrame, key: str) -> dict:
+    """Counts of the hot keys: at most as many rows as there are hot keys on both sides together."""
+    return {row[key]: row["n"] for row in df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _dealt(df: DataFrame, key: str, cells: dict, parts: tuple[str, str], own: int) -> DataFrame:
+    """``df`` with the part each row belongs to, once for every part of the other side."""
+
+    def number(side: int) -> Column:
+        counts = F.create_map(*[F.lit(x) for k, grid in cells.items() for x in (k, grid[side])])
+        return F.element_at(counts, F.col(key))
+
+    hashed = [name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    placed = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), number(own)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), number(1 - own) - 1))
+    return df.withColumn(parts[0], placed).withColumn(parts[1], copies)
+
+
 def _one_row(side: DataFrame, key: str) -> DataFrame:
     """``side`` as it is, but a key with several rows raises an error instead of growing a broadcast."""
     names = [name for name in side.columns if name != key]

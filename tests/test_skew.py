@@ -188,6 +188,43 @@ def test_a_hot_key_with_two_rows_on_a_lookup_side_fails(spark):
         skew.union_all(parts).collect()
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("cell_rows", [1, 7, 8192])
+def test_split_join_is_the_join(spark, skewed, how, cell_rows, monkeypatch):
+    """Hot keys repeated on both sides, on one, on none, and null keys; the grid has one cell or many."""
+    monkeypatch.setattr(skew, "CELL_ROWS", cell_rows)
+    left = skewed.items.limit(400).unionByName(skewed.items.where("order_id = 'hot'").limit(60))
+    left = left.unionByName(spark.createDataFrame([item(None, "s1")] * 3 + [item("o1", "s1")] * 5 + [item("left only", "s")] * 4, left.schema))
+    right = skewed.reviews.unionByName(spark.createDataFrame([(None, 1), ("right only", 2), ("right only", 3)], skewed.reviews.schema))
+    expected = rows(left.join(right, "order_id", how))
+    for hot in ([], ["hot"], ["hot", "o1", "left only", "right only", "nowhere"], ["left only"]):
+        found = skew.split_join(left, right, "order_id", how, hot)
+        assert found.columns == left.join(right, "order_id", how).columns
+        assert rows(found) == expected
+
+
+def test_a_hot_repeated_order_is_joined_by_many_tasks(spark, set_conf, monkeypatch):
+    """No refusal, no broadcast of repeated rows, and no task makes the output of the hot key alone."""
+    set_conf(**{"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__enabled": "false"})
+    monkeypatch.setattr(skew, "CELL_ROWS", 100)
+    left = spark.range(0, 4000, 1, 4).selectExpr("if(id % 2 = 0, 7, id) AS k", "id AS n")
+    right = spark.range(0, 1000, 1, 4).selectExpr("if(id % 2 = 0, 7, id) AS k", "id AS m")
+    joined = skew.split_join(left, right, "k", "inner", [7])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "hashpartitioning(k" in plan and "__left_part" in plan and "__right_part" in plan
+    per_task = joined.where("k = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 2001 * 501  # id 7 is one of them
+    assert len(per_task) >= 6 and max(r["count"] for r in per_task) < 400_000
+
+
+def test_equal_rows_of_a_hot_key_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(skew, "CELL_ROWS", 10)
+    left = spark.range(0, 800, 1, 16).selectExpr("1 AS k", "0 AS n")
+    dealt = skew._dealt(left, "k", {1: (80, 1)}, ("own", "other"), 0)
+    assert dealt.select("own").distinct().count() > 8
+
+
 def test_bucketed_tables_keep_all_rows_and_split_hot_keys(spark, layers):
     rows = spark.range(0, 4000, 1, 8).selectExpr("if(id % 3 = 0, NULL, if(id % 3 = 1, 'hot', string(id))) AS k", "id")
     table = layers.table("bronze", "split")
