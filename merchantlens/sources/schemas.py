@@ -13,8 +13,8 @@ _STRING, _INT, _DOUBLE, _TIMESTAMP = T.StringType(), T.IntegerType(), T.DoubleTy
 class CsvTable:
     """A manifest entry: where the file lands, the table it fills and the types of known columns.
 
-    ``free_text`` marks files whose quoted values may hold line breaks. Such a file is read by one
-    task, so land it in parts; all other files are split by size.
+    ``free_text`` marks files whose quoted values may hold line breaks, so that a line end need not
+    end a record. All files are split by size.
     """
 
     file_name: str
