@@ -219,10 +219,17 @@ FINAL = {
         UNION ALL SELECT 'products', count(*) FROM part
         UNION ALL SELECT 'product_category_name_translation', count(*) FROM nation""",
     "bronze_lineage": """
-        SELECT 'sellers' AS table_name, 'olist_sellers_dataset.csv' AS source_file, true AS has_load_time, count(*) AS n_rows FROM b_sellers
-        UNION ALL SELECT 'orders' AS table_name, 'olist_orders_dataset.csv' AS source_file, true AS has_load_time, count(*) AS n_rows FROM b_orders
-        UNION ALL SELECT 'order_items' AS table_name, 'olist_order_items_dataset.csv' AS source_file, true AS has_load_time, count(*) AS n_rows FROM b_items
-        UNION ALL SELECT 'order_reviews' AS table_name, 'olist_order_reviews_dataset.csv' AS source_file, true AS has_load_time, count(*) AS n_rows FROM b_reviews""",
+        SELECT table_name, source_file, true AS has_load_time, n_rows FROM (
+            SELECT 'sellers' AS table_name, 'olist_sellers_dataset.csv' AS source_file, count(*) AS n_rows FROM b_sellers
+            UNION ALL SELECT 'orders', 'olist_orders_dataset.csv', count(*) FROM b_orders
+            UNION ALL SELECT 'order_items', 'olist_order_items_dataset.csv', count(*) FROM b_items
+            UNION ALL SELECT 'order_reviews', 'olist_order_reviews_dataset.csv', count(*) FROM b_reviews
+            UNION ALL SELECT 'customers', 'olist_customers_dataset.csv', count(*) FROM customer
+            UNION ALL SELECT 'geolocation', 'olist_geolocation_dataset.csv', count(*) FROM supplier
+            UNION ALL SELECT 'order_payments', 'olist_order_payments_dataset.csv', count(*) FROM orders
+            UNION ALL SELECT 'products', 'olist_products_dataset.csv', count(*) FROM part
+            UNION ALL SELECT 'product_category_name_translation', 'product_category_name_translation.csv', count(*)
+                FROM nation)""",
     "table_refresh": """
         SELECT lower(order_status) AS order_status, 2::INT AS revision, count(*) AS n_rows,
                max(order_id) AS last_order_id

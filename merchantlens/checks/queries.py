@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from functools import partial, reduce
@@ -22,6 +23,7 @@ from merchantlens.sources.tables import Layers, refresh_table
 
 CSV_WRITE = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False,
              "ignoreTrailingWhiteSpace": False}
+CORE = ("sellers", "orders", "order_items", "order_reviews")
 FILE_OF = {entry.table: entry.file_name for entry in MANIFEST}
 
 
@@ -80,19 +82,19 @@ def gold_executive_summary(spark: SparkSession, folder: str) -> DataFrame:
     return gold.gold_executive_summary(silver_sellers(spark, folder))
 
 
-# --- reader views -----------------------------------------------------------------------------
+# --- reader views: on stored tables, built where they are not -----------------------------------
 
 
 def top_suppliers(spark: SparkSession, folder: str) -> DataFrame:
-    return views.top_suppliers(gold_supplier_performance(spark, folder))
+    return views.top_suppliers(_stored(spark, folder, "gold_supplier_performance"))
 
 
 def supplier_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    return views.supplier_lookup(gold_supplier_performance(spark, folder), 101)
+    return views.supplier_lookup(_stored(spark, folder, "gold_supplier_performance"), 101)
 
 
 def risk_view(spark: SparkSession, folder: str) -> DataFrame:
-    return views.risk_view(gold_supplier_risk(spark, folder))
+    return views.risk_view(_stored(spark, folder, "gold_supplier_risk"))
 
 
 def risk_view_by_tier(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,27 +102,27 @@ def risk_view_by_tier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tier_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return views.tier_counts(gold_supplier_risk(spark, folder))
+    return views.tier_counts(_stored(spark, folder, "gold_supplier_risk"))
 
 
 def concentration_view(spark: SparkSession, folder: str) -> DataFrame:
-    return views.concentration_view(gold_concentration_risk(spark, folder))
+    return views.concentration_view(_stored(spark, folder, "gold_concentration_risk"))
 
 
 def concentration_alert(spark: SparkSession, folder: str) -> DataFrame:
-    return views.concentration_alert(gold_concentration_risk(spark, folder))
+    return views.concentration_alert(_stored(spark, folder, "gold_concentration_risk"))
 
 
 def kpi_severity(spark: SparkSession, folder: str) -> DataFrame:
-    return views.kpi_severity(gold_executive_summary(spark, folder))
+    return views.kpi_severity(_stored(spark, folder, "gold_executive_summary"))
 
 
 def kpi_report(spark: SparkSession, folder: str) -> DataFrame:
-    return views.kpi_report(gold_executive_summary(spark, folder))
+    return views.kpi_report(_stored(spark, folder, "gold_executive_summary"))
 
 
 def read_only_sql(spark: SparkSession, folder: str) -> DataFrame:
-    gold_supplier_risk(spark, folder).createOrReplaceTempView("adhoc_supplier_risk")
+    _stored(spark, folder, "gold_supplier_risk").createOrReplaceTempView("adhoc_supplier_risk")
     return views.read_only_sql(
         spark,
         "SELECT seller_id, seller_state, late_delivery_rate FROM adhoc_supplier_risk\n"
@@ -202,7 +204,7 @@ def bronze_lineage(spark: SparkSession, folder: str) -> DataFrame:
             F.col("_loaded_at").isNotNull().alias("has_load_time"),
         )
         .agg(F.count(F.lit(1)).alias("n_rows"))
-        for name in ("sellers", "orders", "order_items", "order_reviews")
+        for name in FILE_OF
     ]
     return reduce(DataFrame.unionByName, per_table)
 
@@ -318,6 +320,16 @@ def build_if_absent(spark: SparkSession, folder: str) -> DataFrame:
 # --- helpers ----------------------------------------------------------------------------------
 
 
+def _stored(spark: SparkSession, folder: str, model: str) -> DataFrame:
+    """A gold model of the tables in ``folder``, from layers that this application builds once."""
+    tag = hashlib.sha256(f"{spark.sparkContext.applicationId} {folder}".encode()).hexdigest()[:16]
+    layers = Layers(f"bronze_{tag}", f"silver_{tag}", f"gold_{tag}", scratch_folder(spark, "layers"))
+    if not all(spark.catalog.tableExists(layers.table("bronze", name)) for name in CORE):
+        _store_bronze(spark, folder, layers)
+    medallion.build_models_if_absent(spark, layers)
+    return spark.table(layers.table("gold", model))
+
+
 def _layers(spark: SparkSession) -> Layers:
     """Databases of this call alone, kept in the shared scratch folder."""
     tag = uuid.uuid4().hex

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Collection, Mapping
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from graphlib import TopologicalSorter
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
@@ -54,3 +55,27 @@ def run_together(spark: SparkSession, jobs: Mapping[str, Callable[[], Result]])
         # Wrapped once per job: each thread needs its own copy of the session's local properties.
         running = {name: pool.submit(inheritable_thread_target(spark)(job)) for name, job in jobs.items()}
         return {name: job.result() for name, job in running.items()}
+
+
+def run_when_ready(
+    spark: SparkSession, needs: Mapping[str, Collection[str]], job: Callable[[str], Result]
+) -> dict[str, Result]:
+    """Run ``job`` for every name as soon as all names it needs are done; results in the order given.
+
+    A cycle is an error before anything runs. After a failure nothing more starts; what runs is awaited
+    and the first failure raised.
+    """
+    order: TopologicalSorter[str] = TopologicalSorter(needs)
+    order.prepare()
+    done: dict[str, Result] = {}
+    running: dict[Future[Result], str] = {}
+    with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
+        while order.is_active():
+            for name in order.get_ready():
+                running[pool.submit(inheritable_thread_target(spark)(job), name)] = name
+            finished, _ = wait(running, return_when=FIRST_COMPLETED)
+            for future in finished:
+                name = running.pop(future)
+                done[name] = future.result()
+                order.done(name)
+    return {name: done[name] for name in needs}

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from merchantlens.session import scratch_folder
 
 # A record in which quotes enclose whole fields and are doubled inside. Anything else, such as a quote in the
-# middle of an unquoted value, leaves parities without meaning.
-_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+# middle of an unquoted value, leaves parities without meaning; a lone CR may be a line end of its own kind.
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",\r\n]*+)'
 REGULAR = rf"\A{_FIELD}(?:,{_FIELD})*+\z"
 
 
@@ -34,7 +34,7 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     alone = lines.where("alone").select("file_name", "is_header", F.rtrim("value", F.lit("\r")).alias("record"))
     joined = _joined_lines(lines.where("NOT alone"))
     records = alone.unionByName(joined).where(F.trim("record") != "")
-    quoted = records.where(F.contains("record", F.lit('"')))
+    quoted = records.where(F.col("record").rlike('["\r]'))
     if not quoted.where(~F.col("record").rlike(REGULAR)).isEmpty():
         raise IrregularQuotes(f"quotes in {path} do not enclose whole fields")
     return records

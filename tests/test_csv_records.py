@@ -104,6 +104,14 @@ def test_quotes_that_enclose_no_field_leave_the_file_to_one_task(spark, tmp_path
     assert "read by one task" in caplog.text
 
 
+def test_lone_carriage_returns_leave_the_file_to_one_task(spark, tmp_path):
+    path = str(tmp_path / "reviews.csv")
+    with open(path, "w", newline="") as file:
+        file.write("\r".join([HEADER, "r0,o0,1,a,b", 'r1,o1,2,"c\rd",e', ""]))
+    expected = in_one_task(spark, path)
+    assert len(expected) == 2 and rows(csv_tables.read_csv_table(spark, path, REVIEWS)) == expected
+
+
 def test_part_files_and_their_headers(spark, tmp_path, small_blocks):
     folder = tmp_path / "reviews.csv"
     folder.mkdir()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+from graphlib import CycleError
+
 import pytest
 
 from merchantlens.fixtures import BronzeFixture
 from merchantlens.operators import skew
-from merchantlens.plans import medallion
+from merchantlens.plans import medallion, views
+from merchantlens.session import run_when_ready
 from merchantlens.sources.tables import Bucketing, refresh_table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -88,3 +92,95 @@ def test_invariants_across_the_layers(spark, stored_bronze):
     rates = [r["late_delivery_rate"] for r in active]
     assert min(rates) <= summary["overall_late_rate"] <= max(rates)
     assert {r["seller_id"]: r["total_orders"] for r in active} == {s: r["total_orders"] for s, r in cards.items()}
+
+
+def test_a_broken_build_is_run_again_and_a_whole_one_is_not(spark, stored_bronze, monkeypatch):
+    """Every model exists from a first build; a second one breaks off between two models."""
+    medallion.build_models(spark, stored_bronze)
+    before = content(spark, stored_bronze)
+    failing = medallion.MODELS["gold_concentration_risk"]
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patched:
+        patched.setitem(medallion.MODELS, "gold_concentration_risk", medallion.Model(failing.layer, failing.inputs, broken))
+        with pytest.raises(RuntimeError, match="stopped"):
+            medallion.build_models(spark, stored_bronze)
+    assert not medallion.is_built(spark, stored_bronze)
+    assert set(medallion.build_models_if_absent(spark, stored_bronze)) == set(medallion.MODELS)
+    assert medallion.is_built(spark, stored_bronze)
+    assert medallion.build_models_if_absent(spark, stored_bronze) == {}
+    assert content(spark, stored_bronze) == before
+
+
+def test_a_build_without_its_record_is_not_whole(spark, stored_bronze, monkeypatch):
+    with monkeypatch.context() as patched:
+        patched.setattr(medallion, "_record_build", lambda spark, layers: None)
+        medallion.build_models(spark, stored_bronze)
+    assert not medallion.is_built(spark, stored_bronze)
+    assert medallion.build_models_if_absent(spark, stored_bronze) != {}
+
+
+def test_new_input_versions_make_a_build_stale(spark, stored_bronze):
+    medallion.build_models(spark, stored_bronze)
+    reviews = stored_bronze.table("bronze", "order_reviews")
+    refresh_table(spark.table(reviews), reviews)
+    assert not medallion.is_built(spark, stored_bronze)
+    medallion.build_models_if_absent(spark, stored_bronze)
+    assert medallion.is_built(spark, stored_bronze)
+    # Silver built anew on its own leaves gold behind.
+    medallion.build_models(spark, stored_bronze, only="silver_sellers")
+    assert not medallion.is_built(spark, stored_bronze)
+    spark.sql(f"DROP VIEW {stored_bronze.table('gold', 'gold_supplier_risk')}")
+    assert not medallion.is_built(spark, stored_bronze)
+
+
+def test_models_start_when_their_inputs_are_stored(spark, stored_bronze, monkeypatch):
+    """The scorecard is stored while silver_sellers still waits; the models on silver_sellers come after it."""
+    order, scorecard = [], threading.Event()
+    refresh = medallion.refresh_table
+
+    def noted(df, table, *rest):
+        name = table.partition(".")[2]
+        if name == "silver_sellers":
+            assert scorecard.wait(120)
+        rows = refresh(df, table, *rest)
+        order.append(name)
+        if name == "gold_supplier_performance":
+            scorecard.set()
+        return rows
+
+    monkeypatch.setattr(medallion, "refresh_table", noted)
+    medallion.build_models(spark, stored_bronze)
+    assert order[:3] == ["silver_orders", "gold_supplier_performance", "silver_sellers"]
+    assert set(order[3:]) == {"gold_supplier_risk", "gold_concentration_risk", "gold_executive_summary"}
+
+
+def test_cycles_are_refused_and_failures_stop_what_waits(spark):
+    with pytest.raises(CycleError):
+        run_when_ready(spark, {"a": ["b"], "b": ["a"], "c": []}, lambda name: pytest.fail("nothing may run"))
+    started = []
+
+    def job(name):
+        started.append(name)
+        if name == "b":
+            raise RuntimeError("b failed")
+        return name.upper()
+
+    assert run_when_ready(spark, {"z": ["a"], "a": []}, job) == {"z": "Z", "a": "A"}
+    with pytest.raises(RuntimeError, match="b failed"):
+        run_when_ready(spark, {"c": ["b"], "b": [], "d": ["c"]}, job)
+    assert "c" not in started and "d" not in started
+    assert run_when_ready(spark, {}, job) == {}
+
+
+def test_scorecards_are_stored_for_lookups(spark, stored_bronze):
+    medallion.build_models(spark, stored_bronze, only="silver")
+    medallion.build_models(spark, stored_bronze, only="gold_supplier_performance")
+    table = spark.table(stored_bronze.table("gold", "gold_supplier_performance"))
+    ids = sorted(r["seller_id"] for r in table.collect())
+    found = views.supplier_lookup(table, ids[3])
+    assert [r["seller_id"] for r in found.collect()] == [ids[3]]
+    assert "PushedFilters: [IsNotNull(seller_id), EqualTo(seller_id" in found._jdf.queryExecution().executedPlan().toString()
+    assert views.supplier_lookup(table, -5).count() == 0
