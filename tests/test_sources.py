@@ -263,6 +263,42 @@ def test_an_unreadable_reply_fails_the_load_and_leaves_the_table(spark, layers,
     assert trade_flows.load_trade_flows(kept, layers) == 1
 
 
+def test_replies_of_different_shape_merge_in_one_scan(spark, tmp_path):
+    """Fields and kinds of number differ between replies; the landing is gone once the replies are read."""
+    raw = tmp_path / "replies"
+    bodies = [
+        {"data": [flow(value=1), flow(value=2.5, note="n", extra={"a": 1, "empty": {}})]},
+        {"data": [{"primaryValue": 1.25e7, "code": 7, "list": [1, 2.5], "odd name,`x`": True}, None]},
+        {"data": [{"primaryValue": 123456789012, "code": "x7", "nothing": None, "big": 10**22}]},
+    ]
+    for k, body in enumerate(bodies):
+        land(raw, f"{k}.json", json.dumps(body))
+    land(raw, "blank.json", " \n")
+    records = trade_flows.read_replies(spark, str(raw))
+    (raw / "0.json").unlink()
+    assert "FileScan text" not in records._jdf.queryExecution().executedPlan().toString()
+    types = dict(records.dtypes)
+    assert types == dict.fromkeys(flow(), "string") | {
+        "primaryValue": "double", "note": "string", "extra": "struct<a:bigint>", "code": "string", "list": "array<double>",
+        "odd name,`x`": "boolean", "nothing": "string", "big": "decimal(23,0)",
+    }
+    assert sorted(r["primaryValue"] for r in records.collect()) == [1.0, 2.5, 1.25e7, 123456789012.0]
+    assert {r["code"] for r in records.collect()} == {None, "7", "x7"}
+    assert records.where("extra.a = 1").first()["list"] is None
+
+
+@pytest.mark.parametrize("broken", [json.dumps({"data": [flow()]})[:-9], "busy", json.dumps({"data": [flow(), 3]})])
+def test_unreadable_replies_without_a_schema(spark, layers, tmp_path, broken):
+    raw = tmp_path / "replies"
+    land(raw, "1.json", json.dumps({"data": [flow()]}))
+    land(raw, "2.json", broken)
+    with pytest.raises(Exception, match="malformed trade reply"):
+        trade_flows.read_replies(spark, str(raw))
+    assert [r["reply"] for r in trade_flows.unreadable_replies(spark, str(raw)).collect()] == [broken]
+    kept = trade_flows.read_replies(spark, str(raw), skip_unreadable=True)
+    assert trade_flows.load_trade_flows(kept, layers) == 1
+
+
 def test_replies_with_a_given_schema(spark, tmp_path):
     path = land(tmp_path, "1.json", json.dumps({"data": [flow(extra=1)]}))
     records = trade_flows.read_replies(
