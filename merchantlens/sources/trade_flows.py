@@ -94,8 +94,8 @@ def _column_type(kind: T.DataType) -> T.DataType | None:
     None for objects without a single field, which hold nothing to store.
     """
     if isinstance(kind, T.StructType):
-        fields = [T.StructField(field.name, _column_type(field.dataType)) for field in kind.fields]
-        kept = [field for field in fields if field.dataType is not None]
+        types = {field.name: _column_type(field.dataType) for field in kind.fields}
+        kept = [T.StructField(name, of) for name, of in types.items() if of is not None]
         return T.StructType(kept) if kept else None
     if isinstance(kind, T.ArrayType):
         element = _column_type(kind.elementType)
