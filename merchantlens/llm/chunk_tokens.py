@@ -14,7 +14,13 @@ from struct import pack
 # Letters that case folding, composition and every version of the letter class leave no doubt about.
 PLAIN_WORD = re.compile(r"[a-zß-öø-ÿ]+", re.ASCII)
 MARKS = frozenset(".,")
+# Characters that composition leaves alone and that lower-case one by one. Special tokens hold a "<".
+CALM_TEXT = re.compile("[\0-;=-įı-ſ–—‘-”…]*")
+# A comma or full stop between a letter and white space is a word of its own.
+CLOSING_MARK = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[ \n]|\Z)")
 CACHE_ENTRIES = 400_000
+# Longer chunks are not kept, so a worker's table is bounded in bytes as well.
+LONGEST_ENTRY = 64
 
 
 def load_tokenizer(path: str):
@@ -57,7 +63,8 @@ class ChunkIds(dict):
             packed = self._word(low[:-1]) + self._whole(low[-1])
         else:
             packed = self._whole(chunk.decode("utf-8", "replace"))
-        self[chunk] = packed
+        if len(chunk) <= LONGEST_ENTRY:
+            self[chunk] = packed
         return packed
 
     def _word(self, word: str) -> bytes:
@@ -65,7 +72,9 @@ class ChunkIds(dict):
             if len(self.words) >= self.entries:
                 self.words.clear()
             tokens = self.model.tokenize(word if word.isascii() else word.translate(self.letters))
-            packed = self.words[word] = pack("<%dI" % len(tokens), *[token.id for token in tokens])
+            packed = pack("<%dI" % len(tokens), *[token.id for token in tokens])
+            if len(word) <= LONGEST_ENTRY:
+                self.words[word] = packed
         return packed
 
     def _whole(self, text: str) -> bytes:
@@ -77,6 +86,9 @@ class ChunkIds(dict):
         return packed
 
     def of_text(self, text: str) -> bytes:
+        if CALM_TEXT.fullmatch(text):
+            # Lower-casing early and setting closing marks apart leave fewer different chunks.
+            text = CLOSING_MARK.sub(r" \1", text.lower())
         # bytes.split knows the six ASCII white-space characters only; others stay inside a chunk.
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
@@ -102,7 +114,9 @@ class ChunkLengths(dict):
         if len(self) >= self.entries + len(self.frequent):
             self.clear()
             self.update(self.frequent)
-        self[chunk] = n = self._count(chunk)
+        n = self._count(chunk)
+        if len(chunk) <= LONGEST_ENTRY:
+            self[chunk] = n
         return n
 
     def _count(self, chunk: str) -> int:
