@@ -5,14 +5,18 @@ order of all shorter ones: the text's next symbol c goes where the stable order
 sends it, and the new suffix stands after as many suffixes as there are c's before its predecessor. Common
 prefixes follow from those of the round before: one more than the least of them back to the previous c, and
 ahead to the next one. Both arrays are read once and written once per round, from front to back.
+
+Symbols are numbers below 65,535, so a text may hold bytes and beside them names for longer strings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
-# Ends a text in the transform; UTF-8 never has this byte.
-END = 0xFF
+# Stands before a text in the transform; no symbol has this number.
+END = 0xFFFF
 
 
 class Collection:
@@ -20,15 +24,17 @@ class Collection:
 
     Suffix k of the sorted order is preceded by symbol ``bwt[k]`` and shares its first ``lcp[k]`` symbols
     with suffix k - 1. The first len(texts) suffixes are the empty ones, in the order of the texts; ends
-    of different texts never count as equal. Texts are shorter than 65,536 bytes.
+    of different texts never count as equal. Texts are shorter than 65,536 symbols.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: Sequence[bytes] | Sequence[np.ndarray]):
         self.n_texts = len(texts)
         self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.symbols = np.frombuffer(b"".join(texts), np.uint8)
+        arrays = [np.frombuffer(t, np.uint8) if isinstance(t, bytes) else t for t in texts]
+        self.symbols = np.concatenate([np.empty(0, np.uint16), *arrays]).astype(np.uint16)
+        self.alphabet = int(self.symbols.max(initial=0)) + 1
         self.ends = np.cumsum(self.lengths)
-        self.bwt = np.full(self.n_texts, END, np.uint8)
+        self.bwt = np.full(self.n_texts, END, np.uint16)
         filled = self.lengths > 0
         self.bwt[filled] = self.symbols[self.ends[filled] - 1]
         self.lcp = np.zeros(self.n_texts, np.uint16)
@@ -41,17 +47,15 @@ class Collection:
         """Put one more symbol of every text that has one into the order."""
         old, n = self.bwt, len(self.bwt)
         order = np.argsort(old, kind="stable")
-        starts = np.append(0, np.cumsum(np.bincount(old, minlength=256)))
-        chosen = old[self.places]
-        rank = np.empty(len(self.places), np.int64)
-        for symbol in np.unique(chosen):
-            mine = chosen == symbol
-            first = starts[symbol]
-            block = order[first : starts[symbol + 1]]
-            rank[mine] = first + np.searchsorted(block, self.places[mine])
+        placed = np.empty(n, np.int64)
+        placed[order] = np.arange(n)
+        # END stands behind every symbol and is never chosen.
+        starts = np.append(0, np.cumsum(np.bincount(old, minlength=self.alphabet)[: self.alphabet]))
+        chosen = old[self.places].astype(np.int64)
+        rank = placed[self.places]
         # Minima between neighbouring occurrences of a symbol; an outer one at the ends of its block.
         lcp = np.append(self.lcp, np.uint16(0))
-        has_before, has_after = rank > starts[chosen], rank + 1 < starts[chosen.astype(np.int64) + 1]
+        has_before, has_after = rank > starts[chosen], rank + 1 < starts[chosen + 1]
         before = np.zeros(len(rank), np.uint16)
         before[has_before] = 1 + _least(lcp, order[rank[has_before] - 1] + 1, self.places[has_before] + 1)
         after = np.zeros(len(rank), np.uint16)
@@ -60,11 +64,11 @@ class Collection:
         self.rounds += 1
         target = self.n_texts + rank
         left = self.lengths[self.texts] > self.rounds
-        preceding = np.full(len(rank), END, np.uint8)
+        preceding = np.full(len(rank), END, np.uint16)
         preceding[left] = self.symbols[self.ends[self.texts[left]] - self.rounds - 1]
         stays = np.ones(n + len(rank), bool)
         stays[target] = False
-        bwt, common = np.empty(len(stays), np.uint8), np.empty(len(stays) + 1, np.uint16)
+        bwt, common = np.empty(len(stays), np.uint16), np.empty(len(stays) + 1, np.uint16)
         bwt[stays], bwt[target] = old, preceding
         common[:-1][stays] = self.lcp
         common[target + 1] = np.where(has_after, after, common[target + 1])

@@ -5,14 +5,15 @@
    anchor). Equal windows have equal anchors, so a run of neighbouring windows with one anchor is a short
    text of its own, a segment, and segments of different anchors share no window.
 3. Anchors that occur once are done with. Equal segments that occur twice are repeated as a whole.
-4. Anchors with different segments remain. Their segments are cut into slices of 32 windows at fixed
+4. Anchors with different segments remain. Their segments are cut into slices of 64 windows at fixed
    distances from the anchor. The bytes that all windows of a slice share, its core, must occur twice, or
    none of its windows does; and slices that are equal as a whole are repeated.
 5. What remains are different slices with one core. A hash of the core deals them to buckets of bounded
    size; each bucket is a collection whose Burrows-Wheeler transform and common prefixes are built column
-   by column (``column_bwt``). Windows that share ``length`` bytes with a neighbour are repeated. A core
-   with more distinct slices than a bucket may hold has its windows counted one by one instead, which any
-   number of tasks can share.
+   by column (``column_bwt``). The core, which is in every window, is one symbol there: a window of
+   ``length`` bytes is as many symbols as a slice has windows. Windows that share so many with a neighbour
+   are repeated. A core with more distinct slices than a bucket may hold has its windows counted one by one
+   instead, which any number of tasks can share.
 6. The repeated windows go back to the texts, are joined to spans there, and cut out.
 
 The sequential files of the method are the bucket arrays here: a bucket is read and rewritten front to back
@@ -42,7 +43,7 @@ GRAM = 64
 BLOCK = 1 << 19
 BUCKET_BYTES = 1_500_000
 # Windows of a slice, and distinct slices of one core that a bucket takes.
-SLICE = 32
+SLICE = 64
 CORE_LIMIT = 2_000
 # Bytes a word is coded in where passages are measured in words.
 CODE = 4
@@ -51,7 +52,7 @@ WORDS = re.compile(WORD_PATTERN.encode())
 SEGMENTS = "key binary, anchor bigint, c1 bigint, c2 bigint, lo int, hi int, lead int, copies bigint"
 SPANS = "array<struct<lo: int, hi: int>>"
 WORD = ["anchor", "c1", "c2"]
-SLICES = "anchor bigint, c1 bigint, c2 bigint, at int, until int, core binary, content binary"
+SLICES = "anchor bigint, c1 bigint, c2 bigint, at int, until int, ahead int, core binary, content binary"
 
 
 def segments_of(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,8 +187,7 @@ def repeated_passages(texts: DataFrame, n_words: int, **limits: int) -> DataFram
     def codes(data: pd.Series) -> pd.Series:
         import xxhash
 
-        # The transform keeps byte 255 for the end of a text.
-        return data.map(lambda d: b"".join(map(xxhash.xxh32_digest, WORDS.findall(d))).replace(b"\xff", b"\xfe"))
+        return data.map(lambda d: b"".join(map(xxhash.xxh32_digest, WORDS.findall(d))))
 
     def places(data: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_word_places(d, s, n_words) for d, s in zip(data, spans, strict=True)])
@@ -232,35 +232,54 @@ def _compare(pieces: DataFrame, length: int, bucket_bytes: int, core_limit: int)
     """(*WORD, runs): repeated windows of distinct segments that share their anchor."""
     slices = stored(_slices(pieces, length), "slices")
     contents = slices.groupBy("core", "content").agg(
-        F.count("*").alias("n"), F.min(F.struct(*WORD, "at", "until")).alias("of")
+        F.count("*").alias("n"), F.min(F.struct(*WORD, "at", "until", "ahead")).alias("of")
     )
     contents = stored(contents, "slice-contents")
     rivals = contents.groupBy("core").agg(F.count("*").alias("rivals")).where("rivals > 1")
     compared = stored(contents.join(rivals, "core"), "compared-slices").select("core", "content", "rivals", "of.*")
-    wanted = compared.groupBy(*WORD).agg(F.collect_list(F.struct("core", "content", "rivals", "at", "until")).alias("s"))
-    bounds = F.col("until") - F.col("at") + length
-    size = compared.agg(F.sum(bounds)).first()[0] or 0
+    wanted = compared.groupBy(*WORD).agg(
+        F.collect_list(F.struct("core", "content", "rivals", "at", "until", "ahead")).alias("s")
+    )
+    around = F.col("until") - F.col("at") + _windows(length)
+    size = compared.agg(F.sum(around)).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
+    core = _core_bytes(length)
+    behind = F.col("s.at") + F.col("s.ahead") + core
     cut = (
         pieces.join(wanted, WORD)
         .select("segment", F.explode("s").alias("s"))
-        .select("s.*", F.substring("segment", F.col("s.at") + 1, F.col("s.until") - F.col("s.at") + length).alias("segment"))
+        .select(
+            "s.core", "s.content", "s.rivals",
+            F.substring("segment", F.col("s.at") + 1, F.col("s.ahead")).alias("left"),
+            F.substring("segment", behind + 1, F.col("s.until") + length - behind).alias("right"),
+        )
         .withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets)))
-    )
+    )
     cut = stored(cut, "slice-bytes")
     few, many = cut.where(F.col("rivals") <= core_limit), cut.where(F.col("rivals") > core_limit)
-    found = few.groupBy("bucket").applyInPandas(_transform(length), f"core binary, content binary, runs {SPANS}")
+    found = few.groupBy("bucket").applyInPandas(_transform(_windows(length)), f"core binary, content binary, runs {SPANS}")
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("of.until") - F.col("of.at")).alias("hi")))
     full = contents.where("n > 1").select("core", "content", whole.cast(SPANS).alias("runs"))
     single = contents.where("n = 1").select("core", "content")
-    partly = found.unionByName(_counted_windows(many, length)).join(single, ["core", "content"], "left_semi")
+    partly = found.unionByName(_counted_windows(many, _windows(length))).join(single, ["core", "content"], "left_semi")
     runs = stored(full.unionByName(partly), "slice-runs")
     placed = slices.join(runs, ["core", "content"]).select(*WORD, "at", F.explode("runs").alias("run"))
     run = F.struct((F.col("at") + F.col("run.lo")).alias("lo"), (F.col("at") + F.col("run.hi")).alias("hi"))
     return placed.groupBy(*WORD).agg(F.collect_list(run).cast(SPANS).alias("runs"))
 
 
+def _windows(length: int) -> int:
+    """Windows of a whole slice: ``SLICE``, or fewer where windows are so short that no core would be left."""
+    return min(SLICE, length)
+
+
+def _core_bytes(length: int) -> int:
+    return length - _windows(length) + 1
+
+
 def _slices(pieces: DataFrame, length: int) -> DataFrame:
+    size, core_bytes = _windows(length), _core_bytes(length)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -269,14 +288,14 @@ def _slices(pieces: DataFrame, length: int) -> DataFrame:
             rows = []
             for anchor, c1, c2, lead, segment in batch[[*WORD, "lead", "segment"]].itertuples(index=False):
                 last = len(segment) - length
-                # Slice g holds the windows that start 32 g to 32 g + 31 bytes before the anchor.
-                for g in range((lead - last) // SLICE, lead // SLICE + 1):
-                    at, until = max(0, lead - SLICE * g - SLICE + 1), min(last, lead - SLICE * g)
-                    core = lead - SLICE * g
+                # Slice g holds the windows that start size * g to size * g + size - 1 bytes before the anchor.
+                for g in range((lead - last) // size, lead // size + 1):
+                    core = lead - size * g
+                    at, until = max(0, core - size + 1), min(last, core)
                     rows.append(
                         (
-                            anchor, c1, c2, at, until,
-                            digest(segment[core : core + length - SLICE + 1], g),
+                            anchor, c1, c2, at, until, core - at,
+                            digest(segment[core : core + core_bytes], g),
                             digest(segment[at : until + length], core - at),
                         )
                     )
@@ -285,13 +304,24 @@ def _slices(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.mapInPandas(cut, SLICES)
 
 
-def _transform(length: int):
+def _transform(size: int):
+    """Repeated windows of a bucket; each is ``size`` symbols long, of which one stands for the core."""
+
     def transform(frame: pd.DataFrame) -> pd.DataFrame:
         # Sorted, so that a repeated attempt builds the same collection.
         frame = frame.sort_values(["core", "content"], ignore_index=True)
-        starts = Collection(list(frame["segment"])).build().repeated(length)
-        out = frame[["core", "content"]].assign(runs=[_runs(s) for s in starts])
-        return out[[len(s) > 0 for s in starts]]
+        name = 256 + (frame["core"] != frame["core"].shift()).cumsum().to_numpy()
+        # Names of cores start anew where numbers run out; a core's slices stand together and stay together.
+        runs: list[list[dict[str, int]]] = []
+        for part in np.split(np.arange(len(frame)), np.flatnonzero(np.diff((name - 256) // 60_000)) + 1):
+            left, right = frame["left"].iloc[part], frame["right"].iloc[part]
+            texts = [
+                np.concatenate([np.frombuffer(a, np.uint8), [256 + n % 60_000], np.frombuffer(b, np.uint8)]).astype(np.uint16)
+                for a, n, b in zip(left, name[part] - 256, right, strict=True)
+            ]
+            runs += map(_runs, Collection(texts).build().repeated(size))
+        out = frame[["core", "content"]].assign(runs=runs)
+        return out[[len(r) > 0 for r in runs]]
 
     return transform
 
@@ -304,21 +334,22 @@ def _runs(starts: np.ndarray) -> list[dict[str, int]]:
     return [{"lo": int(a), "hi": int(b)} for a, b in zip(first, last, strict=True)]
 
 
-def _counted_windows(pieces: DataFrame, length: int) -> DataFrame:
+def _counted_windows(pieces: DataFrame, size: int) -> DataFrame:
     """Repeated windows of slices whose core is too frequent for one bucket."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for batch in batches:
-            rows = [
-                (core, content, i, xxhash.xxh3_128_digest(segment[i : i + length]))
-                for core, content, segment in batch.itertuples(index=False)
-                for i in range(len(segment) - length + 1)
-            ]
+            rows = []
+            for core, content, left, right in batch.itertuples(index=False):
+                # A window has so many bytes before the core, and the rest of size - 1 behind it.
+                for before in range(min(len(left), size - 1), max(0, size - 1 - len(right)) - 1, -1):
+                    window = core + left[len(left) - before :] + right[: size - 1 - before]
+                    rows.append((core, content, len(left) - before, xxhash.xxh3_128_digest(window, before)))
             yield pd.DataFrame(rows, columns=["core", "content", "at", "window"])
 
-    each = pieces.select("core", "content", "segment").mapInPandas(
+    each = pieces.select("core", "content", "left", "right").mapInPandas(
         windows, "core binary, content binary, at int, window binary"
     )
     each = stored(each, "frequent-windows")
