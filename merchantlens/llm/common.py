@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,20 +47,25 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def join_lookup(rows: DataFrame, lookup: DataFrame, key: str | list[str], hot: DataFrame) -> DataFrame:
     """Left join to a table of one row per key, rows of hot keys staying where they are.
 
     ``hot`` lists keys of which there are at most ``1 / HOT_SHARE`` by construction; the lookup rows
     of these, and only these, are broadcast. All others take the shuffle join, null keys included.
     """
-    mark = hot.select(F.col(key).alias("_hot_key"), F.lit(True).alias("_is_hot"))
-    marked = rows.join(F.broadcast(mark), F.col(key) == F.col("_hot_key"), "left").drop("_hot_key")
-    hot_lookup = lookup.join(F.broadcast(hot.select(key)), key, "left_semi")
-    stay = marked.where("_is_hot").drop("_is_hot").join(F.broadcast(hot_lookup), key, "left")
-    move = marked.where("_is_hot IS NULL").drop("_is_hot").join(lookup, key, "left")
+    keys = [key] if isinstance(key, str) else key
+    marks = {name: f"__hot_{name}" for name in keys}
+    mark = hot.select(*[F.col(name).alias(other) for name, other in marks.items()], F.lit(True).alias("__is_hot"))
+    same = reduce(and_, [F.col(name) == F.col(other) for name, other in marks.items()])
+    marked = rows.join(F.broadcast(mark), same, "left").drop(*marks.values())
+    hot_lookup = lookup.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
+    stay = marked.where("__is_hot").drop("__is_hot").join(F.broadcast(hot_lookup), keys, "left")
+    move = marked.where("__is_hot IS NULL").drop("__is_hot").join(lookup, keys, "left")
     return stay.unionByName(move)
 
 
-def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Keys of a table of counts per key that hold at least ``HOT_SHARE`` of all rows."""
-    return counts.where(F.col(key).isNotNull() & (F.col(count) >= max(2.0, total * HOT_SHARE))).select(key)
+def hot_keys(counts: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
+    """Keys of a table of counts per key that hold at least ``HOT_SHARE`` of all rows; null keys are none."""
+    keys = [key] if isinstance(key, str) else key
+    known = reduce(and_, [F.col(name).isNotNull() for name in keys])
+    return counts.where(known & (F.col(count) >= max(2.0, total * HOT_SHARE))).select(*keys)

@@ -28,6 +28,7 @@ import math
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,8 +50,8 @@ CORE_LIMIT = 2_000
 CODE = 4
 WORDS = re.compile(WORD_PATTERN.encode())
 
-SEGMENTS = "key binary, anchor bigint, c1 bigint, c2 bigint, lo int, hi int, lead int, copies bigint"
 SPANS = "array<struct<lo: int, hi: int>>"
+SEGMENTS = f"key binary, anchor bigint, c1 bigint, c2 bigint, lo int, hi int, lead int, copies bigint, elsewhere {SPANS}"
 WORD = ["anchor", "c1", "c2"]
 SLICES = "anchor bigint, c1 bigint, c2 bigint, at int, until int, ahead int, core binary, content binary"
 
@@ -116,6 +117,13 @@ def _key(text: str) -> Column:
 
 
 def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The segments of each distinct text, those that are equal within a text as one row of several copies.
+
+    A segment that stands twice in its text is repeated wherever it stands; ``elsewhere`` has these byte
+    ranges, joined, in the row of the first one. So a periodic text, where the anchor moves on with
+    every window, gives as many rows as it has different segments. Texts shorter than ``length`` give none.
+    """
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -129,18 +137,22 @@ def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                         xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)
                     )
                     content = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                    columns.append((key, copies, anchors, content, lo, hi, lead))
-                sizes = [len(c[2]) for c in columns]
+                    first, times, elsewhere = _equal_segments(anchors, content, lo, hi + length)
+                    columns.append(
+                        (key, anchors[first], content[first], lo[first], hi[first], lead[first], copies * times, elsewhere)
+                    )
+                sizes = [len(c[1]) for c in columns]
                 yield pd.DataFrame(
                     {
                         "key": np.repeat(np.array([c[0] for c in columns], object), sizes),
-                        "anchor": np.concatenate([c[2] for c in columns]),
-                        "c1": np.concatenate([c[3][:, 0] for c in columns]),
-                        "c2": np.concatenate([c[3][:, 1] for c in columns]),
-                        "lo": np.concatenate([c[4] for c in columns]).astype(np.int32),
-                        "hi": np.concatenate([c[5] for c in columns]).astype(np.int32),
-                        "lead": np.concatenate([c[6] for c in columns]).astype(np.int32),
-                        "copies": np.repeat(np.array([c[1] for c in columns], np.int64), sizes),
+                        "anchor": np.concatenate([c[1] for c in columns]),
+                        "c1": np.concatenate([c[2][:, 0] for c in columns]),
+                        "c2": np.concatenate([c[2][:, 1] for c in columns]),
+                        "lo": np.concatenate([c[3] for c in columns]).astype(np.int32),
+                        "hi": np.concatenate([c[4] for c in columns]).astype(np.int32),
+                        "lead": np.concatenate([c[5] for c in columns]).astype(np.int32),
+                        "copies": np.concatenate([c[6] for c in columns]),
+                        "elsewhere": list(chain.from_iterable(c[7] for c in columns)),
                     }
                 )
 
@@ -148,16 +160,43 @@ def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return long_enough.mapInPandas(cut, SEGMENTS)
 
 
+def _equal_segments(
+    anchors: np.ndarray, content: np.ndarray, starts: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, list[list[dict[str, int]]]]:
+    """The first of each kind of segment in a text, how often it stands there, and where if twice or more."""
+    n = len(anchors)
+    if len(np.unique(content[:, 0])) == n:
+        return np.arange(n), np.ones(n, np.int64), [[] for _ in range(n)]
+    order = np.lexsort((np.arange(n), anchors, content[:, 1], content[:, 0]))
+    a, c = anchors[order], content[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]).any(axis=1))
+    heads = np.flatnonzero(new)
+    times = np.diff(np.append(heads, n))
+    places: list[list[dict[str, int]]] = [[] for _ in heads]
+    for kind in np.flatnonzero(times > 1):
+        own = order[heads[kind] : heads[kind] + times[kind]]  # in text order
+        lo, hi = starts[own], ends[own]
+        breaks = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+        first, last = np.append(0, breaks), np.append(breaks, len(own)) - 1
+        places[kind] = [{"lo": int(a), "hi": int(b)} for a, b in zip(lo[first], hi[last], strict=True)]
+    return order[heads], times, places
+
+
 def repeated_spans(
     texts: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, core_limit: int = CORE_LIMIT
 ) -> DataFrame:
     """(key, spans): byte ranges [lo, hi) covered by repeated strings, unmerged, for texts that have any."""
     segments = stored(cut_segments(texts, length), "segments")
-    shared = segments.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
-    segments = stored(segments.join(shared, "anchor", "left_semi"), "shared-segments")
+    anchors = stored(
+        segments.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count("*").alias("n_rows")), "anchors"
+    )
+    n_segments = anchors.agg(F.sum("n_rows")).first()[0] or 0
+    shared = anchors.where("n > 1").select("anchor", F.lit(True).alias("shared"))
+    found = join_lookup(segments, shared, "anchor", hot_keys(anchors, "anchor", "n_rows", n_segments))
+    segments = stored(found.where("shared").drop("shared"), "shared-segments")
 
     contents = segments.groupBy(*WORD).agg(
-        F.sum("copies").alias("n"), F.min(F.struct("key", "lo", "hi", "lead")).alias("at")
+        F.sum("copies").alias("n"), F.count("*").alias("n_rows"), F.min(F.struct("key", "lo", "hi", "lead")).alias("at")
     )
     contents = stored(contents, "segment-contents")
     rivals = contents.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1").select("anchor")
@@ -170,12 +209,14 @@ def repeated_spans(
     single = contents.where("n = 1").select(*WORD)
     partly = partial.join(single, WORD, "left_semi")
     runs = stored(full.unionByName(partly), "repeated-runs")
-    placed = segments.join(runs, WORD).select("key", "lo", F.explode("runs").alias("run"))
-    span = F.struct(
-        (F.col("lo") + F.col("run.lo")).alias("lo"), (F.col("lo") + F.col("run.hi") + length).alias("hi")
+    met = join_lookup(segments, runs, WORD, hot_keys(contents, WORD, "n_rows", n_segments))
+    own = F.transform(
+        F.coalesce("runs", F.array().cast(SPANS)),
+        lambda run: F.struct((F.col("lo") + run["lo"]).alias("lo"), (F.col("lo") + run["hi"] + length).alias("hi")),
     )
     # One text's spans: no longer than the text.
-    return placed.groupBy("key").agg(F.collect_list(span).cast(SPANS).alias("spans"))
+    placed = met.select("key", F.explode(F.concat(own.cast(SPANS), "elsewhere")).alias("span"))
+    return placed.groupBy("key").agg(F.collect_list("span").cast(SPANS).alias("spans"))
 
 
 def repeated_passages(texts: DataFrame, n_words: int, **limits: int) -> DataFrame:

@@ -103,6 +103,23 @@ def test_repeats_are_removed(spark, docs, limits):
     assert cut == expected
 
 
+def test_periodic_texts_give_few_segments(spark):
+    """The anchor of a periodic text moves with every window; all of it goes, in a handful of rows."""
+    texts = [b" " * 60_000, b"ab" * 30_000, b"abc " * 150 + bytes(range(97, 123)) * 3 + b"x" * 500, b"ab" * 150 + b"cd" * 150]
+    rows = [(str(k).encode(), data, 1) for k, data in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "key binary, data binary, copies bigint")
+    assert suffix_dedup.cut_segments(frame).count() < 2_000
+    docs = spark.createDataFrame([(k, data.decode()) for k, data in enumerate(texts)], "doc_id int, text string")
+    seen = Counter(data[i : i + 400] for data in texts for i in range(len(data) - 399))
+    got = {r["doc_id"]: r["_cut"]["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()}
+    for k, data in enumerate(texts):
+        gone = np.zeros(len(data), bool)
+        for i in range(len(data) - 399):
+            if seen[data[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        assert got[k] == gone.sum()
+
+
 def test_the_pipeline_cuts_shared_passages_of_51_words(spark):
     long, short = ([f"{p}{k:03}" for k in range(n)] for p, n in (("p", 51), ("q", 50)))
     own = [[f"{d}x{k}" for k in range(60)] for d in range(4)]
