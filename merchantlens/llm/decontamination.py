@@ -11,6 +11,7 @@ The test set is a stated query set: it is taken in blocks of bounded size, and o
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,10 @@ LEAST_MATCHES = 13
 LEAST_SHARE = 0.8
 # Test words per broadcast block: some 300,000 seeds.
 BLOCK_WORDS = 100_000
+# Neighbouring places of an item whose seeds are in one block.
+SEED_RUN = 1024
+# Shorter items are phrases that stand in any text; they are reported, but remove nothing.
+LEAST_FILTER_WORDS = 3
 
 
 def word_hashes(text: Column) -> Column:
@@ -46,45 +51,90 @@ def with_seeds(rows: DataFrame, words: str) -> DataFrame:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, least_words: int = 1
 ) -> DataFrame:
     """(doc_id, item_id, n_matched, n_item_words): verified overlaps, the best of each pair.
 
-    Items of fewer than eight words are never found. A null id is an id like others; equal test texts
-    are searched once and reported under each of their ids.
+    Items of fewer than eight words have no seed; they are found where all their words stand side by side.
+    ``least_words`` leaves shorter items out. Texts without a word, null ones too, neither have nor find
+    an overlap. A null id is an id like others; equal test texts are searched once and reported under each of
+    their ids, equal documents are verified once and each reported; an empty table gives no row.
     """
     items = benchmark.select(
         "item_id", F.xxhash64(text_key(F.coalesce("text", F.lit("")))).alias("item"), word_hashes(F.col("text")).alias("item_words")
-    ).where(F.size("item_words") >= SPAN)
+    ).where(F.size("item_words") >= max(1, least_words))
     items = stored(items, "test-items")
-    texts = items.dropDuplicates(["item"]).select("item", "item_words")
-    n_words = texts.agg(F.sum(F.size("item_words"))).first()[0] or 0
-    blocks = max(1, math.ceil(n_words / block_words))
-    train = docs.select("doc_id", word_hashes(F.col(text)).alias("words"))
-    found = None
-    for block in range(blocks):
-        part = texts.where(F.pmod("item", F.lit(blocks)) == block)
-        hits = _verified(train, part)
-        found = hits if found is None else found.unionByName(hits)
-    best = found.groupBy("doc_id", "item").agg(F.max("n_matched").alias("n_matched"))
+    keyed = docs.select("doc_id", _text_key(text).alias("key"), F.col(text).alias("text"))
     named = items.select("item", "item_id", F.size("item_words").alias("n_item_words"))
+    found = verified_overlaps(keyed, items.dropDuplicates(["item"]).select("item", "item_words"), block_words)
+    per_text = found.groupBy("key").agg(F.collect_list(F.struct("item", "n_matched")).alias("hits"))
+    per_text = stored(per_text, "leaked-texts")
+    # Its size is known once it is stored: broadcast if small, else joined with skewed keys split.
+    told = keyed.select("doc_id", "key").join(per_text, "key").select("doc_id", F.explode("hits").alias("hit"))
+    best = told.groupBy("doc_id", F.col("hit.item").alias("item")).agg(F.max("hit.n_matched").alias("n_matched"))
     return best.join(named, "item").select("doc_id", "item_id", "n_matched", "n_item_words")
 
 
-def _verified(train: DataFrame, items: DataFrame) -> DataFrame:
-    test = with_seeds(items.select("item", F.col("item_words").alias("w")), "w").select(
-        "seed", "item", F.col("place").alias("item_place")
-    )
-    hits = with_seeds(train, "words").join(F.broadcast(test), "seed")
-    aligned = hits.select("doc_id", "words", "item", (F.col("place") - F.col("item_place")).alias("shift"))
-    with_item = aligned.join(F.broadcast(items), "item")
+def _text_key(text: str) -> Column:
+    return text_key(F.coalesce(F.col(text), F.lit("")))
+
+
+def verified_overlaps(keyed: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(key, item, n_matched) for rows (key, text), equal texts with one key, and distinct items (item, item_words).
+
+    Hits are reduced to diagonals, one row per text, item and shift, before any is verified, and only texts
+    with a diagonal are read again: an item that is copied whole is compared once, however many seeds agree.
+    """
+    train = keyed.select("key", word_hashes(F.col("text")).alias("words"))
+    long, short = items.where(F.size("item_words") >= SPAN), items.where(F.size("item_words") < SPAN)
+    diagonals = stored(_diagonals(train, long, block_words).distinct(), "diagonals")
+    texts = keyed.join(diagonals.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    met = diagonals.join(texts.select("key", word_hashes(F.col("text")).alias("words")), "key").join(items, "item")
     matched = _best_stretch(F.col("words"), F.col("item_words"), F.col("shift"))
     needed = F.least(F.lit(LEAST_MATCHES), F.ceil(F.size("item_words") * LEAST_SHARE))
-    checked = with_item.select("doc_id", "item", matched.alias("n_matched"), needed.alias("needed"))
-    # Pairs are reduced in their own task before they move.
-    return (
-        checked.where("n_matched >= needed").groupBy("doc_id", "item").agg(F.max("n_matched").alias("n_matched"))
-    )
+    checked = met.select("key", "item", matched.alias("n_matched"), needed.alias("needed")).where("n_matched >= needed")
+    best = checked.groupBy("key", "item").agg(F.max("n_matched").alias("n_matched"))
+    return best.unionByName(_whole_short_items(train, short, block_words))
+
+
+def _diagonals(train: DataFrame, items: DataFrame, block_words: int) -> DataFrame:
+    """(key, item, shift) of every seed that a text and an item share, in blocks of the items' seeds."""
+    placed = with_seeds(items.select("item", F.col("item_words").alias("w")), "w")
+    seeds = stored(placed.select("seed", "item", F.col("place").alias("item_place")), "test-seeds")
+    blocks = max(1, math.ceil(seeds.count() / len(MASKS) / block_words))
+    found = []
+    for block in range(blocks):
+        # Long items are spread over the blocks in runs of seeds, so that none makes a block larger.
+        run = F.xxhash64("item", F.floor(F.col("item_place") / SEED_RUN))
+        part = seeds.where(F.pmod(run, F.lit(blocks)) == block)
+        hits = with_seeds(train, "words").join(F.broadcast(part), "seed")
+        found.append(hits.select("key", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct())
+    return reduce(DataFrame.unionByName, found)
+
+
+def _whole_short_items(train: DataFrame, items: DataFrame, block_words: int) -> DataFrame:
+    """(key, item, n_matched) of the items without seeds, whose words all stand side by side in a text."""
+    rows = stored(
+        items.select("item", F.size("item_words").alias("n_words"), _window(F.col("item_words"), F.lit(0), F.size("item_words")).alias("window")),
+        "short-items",
+    )
+    lengths = sorted(row["n_words"] for row in rows.select("n_words").distinct().collect())
+    empty = train.select("key", F.lit(0).cast("long").alias("item"), F.lit(0).alias("n_matched")).limit(0)
+    blocks = math.ceil(rows.count() / block_words)
+    found = []
+    for block in range(blocks if lengths else 0):
+        windows = [F.when(F.col("place") + n <= F.size("words"), _window(F.col("words"), F.col("place"), F.lit(n))) for n in lengths]
+        placed = train.where(F.size("words") > 0).select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("place"))
+        each = placed.select("key", F.explode(F.array_compact(F.array(*windows))).alias("window"))
+        part = rows.where(F.pmod("item", F.lit(blocks)) == block)
+        met = each.join(F.broadcast(part), "window").select("key", "item", F.col("n_words").alias("n_matched"))
+        found.append(met.distinct())
+    return reduce(DataFrame.unionByName, found, empty)
+
+
+def _window(words: Column, start: Column, n_words: Column) -> Column:
+    """Hash of a run of word hashes and its length."""
+    return F.xxhash64(n_words, F.slice(words, start + 1, n_words))
 
 
 def _best_stretch(words: Column, item: Column, shift: Column) -> Column:
@@ -104,9 +154,19 @@ def _best_stretch(words: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(same, start, step, lambda acc: acc["best"])
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has no verified overlap; decided by the text, not by the id."""
-    keyed = docs.withColumn("_text", text_key(F.coalesce(F.col(text), F.lit(""))))
-    numbered = keyed.select(F.col("_text").alias("doc_id"), F.col(text).alias("text"))
-    leaked = contaminated(numbered, benchmark).select(F.col("doc_id").alias("_text")).distinct()
-    return keyed.join(leaked, "_text", "left_anti").select(*docs.columns)
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", least_words: int = LEAST_FILTER_WORDS
+) -> DataFrame:
+    """The rows of ``docs`` whose text has no verified overlap; decided by the text, not by the id.
+
+    Items of fewer than ``least_words`` words do not remove a text: such phrases stand anywhere. Null
+    and empty texts stay, and so does everything where the benchmark is empty.
+    """
+    items = benchmark.select(
+        F.xxhash64(text_key(F.coalesce("text", F.lit("")))).alias("item"), word_hashes(F.col("text")).alias("item_words")
+    ).where(F.size("item_words") >= max(1, least_words))
+    items = stored(items.dropDuplicates(["item"]), "test-items")
+    keyed = docs.withColumn("__text", _text_key(text))
+    overlaps = verified_overlaps(keyed.select(F.col("__text").alias("key"), F.col(text).alias("text")), items)
+    leaked = stored(overlaps.select(F.col("key").alias("__text")).distinct(), "leaked-texts")
+    return keyed.join(leaked, "__text", "left_anti").select(*docs.columns)

@@ -172,36 +172,22 @@ def simhash_components(
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, one per component: that with the smallest id.
 
-    Where that id is repeated in its component, or all its ids are null, one of these rows stays. The
-    texts are moved once, to meet the chosen rows.
+    Where that id is repeated in its component, or all its ids are null, the row whose values hash lowest
+    stays, so a rerun keeps the same one. Rows alike in every column are one row. Each text is fingerprinted
+    once and moved once, by the hash of its row: copies and components are handled as narrow rows.
     """
-    identity = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col(text))
-    row_key = text_key(identity)
+    row_key = text_key(F.to_json(F.struct(*docs.columns)))
     marked = simhash_components(docs, text, row_key=row_key)
     chosen = (
         marked.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("label")
-        .agg(F.min("row").alias("_row"))
-        .select("_row")
+        .agg(F.min("row").alias("__row"))
+        .select("__row")
     )
-    kept = docs.withColumn("_row", row_key).join(chosen, "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+    # Rows alike are reduced in their own task before they move, and meet the chosen ones where they land.
+    distinct = docs.withColumn("__row", row_key).dropDuplicates(["__row"])
+    return distinct.join(stored(chosen, "simhash-chosen"), "__row", "left_semi").select(*docs.columns)
 
 
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, one per component: that with the smallest id.
-
-    Where the smallest id is repeated in its component, or all ids there are null, any one row stays.
-    """
-    marked = docs.withColumn("_fp", fingerprints(docs, text))
-    chosen = stored(simhash_components(docs, text).select("fp", "label", "component_id").distinct(), "simhash-chosen")
-    first = chosen.select(F.col("fp").alias("_fp"), F.col("label").alias("_label"), "component_id")
-    kept = marked.join(
-        first.withColumnRenamed("component_id", "_first"),
-        "_fp",
-    ).where(F.col("doc_id").eqNullSafe(F.col("_first")))
-    return kept.dropDuplicates(["_label"]).select(*docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -273,6 +274,94 @@ def test_decontamination_bridges_substitutions(spark, docs):
     assert clean.columns == docs.columns and clean.count() == docs.count()
 
 
+def overlaps_by_brute_force(docs, items):
+    """Every diagonal of every pair: most matches of a stretch without two mismatches side by side."""
+    def words(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    found = Counter()
+    for doc_id, text in docs:
+        mine = words(text)
+        for item_id, item in items:
+            theirs = words(item)
+            if not theirs:
+                continue
+            best = 0
+            if len(theirs) < 8:
+                best = len(theirs) * any(mine[k : k + len(theirs)] == theirs for k in range(len(mine)))
+            else:
+                spaced = {(k - j) for m in decontamination.MASKS for k in range(len(mine) - 7) for j in range(len(theirs) - 7)
+                          if all(mine[k + o] == theirs[j + o] for o in m)}
+                for shift in spaced:
+                    run = missed = 0
+                    for j, word in enumerate(theirs):
+                        if 0 <= shift + j < len(mine) and mine[shift + j] == word:
+                            run, missed = run + 1, 0
+                        else:
+                            run, missed = (run, 1) if not missed else (0, 0)
+                        best = max(best, run)
+                best = best if best >= min(13, math.ceil(0.8 * len(theirs))) else 0
+            if best:
+                found[(doc_id, item_id)] = max(best, found[(doc_id, item_id)])
+    return found
+
+
+@pytest.mark.parametrize("block_words", [100_000, 9])
+def test_overlaps_equal_brute_force(spark, block_words):
+    vocabulary = [f"v{k}" for k in range(12)] + ["Été", "日本"]
+
+    def some(n):
+        return [RNG.choice(vocabulary) for _ in range(n)]
+
+    items = [(k, some(RNG.choice([1, 2, 5, 7, 8, 9, 16, 40]))) for k in range(24)]
+    docs = []
+    for k in range(60):
+        text = some(RNG.randint(0, 30)) + (part := list(RNG.choice(items)[1])) + some(RNG.randint(0, 30))
+        if RNG.random() < 0.6:
+            text[RNG.randrange(len(text))] = "changed"
+        docs.append((k, ", ".join(text)))
+        docs += [(k + 1000, ", ".join(text))] * (k % 5 == 0) + [(k + 2000, " ".join(part[3:]))]
+    items = [(k, " ".join(w)) for k, w in items] + [(None, None), (90, "…")]
+    docs += [(None, docs[0][1]), (5000, None), (5001, "")]
+    found = decontamination.contaminated(
+        spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, key string").repartition(4),
+        spark.createDataFrame(items, "item_id bigint, text string"), block_words=block_words,
+    )
+    got = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in found.collect()}
+    expected = overlaps_by_brute_force(docs, items)
+    assert got == dict(expected) and found.count() == len(expected) > 100
+
+
+def test_short_phrases_are_reported_but_remove_nothing(spark, docs):
+    phrases = spark.createDataFrame([(1, "two words"), (2, "one"), (3, "double spaces tabs")], "item_id bigint, text string")
+    reported = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, phrases).collect()}
+    assert {(5, 1), (4, 2), (14, 3)} <= reported
+    kept = decontamination.without_contaminated(docs, phrases)
+    assert kept.count() == docs.count() - 1 and kept.where("doc_id = 14").isEmpty()
+
+
+def test_a_long_item_that_is_copied_whole_has_one_diagonal(spark):
+    item = " ".join(f"w{k}" for k in range(3000))
+    docs = spark.createDataFrame([(1, item), (2, item)], "doc_id bigint, text string")
+    tests = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    items = tests.select(F.lit(1).cast("long").alias("item"), decontamination.word_hashes(F.col("text")).alias("item_words"))
+    train = docs.select(F.lit(b"k").alias("key"), decontamination.word_hashes(F.col("text")).alias("words"))
+    for block_words in (100_000, 500):
+        assert [r["shift"] for r in decontamination._diagonals(train, items, block_words).distinct().collect()] == [0]
+    assert {tuple(r) for r in decontamination.contaminated(docs, tests).collect()} == {(1, 7, 3000, 3000), (2, 7, 3000, 3000)}
+
+
+def test_one_row_of_each_component_is_kept_and_stays_the_same(spark):
+    text = prose(60)
+    rows = [(5, text, "b", 1), (3, text, "z", 2), (3, text, "a", 3), (3, text, "a", 3), (None, text, "q", 4), (9, "other words here", "c", 5)]
+    rows += [(None, prose(90), "x", 6), (None, None, "y", 7), (None, None, "w", 8)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _fp string, _label int")
+    runs = {tuple(sorted(map(repr, simhash.one_of_each(frame.repartition(n, "_label")).collect()))) for n in (1, 2, 5)}
+    assert len(runs) == 1
+    kept = simhash.one_of_each(frame).collect()
+    assert sorted(r["doc_id"] or -1 for r in kept) == [-1, -1, 3, 9] and kept[0].asDict().keys() == {"doc_id", "text", "_fp", "_label"}
+
+
 def test_url_rules_and_reputation(spark):
     rules = [url_filters.UrlRule("block", "net/"), url_filters.UrlRule("allow", "example.net/en/")]
     rows = [
