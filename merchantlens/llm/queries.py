@@ -45,6 +45,7 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
         F.col("_verdict").alias("verdict"), F.col("_n_labelled").alias("host_labelled"), F.col("_n_bad").alias("host_bad"),
+        F.col("_bad_rate").alias("host_bad_rate"), F.col("_bad_rate_lower").alias("host_bad_rate_lower"),
     )
 
 
@@ -63,7 +64,9 @@ def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     counted = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return suffix_dedup.remove_repeats(docs).select("doc_id", *[f"_cut.{name}" for name in counted])
+    # What is left as text; bytes of characters that were cut in two show as replacement characters.
+    kept = F.make_valid_utf8(F.col("_cut.kept").cast("string")).alias("kept_text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", *[f"_cut.{name}" for name in counted], kept)
 
 
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:

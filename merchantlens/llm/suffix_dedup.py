@@ -236,11 +236,12 @@ def repeated_passages(texts: DataFrame, n_words: int, **limits: int) -> DataFram
     spark = texts.sparkSession
     coded = texts.select("key", F.pandas_udf(codes, "binary")("data").alias("data"), "copies")
     name = _bucketed(coded, "word_codes")
-    spans = repeated_spans(spark.table(name), CODE * n_words, **limits)
-    placed = texts.join(spans, "key").select("key", F.pandas_udf(places, SPANS)("data", "spans").alias("spans"))
-    placed = stored(placed, "repeated-passages")
-    spark.sql(f"DROP TABLE {name}")
-    return placed
+    try:
+        spans = repeated_spans(spark.table(name), CODE * n_words, **limits)
+        placed = texts.join(spans, "key").select("key", F.pandas_udf(places, SPANS)("data", "spans").alias("spans"))
+        return stored(placed, "repeated-passages")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _word_places(data: bytes, spans: list[dict[str, int]], n_words: int) -> list[dict[str, int]]:
@@ -438,18 +439,20 @@ def remove_repeats(
 
     With ``n_words``, passages of so many words that occur twice are left out as well, however short they are
     in bytes. Both are sought in the whole texts. All occurrences go, the first one too. A null text is an empty one; repeated rows make each other's
-    texts repeated. Columns of ``docs`` but the text stay as they are.
+    texts repeated. Columns of ``docs`` but the text stay as they are, one called ``_cut`` gives way.
     """
     spark = docs.sparkSession
     name = distinct_texts(docs, text)
-    texts = spark.table(name)
-    spans = repeated_spans(texts, length, **limits)
-    if n_words is not None:
-        both = spans.unionByName(repeated_passages(texts, n_words, **limits))
-        spans = both.groupBy("key").agg(F.flatten(F.collect_list("spans")).cast(SPANS).alias("spans"))
-    cut = texts.join(spans, "key", "left").select("key", "copies", F.pandas_udf(cut_spans, CUT)("data", "spans").alias("_cut"))
-    cut = stored(cut, "cut-texts")
-    spark.sql(f"DROP TABLE {name}")
-    hot = hot_keys(cut, "key", "copies", docs.count()).withColumnRenamed("key", "_key")
-    others = docs.withColumn("_key", _key(text)).drop(text)
-    return join_lookup(others, cut.select(F.col("key").alias("_key"), "_cut"), "_key", hot).drop("_key")
+    try:
+        texts = spark.table(name)
+        spans = repeated_spans(texts, length, **limits)
+        if n_words is not None:
+            both = spans.unionByName(repeated_passages(texts, n_words, **limits))
+            spans = both.groupBy("key").agg(F.flatten(F.collect_list("spans")).cast(SPANS).alias("spans"))
+        whole = texts.join(spans, "key", "left")
+        cut = stored(whole.select("key", "copies", F.pandas_udf(cut_spans, CUT)("data", "spans").alias("_cut")), "cut-texts")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    hot = hot_keys(cut, "key", "copies", docs.count()).withColumnRenamed("key", "__key")
+    others = docs.drop("_cut").withColumn("__key", _key(text)).drop(text)
+    return join_lookup(others, cut.select(F.col("key").alias("__key"), "_cut"), "__key", hot).drop("__key")

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from merchantlens.llm.common import hot_keys, join_lookup, stored
 
 LEVELS = ("suffix", "domain", "host")
+# Second levels under which countries register domains.
+SECOND_LEVEL = r"(?:^|\.)(?:ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z][a-z]$"
+# What stands for the suffix of numeric addresses; no host ends like that.
+ADDRESS = "(address)"
+OUTCOMES = ("_host", "_path", "_rule", "_verdict", "_n_labelled", "_n_bad", "_bad_rate", "_bad_rate_lower")
 
 
 @dataclass(frozen=True)
@@ -65,8 +70,21 @@ def matching_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> Colum
 
 
 def host_levels(host: Column) -> dict[str, Column]:
-    """The host with its registered domain and suffix: its last two labels and its last one."""
-    return {"suffix": F.substring_index(host, ".", -1), "domain": F.substring_index(host, ".", -2), "host": host}
+    """The host with its registered domain and suffix.
+
+    The suffix is the last label, or the last two where they are a country's usual second level; the
+    domain has one label more. User names and ports do not count; an address is a domain of its own.
+    """
+    name = F.regexp_replace(host, r"^.*@|:\d*$", "")
+    address = name.rlike(r"^[\d.]+$|^\[")
+    second = name.rlike(SECOND_LEVEL)
+    suffix = F.when(second, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(second, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return {
+        "suffix": F.when(address, F.lit(ADDRESS)).otherwise(suffix),
+        "domain": F.when(address, name).otherwise(domain),
+        "host": host,
+    }
 
 
 def host_reputation(outcomes: DataFrame, setting: Reputation | None = None, hosts: DataFrame | None = None) -> DataFrame:
@@ -91,7 +109,10 @@ def host_reputation(outcomes: DataFrame, setting: Reputation | None = None, host
         if parent is None:
             counts = counts.withColumn("prior", F.lit(overall))
         else:
-            counts = counts.join(parent, keys[:-1])
+            # A domain may have very many hosts, and a suffix very many domains: such rows stay in place.
+            counts = stored(counts, f"outcomes-{level}")
+            sizes = counts.groupBy(*keys[:-1]).agg(F.count("*").alias("size"))
+            counts = join_lookup(counts, parent, keys[:-1], hot_keys(sizes, keys[:-1], "size", counts.count()))
         counts = stored(counts, f"reputation-{level}")
         strength = _strength(counts, setting)
         alpha = F.col("prior") * strength + F.col("k")
@@ -123,27 +144,30 @@ def _strength(counts: DataFrame, setting: Reputation) -> float:
 def filter_urls(
     pages: DataFrame, outcomes: DataFrame, rules: Sequence[UrlRule], setting: Reputation | None = None, url: str = "url"
 ) -> DataFrame:
-    """``pages`` with ``_host``, ``_path``, ``_rule`` and ``_verdict``, and the host's counts.
+    """``pages`` with ``_host``, ``_path``, ``_rule``, ``_verdict``, the host's counts and its posterior.
 
     A rule's verdict stands before the reputation's. ``outcomes`` has one row (host, bad) per labelled page;
     a host without one has the reputation of its domain, suffix or all pages. A page without a host is
-    allowed. Hosts that hold many pages are joined without being moved.
+    allowed and has no posterior. Hosts that hold many pages are joined without being moved. Columns of
+    ``pages`` that are called like one of the new ones give way.
     """
     setting = setting or Reputation()
+    own = [name for name in pages.columns if name not in OUTCOMES]
     host, path = url_parts(F.col(url))
-    parted = pages.withColumns({"_host": host, "_path": path})
-    sizes = stored(parted.groupBy("_host").agg(F.count("*").alias("_n")), "host-sizes")
-    hot = hot_keys(sizes, "_host", "_n", parted.count())
+    parted = pages.select(*own, host.alias("_host"), path.alias("_path"))
+    sizes = stored(parted.groupBy("_host").agg(F.count("*").alias("n")), "host-sizes")
+    hot = hot_keys(sizes, "_host", "n", parted.count())
     hosts = sizes.where("_host != ''").select(F.col("_host").alias("host"))
     known = host_reputation(outcomes, setting, hosts).select(
         F.col("host").alias("_host"), F.col("n_labelled").alias("_n_labelled"), F.col("n_bad").alias("_n_bad"),
-        (F.col("lower") > setting.most_bad).alias("_bad_host"),
+        F.col("mean").alias("_bad_rate"), F.col("lower").alias("_bad_rate_lower"),
     )
     judged = join_lookup(parted, known, "_host", hot)
     rule = matching_rule(F.col("_host"), F.col("_path"), rules)
-    by_host = F.when(F.coalesce("_bad_host", F.lit(False)), "block").otherwise("allow")
+    by_host = F.when(F.coalesce(F.col("_bad_rate_lower") > setting.most_bad, F.lit(False)), "block").otherwise("allow")
     return judged.select(
-        *pages.columns, "_host", "_path", rule["rule"].alias("_rule"),
+        *own, "_host", "_path", rule["rule"].alias("_rule"),
         F.coalesce(rule["verdict"], by_host).alias("_verdict"),
         F.coalesce("_n_labelled", F.lit(0)).alias("_n_labelled"), F.coalesce("_n_bad", F.lit(0)).alias("_n_bad"),
+        "_bad_rate", "_bad_rate_lower",
     )

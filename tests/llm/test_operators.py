@@ -397,6 +397,91 @@ def test_hosts_without_outcomes_have_their_domains_reputation(spark):
     assert {r["host"]: r["lower"] for r in among.collect() if r["host"] in alone} == pytest.approx(alone)
 
 
+def test_host_levels(spark):
+    hosts = {
+        "a.b.example.org": ("org", "example.org"), "a.example.co.uk": ("co.uk", "example.co.uk"), "u:p@x.example.org:8080": ("org", "example.org"),
+        "10.0.0.1:80": ("(address)", "10.0.0.1"), "localhost": ("localhost", "localhost"), "co.uk": ("co.uk", "co.uk"), "": ("", ""),
+    }
+    frame = spark.createDataFrame([(h,) for h in hosts], "h string")
+    levels = url_filters.host_levels(F.col("h"))
+    for row in frame.select("h", *[c.alias(name) for name, c in levels.items()]).collect():
+        assert (row["suffix"], row["domain"], row["host"]) == (*hosts[row["h"]], row["h"])
+
+
+def posterior_by_brute_force(outcomes, hosts):
+    """Rates of hosts shrunk level by level, in plain loops over plain numbers."""
+    counts = {h: [0, 0] for h in hosts}
+    for host, bad in outcomes:
+        counts.setdefault(host, [0, 0])
+        if bad is not None:
+            counts[host][0] += 1
+            counts[host][1] += bad
+    levels = [lambda h: h.split(".")[-1:], lambda h: h.split(".")[-2:], lambda h: h.split(".")]
+    means = {"": (sum(k for _, k in counts.values()) + 1) / (sum(n for n, _ in counts.values()) + 2)}
+    parent_of = lambda h: ""
+    for level in levels:
+        groups = {}
+        for host, (n, k) in counts.items():
+            name = ".".join(level(host))
+            group = groups.setdefault(name, [0, 0, means[parent_of(host)]])
+            group[0] += n
+            group[1] += k
+        scatter = sum((k - n * p) ** 2 for n, k, p in groups.values())
+        binomial = sum(n * p * (1 - p) for n, k, p in groups.values())
+        excess = sum(n * p * (1 - p) * (n - 1) for n, k, p in groups.values())
+        within = (scatter - binomial) / excess if excess else 0
+        strength = min(1000.0, max(2.0, 1 / within - 1)) if within > 0 else 1000.0
+        means, bounds = {}, {}
+        for name, (n, k, p) in groups.items():
+            a, b = p * strength + k, (1 - p) * strength + n - k
+            means[name] = a / (a + b)
+            bounds[name] = means[name] - 1.64 * math.sqrt(means[name] * (1 - means[name]) / (a + b + 1))
+        parent_of = lambda h, level=level: ".".join(level(h))
+    return {h: (*counts[h], means[h], bounds[h]) for h in counts}
+
+
+def test_posteriors_equal_brute_force(spark):
+    names = [f"h{k}.d{k % 7}.{RNG.choice(['org', 'com', 'zip'])}" for k in range(60)]
+    rate = {d: RNG.random() for d in range(7)}
+    outcomes = [(h, RNG.choice([None, int(RNG.random() < rate[int(h.split(".")[1][1:])])])) for h in names[:50] for _ in range(RNG.randint(0, 40))]
+    expected = posterior_by_brute_force(outcomes, names)
+    pages = spark.createDataFrame([(k, f"https://{h}/x", 1, "y") for k, h in enumerate(names)], "page_id int, url string, _n_labelled int, _host string")
+    found = url_filters.filter_urls(pages, spark.createDataFrame(outcomes, "host string, bad int"), []).collect()
+    assert len(found) == len(names) and {r["_verdict"] for r in found} == {"allow", "block"}
+    for r in found:
+        n, k, mean, lower = expected[r["_host"]]
+        assert (r["_n_labelled"], r["_n_bad"]) == (n, k)
+        assert (r["_bad_rate"], r["_bad_rate_lower"]) == pytest.approx((mean, lower), rel=1e-9)
+        assert r["_verdict"] == ("block" if lower > 0.5 else "allow")
+
+
+def test_votes_equal_brute_force():
+    """Cosines to every labelled vector one by one; the nearest ones' labels weighted by their fourth power."""
+    draw = np.random.default_rng(3)
+    vectors = quality_neighbours._unit(draw.standard_normal((70, 6)))
+    model = quality_neighbours.NeighbourModel(np.ones(1), np.ones((1, 6)), vectors, draw.integers(0, 2, 70).astype(float))
+    asked = quality_neighbours._unit(np.vstack([draw.standard_normal((40, 6)), vectors[:5], -vectors[:5]]))
+    asked = np.vstack([asked, np.zeros((1, 6))])
+    got = quality_neighbours.vote(asked, model)
+    for q, score in zip(asked, got, strict=True):
+        cosines = [sum(a * b for a, b in zip(q, v, strict=True)) for v in vectors]
+        nearest = sorted(range(70), key=lambda k: -cosines[k])[: quality_neighbours.NEIGHBOURS]
+        weights = [max(cosines[k], 0) ** 4 + 1e-9 for k in nearest]
+        voted = sum(w * model.labels[k] for w, k in zip(weights, nearest, strict=True)) / sum(weights)
+        assert score == pytest.approx(voted if q.any() else model.labels.mean(), rel=1e-6, abs=1e-9)
+
+
+def test_models_of_empty_tables(spark, nothing):
+    pages = spark.createDataFrame([], "page_id bigint, url string")
+    outcomes = spark.createDataFrame([], "host string, bad int")
+    assert url_filters.filter_urls(pages, outcomes, []).count() == 0
+    one = spark.createDataFrame([(1, "http://a.org/"), (2, None)], "page_id bigint, url string")
+    assert {r["_verdict"] for r in url_filters.filter_urls(one, outcomes, []).collect()} == {"allow"}
+    languages = language_id.learn_languages(nothing)
+    assert language_id.identify_languages(nothing, languages).count() == 0
+    assert quality_neighbours.score_quality(nothing, quality_neighbours.learn_neighbours(nothing.select("text", "label"))).count() == 0
+
+
 def test_languages_and_backoff(spark, docs):
     train = spark.createDataFrame(
         [("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "en"), ("le chat", None)],
