@@ -15,6 +15,8 @@ from merchantlens.session import scratch_folder
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # A key with this share of all rows or more is hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 1000
+# Rows of narrow keys up to which a table is broadcast: some 10 MB.
+BROADCAST_ROWS = 100_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +49,12 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+def join_by_size(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Join to a stored table, broadcast if it is counted to have few rows, by a shuffle beyond that."""
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(keys) if few else keys, key, how)
+
+
 def join_lookup(rows: DataFrame, lookup: DataFrame, key: str | list[str], hot: DataFrame) -> DataFrame:
     """Left join to a table of one row per key, rows of hot keys staying where they are.
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchantlens.llm.common import stored, text_key
+from merchantlens.llm.common import join_by_size, stored, text_key
 
 # Fixed positions of the masks; each ignores three of eight words.
 MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 7), (1, 2, 4, 5, 7))
@@ -69,8 +69,7 @@ def contaminated(
     found = verified_overlaps(keyed, items.dropDuplicates(["item"]).select("item", "item_words"), block_words)
     per_text = found.groupBy("key").agg(F.collect_list(F.struct("item", "n_matched")).alias("hits"))
     per_text = stored(per_text, "leaked-texts")
-    # Its size is known once it is stored: broadcast if small, else joined with skewed keys split.
-    told = keyed.select("doc_id", "key").join(per_text, "key").select("doc_id", F.explode("hits").alias("hit"))
+    told = join_by_size(keyed.select("doc_id", "key"), per_text, "key", "inner").select("doc_id", F.explode("hits").alias("hit"))
     best = told.groupBy("doc_id", F.col("hit.item").alias("item")).agg(F.max("hit.n_matched").alias("n_matched"))
     return best.join(named, "item").select("doc_id", "item_id", "n_matched", "n_item_words")
 
@@ -88,7 +87,8 @@ def verified_overlaps(keyed: DataFrame, items: DataFrame, block_words: int = BLO
     train = keyed.select("key", word_hashes(F.col("text")).alias("words"))
     long, short = items.where(F.size("item_words") >= SPAN), items.where(F.size("item_words") < SPAN)
     diagonals = stored(_diagonals(train, long, block_words).distinct(), "diagonals")
-    texts = keyed.join(diagonals.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    hit = stored(diagonals.select("key").distinct(), "hit-texts")
+    texts = join_by_size(keyed, hit, "key", "left_semi").dropDuplicates(["key"])
     met = diagonals.join(texts.select("key", word_hashes(F.col("text")).alias("words")), "key").join(items, "item")
     matched = _best_stretch(F.col("words"), F.col("item_words"), F.col("shift"))
     needed = F.least(F.lit(LEAST_MATCHES), F.ceil(F.size("item_words") * LEAST_SHARE))
@@ -169,4 +169,4 @@ def without_contaminated(
     keyed = docs.withColumn("__text", _text_key(text))
     overlaps = verified_overlaps(keyed.select(F.col("__text").alias("key"), F.col(text).alias("text")), items)
     leaked = stored(overlaps.select(F.col("key").alias("__text")).distinct(), "leaked-texts")
-    return keyed.join(leaked, "__text", "left_anti").select(*docs.columns)
+    return join_by_size(keyed, leaked, "__text", "left_anti").select(*docs.columns)
