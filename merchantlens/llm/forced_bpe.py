@@ -200,25 +200,31 @@ def _sliced(columns: list[str], rows: Iterator[tuple], size) -> Iterator[pd.Data
         yield pd.DataFrame(waiting, columns=columns).astype({"doc_id": "Int64"})
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", entries: int = TABLE_ENTRIES) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, tokenizer: str, text: str = "text", entries: int = TABLE_ENTRIES, decoded: bool = False
+) -> DataFrame:
     """(doc_id, n_tokens, ids) per row of ``docs``: the ids as packed little-endian unsigned 32-bit integers.
 
     Special strings inside a text become their tokens; none is added. A null text is an empty one, with
-    no ids; repeated rows stay; an empty table gives none. Nothing is shuffled.
+    no ids; repeated rows stay; an empty table gives none. Nothing is shuffled. With ``decoded`` the ids
+    are decoded again in the same worker, as ``decode_documents`` does it in a pass of its own.
     """
+    columns = ["doc_id", "n_tokens", "ids", *(["decoded"] if decoded else [])]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = ForcedBoundaryBpe(tokenizer, entries)
+        tokens = TokenStrings(tokenizer) if decoded else None
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
                     ids = bpe.encode(text or "")
-                    yield doc_id, len(ids) // 4, ids
+                    yield (doc_id, len(ids) // 4, ids, *([tokens.decode(ids)] if tokens else []))
 
-        yield from _sliced(["doc_id", "n_tokens", "ids"], rows(), lambda row: len(row[2]))
+        yield from _sliced(columns, rows(), lambda row: len(row[-1]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInPandas(encode, ENCODED)
+    schema = DECODED if decoded else ENCODED
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInPandas(encode, schema)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:

@@ -116,8 +116,7 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 def op11_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    encoded = forced_bpe.encode_documents(read_table(spark, folder, "documents"), tokenizer)
-    return forced_bpe.decode_documents(encoded, tokenizer).select(
+    return forced_bpe.encode_documents(read_table(spark, folder, "documents"), tokenizer, decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -87,6 +87,8 @@ def test_documents_round_trip(spark, library):
         packed = np.array(ids, "<u4").tobytes()
         expected[(doc_id, len(ids), packed, library.decode(ids, skip_special_tokens=False))] += 1
     assert found == expected
+    at_once = forced_bpe.encode_documents(docs, TOKENIZER, entries=3, decoded=True).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in at_once) == expected
     nulls = spark.createDataFrame([(1, None)], "doc_id bigint, ids binary")
     assert forced_bpe.decode_documents(nulls, TOKENIZER).first()["decoded"] == ""
     assert forced_bpe.encode_documents(docs.limit(0), TOKENIZER).count() == 0
