@@ -1,13 +1,15 @@
 """License scans by patience alignment.
 
 Words that occur once in the text and once in a template are anchors. The longest increasing run of them
-is kept, and the gaps between neighbours are aligned in the same way, where other words become unique.
-Coverage is the share of a template's words that are aligned.
+is kept, and the gaps between neighbours are aligned in the same way, where other words become unique. Gaps
+that are left without such a word are aligned to the most equal words. Coverage is the share of a template's
+words that are aligned.
 
 What is aligned are the stretches of a text that hold one notice each. Around each occurrence of a word that
 no notice can do without, the nearest stretches with the least coverage are found exactly; of these, as many
 as do not overlap are kept and extended to the most words up to their neighbours. So a notice that stands
-many times is found as often, and where repeated words leave no anchors, the stretch's own count stands.
+many times is found as often. Anchors that stand in another order than the rest of a notice can cost more
+words than they bring; a stretch that has more to give is then aligned as one gap.
 """
 
 from __future__ import annotations
@@ -64,8 +66,11 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     gaps = [(0, len(text), 0, len(template))]
     while gaps:
         a, b, c, d = gaps.pop()
-        chain = _anchors(text, a, b, template, c, d) if a < b and c < d else []
+        if a == b or c == d:
+            continue
+        chain = _anchors(text, a, b, template, c, d)
         if not chain:
+            pairs += [(a + i, c + j) for i, j in most_equal(text[a:b], template[c:d])]
             continue
         pairs += chain
         edges = [(a - 1, c - 1), *chain, (b, d)]
@@ -98,6 +103,33 @@ def _anchors(text: list[int], a: int, b: int, template: list[int], c: int, d: in
     return chain[::-1]
 
 
+def most_equal(text: list[int], template: list[int]) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence; both sides are a stretch or a gap of one, so at most some template lengths."""
+    own, other = set(text), set(template)
+    rows = [i for i, w in enumerate(text) if w in other]
+    columns = [j for j, w in enumerate(template) if w in own]
+    if not rows:
+        return []
+    best = [[0] * (len(columns) + 1)]  # by words of the text left, from its end on: the most pairs by words of the template left
+    for i in reversed(rows):
+        below, row = best[-1], [0]
+        for n, j in enumerate(reversed(columns)):
+            row.append(below[n] + 1 if text[i] == template[j] else max(below[n + 1], row[n]))
+        best.append(row)
+    pairs = []
+    a, c = len(rows), len(columns)
+    while best[a][c]:
+        i, j = rows[-a], columns[-c]
+        if text[i] == template[j]:
+            pairs.append((i, j))
+            a, c = a - 1, c - 1
+        elif best[a - 1][c] == best[a][c]:
+            a -= 1
+        else:
+            c -= 1
+    return pairs
+
+
 class Notice(NamedTuple):
     """Words are counted from the start of the text."""
 
@@ -138,10 +170,12 @@ class LicenseScanner:
             if not template or sum(n in present for n in template) < LEAST_COVERAGE * len(template):
                 continue  # even an alignment of all shared words would fall short
             for first, last, count in Stretches(places, numbers, template).found():
-                pairs = align(numbers[first : last + 1], template)
-                if len(pairs) >= count:
-                    first, last, count = first + pairs[0][0], first + pairs[-1][0], len(pairs)
-                found.append(Notice(name, round(count / len(template), 6), count, places[first], places[last]))
+                stretch = numbers[first : last + 1]
+                pairs = align(stretch, template)
+                if len(pairs) < count:
+                    pairs = most_equal(stretch, template)
+                ends = [places[first + pairs[k][0]] for k in (0, -1)]
+                found.append(Notice(name, round(len(pairs) / len(template), 6), len(pairs), *ends))
         return found
 
 

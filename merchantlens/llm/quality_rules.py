@@ -48,6 +48,7 @@ class Rule:
         return " AND ".join(bounds)
 
 
+OUTCOMES = ("_measures", "_base_failed", "_failed_rules", "_kept")
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 RULES = (
     Rule("word_length", "word_chars", "n_words", least=200.0, most=1400.0),
@@ -65,28 +66,30 @@ MEASURES = (
 def quality_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``_measures`` of counts; a null or empty text measures 0 throughout.
 
-    Two windows count as equal when their 64-bit hashes are. Extra columns stay untouched.
+    Two windows count as equal when their 64-bit hashes are. Columns of ``docs`` stay as they are, one called
+    ``_measures`` gives way; names with two leading underscores are reserved.
     """
+    own = [name for name in docs.columns if name != "_measures"]
     whole = F.coalesce(F.col(text), F.lit(""))
     words = F.regexp_extract_all(whole, F.lit(WORD_PATTERN), F.lit(0))
     lines = F.filter(F.split(whole, "\n", -1), lambda line: line.rlike(WORD_PATTERN))
     # Only hashes of the words are kept: fixed width, and cheap to compare and to combine.
-    hashed = docs.withColumns({"_words": F.transform(words, lambda word: F.xxhash64(word)), "_lines": lines})
-    windowed = hashed.withColumn("_windows", _window_hashes(F.col("_words")))
-    stop = F.filter("_words", lambda word: word.isin([F.xxhash64(F.lit(stop)) for stop in STOP_WORDS]))
-    n_lines = F.size("_lines")
+    hashed = docs.withColumns({"__words": F.transform(words, lambda word: F.xxhash64(word)), "__lines": lines})
+    windowed = hashed.withColumn("__windows", _window_hashes(F.col("__words")))
+    stop = F.filter("__words", lambda word: word.isin([F.xxhash64(F.lit(stop)) for stop in STOP_WORDS]))
+    n_lines = F.size("__lines")
     counts = {
-        "n_words": F.size("_words"),
+        "n_words": F.size("__words"),
         "word_chars": F.length(whole) - F.regexp_count(whole, F.lit(SPACE_PATTERN)),
         "n_symbols": F.regexp_count(whole, F.lit(SYMBOL_PATTERN)),
-        "n_dup_lines": n_lines - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": _repeated_words(F.col("_windows")),
+        "n_dup_lines": n_lines - F.size(F.array_distinct("__lines")),
+        "n_repeat_words": _repeated_words(F.col("__windows")),
         "n_exclamations": F.regexp_count(whole, F.lit("!")),
         "n_stop_words": F.size(stop),
         "n_lines": n_lines,
     }
     measures = F.struct(*[counts[name].cast("long").alias(name) for name in MEASURES])
-    return windowed.select(*docs.columns, measures.alias("_measures"))
+    return windowed.select(*own, measures.alias("_measures"))
 
 
 def _window_hashes(words: Column) -> Column:
@@ -128,11 +131,13 @@ def _repeated_words(windows: Column) -> Column:
 def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with ``_measures``, ``_base_failed``, ``_failed_rules`` and ``_kept``.
 
-    The table of rules becomes plain comparisons of one projection. A null text fails the base rules.
+    The table of rules becomes plain comparisons of one projection. A null text fails the base rules. Columns
+    of ``docs`` that are called like one of the new ones give way; repeated rows are judged alike.
     """
+    own = [name for name in docs.columns if name not in OUTCOMES]
     at = {name: F.col(f"_measures.{name}") for name in MEASURES}
     measured = quality_measures(docs, text)
-    flat = measured.select(*docs.columns, "_measures", *[column.alias(name_of(n)) for n, column in at.items()])
+    flat = measured.select(*own, "_measures", *[column.alias(name_of(n)) for n, column in at.items()])
     passed = [F.expr(_on_flat(rule.passed())) for rule in rules]
     failed = F.filter(
         F.array(*[F.when(~ok, F.lit(rule.name)) for rule, ok in zip(rules, passed, strict=True)]),
@@ -140,7 +145,7 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     )
     base_failed = F.expr(_on_flat(BASE_FAILED))
     return flat.select(
-        *docs.columns,
+        *own,
         "_measures",
         base_failed.alias("_base_failed"),
         failed.alias("_failed_rules"),
@@ -149,7 +154,7 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
 
 
 def name_of(measure: str) -> str:
-    return f"_m_{measure}"
+    return f"__{measure}"
 
 
 def _on_flat(condition: str) -> str:
