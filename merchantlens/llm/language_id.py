@@ -21,6 +21,8 @@ from merchantlens.llm.common import stored
 WORDS = 50_000
 GRAMS = 20_000
 LONGEST_GRAM = 4
+# Classes of totals per doubling when the least total of the kept terms is looked for.
+TOTAL_CLASSES = 64
 UNKNOWN = "und"
 CACHE_ENTRIES = 200_000
 # Chunks that are looked up together.
@@ -38,10 +40,13 @@ class LanguageModel:
     logs: np.ndarray
 
 
-def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Count words and n-grams of all rows with a language; at most 50,000 words and 20,000 n-grams a length.
+def learn_languages(
+    docs: DataFrame, text: str = "text", lang: str = "lang", most_words: int = WORDS, most_grams: int = GRAMS
+) -> LanguageModel:
+    """Count words and n-grams of all rows with a language; the most frequent words and n-grams a length are kept.
 
-    Null texts and languages teach nothing. Without any training row the model is empty.
+    ``most_words`` and ``most_grams`` bound the model, not the counting; of equal counts the smaller terms are
+    kept. Null texts and languages teach nothing. Without any training row the model is empty.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))
@@ -49,13 +54,13 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     counts = stored(counts, "language-words")
     languages = sorted(row["lang"] for row in counts.select("lang").distinct().collect())
     padded = F.concat(F.lit(" "), F.col("term"), F.lit(" "))
-    tables = [_frequencies(counts, languages, WORDS)]
+    tables = [_frequencies(counts, languages, most_words)]
     for n in range(LONGEST_GRAM, 0, -1):
         starts = F.explode(F.sequence(F.lit(1), F.length(padded) - n + 1)).alias("at")
         each = counts.where(F.length(padded) >= n).select("lang", "count", padded.alias("padded"), starts)
         each = each.select("lang", "count", F.substring("padded", F.col("at"), F.lit(n)).alias("term"))
         summed = stored(each.groupBy("term", "lang").agg(F.sum("count").alias("count")), "language-grams")
-        tables.append(_frequencies(summed, languages, GRAMS))
+        tables.append(_frequencies(summed, languages, most_grams))
     rows: list[dict[str, int]] = []
     for terms, _ in tables:
         begin = sum(map(len, rows))
@@ -65,16 +70,24 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang") ->
 
 
 def _frequencies(counts: DataFrame, languages: list[str], most: int) -> tuple[list[str], np.ndarray]:
-    """The ``most`` terms with the largest counts, and their smoothed log frequencies per language."""
+    """The ``most`` terms with the largest counts, and their smoothed log frequencies per language.
+
+    Numbers of terms per class of totals tell how low the kept ones reach, so only terms of these classes
+    are sorted: some more than ``most``, however many terms and partitions there are.
+    """
     if not languages:
         return [], np.empty((0, 0))
     per_term = counts.groupBy("term").agg(
         F.sum("count").alias("total"),
         *[F.sum(F.when(F.col("lang") == name, F.col("count")).otherwise(0)).alias(f"n{k}") for k, name in enumerate(languages)],
     )
+    per_term = stored(per_term.withColumn("class", F.floor(F.log2("total") * TOTAL_CLASSES)), "language-terms")
+    classes = per_term.groupBy("class").agg(F.count("*").alias("terms")).toPandas().sort_values("class", ascending=False)
+    reached = classes["class"][classes["terms"].cumsum() - classes["terms"] < most]
     columns = [f"n{k}" for k in range(len(languages))]
     totals = np.array(counts.groupBy().agg(*[F.sum(F.when(F.col("lang") == x, F.col("count"))) for x in languages]).first(), float)
-    top = per_term.orderBy(F.desc("total"), "term").limit(most).toPandas()
+    top = per_term.where(F.col("class") >= int(reached.min())) if len(reached) else per_term
+    top = top.orderBy(F.desc("total"), "term").limit(most).toPandas()
     logs = np.log((top[columns].to_numpy(float) + 0.5) / (totals + 0.5 * len(top)))
     return list(top["term"]), logs
 
