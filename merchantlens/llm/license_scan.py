@@ -34,13 +34,43 @@ TEMPLATES = {
         'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
         "CONDITIONS OF ANY KIND, either express or implied."
     ),
+    "BSD-2-Clause-header": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution."
+    ),
+    "BSD-3-Clause-header": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright "
+        "holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."
+    ),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "General Public License as published by the Free Software Foundation; either version 2 of the License, or "
+        "(at your option) any later version."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
         "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
         "(at your option) any later version."
     ),
+    "ISC-header": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+        "License, or (at your option) any later version."
+    ),
     "MIT": "Released under the MIT License.",
     "MIT-header": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -48,6 +78,10 @@ TEMPLATES = {
         "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
         "copies of the Software, and to permit persons to whom the Software is furnished to do so."
     ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+        "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
 }
 LEAST_COVERAGE = 0.8
 # Aligned words must lie within so many template lengths of each other: a notice is not spread over a book.

@@ -623,3 +623,28 @@ def test_language_scores_equal_a_plain_loop(spark):
         words = [w for w in re.findall(r"[^\W\d_]+", text.lower()) if any(map(str.isalpha, w))]
         assert row[-1] == len(words)
         assert np.allclose(row[:-1], sum(map(score, words), np.zeros(2)))
+
+
+def test_most_frequent_terms_with_ties(spark):
+    """The kept words equal a plain sort by count and word at every bound, also inside a run of equal counts."""
+    counts = {f"w{'abcdefghijklmnopqrst'[k]}": 1 + k // 4 for k in range(20)} | {"often": 500}
+    text = " ".join(" ".join([word] * n) for word, n in counts.items())
+    train = spark.createDataFrame([(text, "en"), ("wt wt wt", "de")], "text string, lang string").repartition(2)
+    counts["wt"] += 3
+    plain = sorted(counts, key=lambda word: (-counts[word], word))
+    for most in (1, 3, 6, len(plain), 1000):
+        model = language_id.learn_languages(train, most_words=most, most_grams=2)
+        assert list(model.words) == plain[:most]
+        assert [len(grams) for _, grams in model.grams] == [2] * 4
+
+
+def test_each_template_is_the_best_notice_of_its_own_text():
+    scanner = license_scan.LicenseScanner(license_scan.TEMPLATES)
+    whole = "\n\nother words of a file\n\n".join(license_scan.TEMPLATES.values())
+    found = {notice.license for notice in scanner.notices(whole) if notice.coverage == 1.0}
+    for name, template in license_scan.TEMPLATES.items():
+        best = scanner.best(scanner.notices(f"some code\n{template}\nmore code"))
+        assert (best.license, best.coverage) == (name, 1.0)
+        assert name in found
+    listed = license_scan.TEMPLATES["BSD-2-Clause-header"].replace("met: ", "met:\n 1. ").replace(". Redis", ".\n 2. Redis")
+    assert scanner.best(scanner.notices(listed)).license == "BSD-2-Clause-header"
