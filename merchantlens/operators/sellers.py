@@ -23,6 +23,22 @@ def seller_order_rows(items: DataFrame, orders: DataFrame, hot_orders: Sequence
     return split_join(known, order_deliveries(orders), "order_id", "inner", hot_orders)
 
 
+def seller_order_sums(items: DataFrame, orders: DataFrame, hot_orders: Sequence = ()) -> DataFrame:
+    """Per seller the rows, delivery days and late rows of ``seller_order_rows``, without producing these.
+
+    Every item meets one row of sums of its order, so an order id with many rows on both sides costs the rows of
+    both sides, not the pairs. Sellers without a joined row are absent; days are NULL where no row has any.
+    """
+    keys = items.where(F.col("seller_id").isNotNull()).select("order_id", "seller_id")
+    sides = [LookupSide(deliveries_per_order(order_deliveries(orders)))]
+    joined = union_all(lookup_join(keys, "order_id", sides, hot_orders))
+    return joined.groupBy("seller_id").agg(
+        F.sum("order_rows").alias("n_rows"),
+        F.sum(F.when(F.col("days_rows") > 0, F.col("days_sum"))).alias("days"),
+        F.sum("late_rows").alias("late"),
+    )
+
+
 def seller_review_scores(items: DataFrame, reviews: DataFrame, hot_orders: Sequence = ()) -> DataFrame:
     """Average review score per seller, weighted by item rows; sellers without a review are absent."""
     keys = items.where(F.col("seller_id").isNotNull()).select("order_id", "seller_id")

@@ -9,7 +9,7 @@ from bronze import Bronze, item, order
 from pyspark.sql import functions as F
 
 from merchantlens.operators import skew
-from merchantlens.operators.sellers import seller_review_scores
+from merchantlens.operators.sellers import seller_order_rows, seller_order_sums, seller_review_scores
 from merchantlens.plans import gold, silver
 from merchantlens.sources.tables import Bucketing, refresh_table
 
@@ -232,3 +232,42 @@ def test_bucketed_tables_keep_all_rows_and_split_hot_keys(spark, layers):
     stored = spark.table(table)
     assert rows.exceptAll(stored).isEmpty() and stored.exceptAll(rows).isEmpty()
     assert stored.where("k = 'hot'").select(F.input_file_name()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("hot", [[], HOT])
+def test_order_sums_are_those_of_the_joined_rows(skewed, hot):
+    joined = seller_order_rows(skewed.items, skewed.orders, hot)
+    expected = joined.groupBy("seller_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("delivery_days").alias("days"), F.sum("is_late").alias("late")
+    )
+    found = seller_order_sums(skewed.items, skewed.orders, hot)
+    assert found.dtypes == expected.dtypes
+    assert rows(found) == rows(expected)
+
+
+@pytest.mark.parametrize("hot", [[], [3]])
+def test_repeated_hot_orders_are_summed_without_their_pairs(spark, hot):
+    """300,000 items and 300,000 rows of one order: 9 x 10^10 pairs, which row by row would not end."""
+    items = spark.range(300_000).selectExpr("3L AS order_id", "id % 2 AS seller_id")
+    day = "timestamp_ntz'2023-01-01' + INTERVAL '1' DAY"
+    orders = spark.range(300_000).selectExpr(
+        "3L AS order_id",
+        f"{day} AS order_purchase_timestamp",
+        f"{day} * (1 + id % 3) AS order_delivered_customer_date",
+        f"{day} * 2 AS order_estimated_delivery_date",
+    )
+    found = seller_order_sums(items, orders, hot)
+    assert rows(found) == rows(
+        spark.createDataFrame([(n, 45_000_000_000, 45_000_000_000, 15_000_000_000) for n in (0, 1)], found.schema)
+    )
+
+
+def test_order_sums_of_undelivered_and_null_orders(spark):
+    items = spark.createDataFrame([(1, 5), (1, 5), (2, 6), (None, 7), (1, None)], "order_id int, seller_id int")
+    stamp = "string"
+    orders = spark.createDataFrame(
+        [(1, "2023-01-01", None, "2023-01-05"), (1, "2023-01-01", None, None), (None, "2023-01-01", None, None)],
+        f"order_id int, order_purchase_timestamp {stamp}, order_delivered_customer_date {stamp},"
+        f" order_estimated_delivery_date {stamp}",
+    )
+    assert [tuple(r) for r in seller_order_sums(items, orders).collect()] == [(5, 4, None, 0)]
