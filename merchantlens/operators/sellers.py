@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merchantlens.functions import ratio
 from merchantlens.operators.orders import deliveries_per_order, order_deliveries, reviews_per_order
-from merchantlens.operators.skew import LookupSide, lookup_join, split_join, union_all
+from merchantlens.operators.skew import LookupSide, is_first, lookup_join, split_join, union_all
 
 
 def seller_order_rows(items: DataFrame, orders: DataFrame, hot_orders: Sequence = ()) -> DataFrame:
@@ -60,25 +60,30 @@ def seller_metrics(
     """Orders, late rate, delivery days and review score per seller.
 
     Rates and averages weigh item rows; ``total_orders`` counts an order once per seller. The items
-    are moved once, by order id: the distinct orders of a seller are found where the join leaves
-    them, and only sums per seller and task move on. The sums are doubles: exact up to 2^53, and
+    are moved once, by order id: one row of each order and seller is marked in the order the join sorts
+    them, and only sums per seller and task move on. Rows of hot orders are grouped instead. The sums are doubles: exact up to 2^53, and
     where repeated orders meet very many items they cannot overflow.
     """
     keys = items.where(F.col("seller_id").isNotNull()).select("order_id", "seller_id")
+    marked = keys.withColumn("is_first", is_first("order_id", "seller_id", within="order_id"))
     sides = [
         LookupSide(deliveries_per_order(order_deliveries(orders)), "left"),
         LookupSide(reviews_per_order(reviews), "left"),
     ]
     sums = ["order_rows", "late_rows", "days_sum", "days_rows", "score_sum", "score_rows"]
+    has_order = F.when(F.col("order_rows") > 0, 1).otherwise(0)
+    weights = [F.col(name).cast("double").alias(name) for name in sums]
+    # The parts with hot orders do not read the mark, so it is not made there.
+    cold, *stay = lookup_join(marked, "order_id", sides, hot_orders)
+    per_item = cold.select("seller_id", F.when(F.col("is_first"), has_order).otherwise(0).alias("orders"), *weights)
     per_order = [
-        part.groupBy("seller_id", "order_id").agg(
-            F.max(F.when(F.col("order_rows") > 0, 1).otherwise(0)).alias("orders"),
-            *[F.sum(F.col(name).cast("double")).alias(name) for name in sums],
-        )
-        for part in lookup_join(keys, "order_id", sides, hot_orders)
+        part.groupBy("seller_id", "order_id")
+        .agg(F.max(has_order).alias("orders"), *[F.sum(F.col(name).cast("double")).alias(name) for name in sums])
+        .drop("order_id")
+        for part in stay
     ]
     per_seller = (
-        union_all(per_order)
+        union_all([per_item, *per_order])
         .groupBy("seller_id")
         .agg(F.sum("orders").alias("orders"), *[F.sum(name).alias(name) for name in sums])
     )

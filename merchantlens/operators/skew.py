@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key is hot from 1/2000 of all rows on, so there are never more than 2000 of them.
@@ -135,6 +135,20 @@ def _dealt(df: DataFrame, key: str, cells: dict, parts: tuple[str, str], own: in
     return df.withColumn(parts[0], placed).withColumn(parts[1], copies)
 
 
+def is_first(*keys: str, within: str | None = None) -> Column:
+    """True for one row of every combination of ``keys``, which takes a sort that spills and no hash table.
+
+    On rows that a join left partitioned by one of ``keys`` nothing is shuffled. ``within``, one of them, makes
+    that the partitioning: before a join on it, the mark shares the join's shuffle and sort.
+    """
+    if within is None:
+        return F.row_number().over(Window.partitionBy(*keys).orderBy(keys[-1])) == 1
+    others = [name for name in keys if name != within]
+    by_key = Window.partitionBy(within).orderBy(*others)
+    same = reduce(Column.__and__, [F.lag(name).over(by_key).eqNullSafe(F.col(name)) for name in others])
+    return (F.row_number().over(by_key) == 1) | ~same
+
+
 def _one_row(side: DataFrame, key: str) -> DataFrame:
     """``side`` as it is, but a key with several rows raises an error instead of growing a broadcast."""
     names = [name for name in side.columns if name != key]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merchantlens.functions import ratio, round_to
 from merchantlens.operators.orders import deliveries_per_order, reviews_per_order
-from merchantlens.operators.skew import LookupSide, lookup_join, union_all
+from merchantlens.operators.skew import LookupSide, is_first, lookup_join, union_all
 
 # Tier and flag thresholds, all strict and applied before rounding.
 HIGH_LATE_RATE = 0.3
@@ -30,9 +30,9 @@ def gold_supplier_performance(
     a repeated seller row counts them again; only the two distinct counts are free of that.
 
     Every joined item row is taken twice, once for its order with the sums and once for its product
-    id, so both distinct counts come out of one pass: orders where the join left them, by order id,
-    and products after a shuffle of distinct (seller, product) pairs. No single seller's rows ever
-    meet in one task.
+    id, so both distinct counts come out of one pass: orders are marked where the join left them, by
+    order id, and products counted after a shuffle of distinct (seller, product) pairs. No single
+    seller's rows ever meet in one task, and no task holds a table of its (seller, order) pairs.
     """
     deliveries = silver_orders.select(
         "order_id", F.col("actual_delivery_days").alias("delivery_days"), F.lit(0).alias("is_late")
@@ -44,11 +44,12 @@ def gold_supplier_performance(
     sold = items.where(F.col("seller_id").isNotNull()).select(
         "order_id", "seller_id", "product_id", "price", "freight_value"
     )
-    parts = [_orders_and_products(part) for part in lookup_join(sold, "order_id", sides, hot_orders)]
+    cold, *stay = lookup_join(sold, "order_id", sides, hot_orders)
+    parts = [_marked_orders_and_products(cold), *[_orders_and_products(part) for part in stay]]
     per_product = (
         union_all(parts)
         .groupBy("seller_id", "for_order", "product_id")
-        .agg(F.count(F.lit(1)).alias("orders"), *[F.sum(name).alias(name) for name in _SUMS])
+        .agg(F.sum("orders").alias("orders"), *[F.sum(name).alias(name) for name in _SUMS])
     )
     per_seller = per_product.groupBy("seller_id").agg(
         F.sum(F.when(F.col("for_order"), F.col("orders"))).alias("total_orders"),
@@ -75,8 +76,8 @@ def gold_supplier_performance(
 _SUMS = ["revenue", "freight", "days", "days_weight", "scores", "scores_weight"]
 
 
-def _orders_and_products(joined: DataFrame) -> DataFrame:
-    """(seller, order) rows with the sums, and (seller, order, product) rows without.
+def _weighted(joined: DataFrame) -> DataFrame:
+    """The sums every joined item row adds.
 
     Weights are doubles: exact up to 2^53, and item, order and review counts that multiply to more
     than a BIGINT holds do not overflow.
@@ -91,16 +92,36 @@ def _orders_and_products(joined: DataFrame) -> DataFrame:
         "scores": F.col("score_sum") * orders,
         "scores_weight": F.col("score_rows") * orders,
     }
+    return joined.select("seller_id", "order_id", "product_id", *[value.alias(name) for name, value in sums.items()])
+
+
+def _marked_orders_and_products(joined: DataFrame) -> DataFrame:
+    """Two rows per item: one with the sums and, on one item of each (seller, order), the order; one for the product."""
+    for_order = F.col("for_order")
+    marked = _weighted(joined).withColumn("is_first", is_first("order_id", "seller_id"))
+    return marked.withColumn("for_order", F.explode(F.array(F.lit(True), F.lit(False)))).select(
+        "seller_id",
+        "for_order",
+        F.when(~for_order, F.col("product_id")).alias("product_id"),
+        F.when(for_order, F.col("is_first").cast("bigint")).alias("orders"),
+        *[F.when(for_order, F.col(name)).alias(name) for name in _SUMS],
+    )
+
+
+def _orders_and_products(joined: DataFrame) -> DataFrame:
+    """(seller, order) rows with the sums, and (seller, order, product) rows without."""
     for_order = F.col("for_order")
     return (
-        joined.withColumn("for_order", F.explode(F.array(F.lit(True), F.lit(False))))
+        _weighted(joined)
+        .withColumn("for_order", F.explode(F.array(F.lit(True), F.lit(False))))
         .groupBy(
             "seller_id",
             "order_id",
             "for_order",
             F.when(~for_order, F.col("product_id")).alias("product_id"),
         )
-        .agg(*[F.sum(F.when(for_order, value)).alias(name) for name, value in sums.items()])
+        .agg(*[F.sum(F.when(for_order, F.col(name))).alias(name) for name in _SUMS])
+        .select("seller_id", "for_order", "product_id", for_order.cast("bigint").alias("orders"), *_SUMS)
     )
 
 

@@ -73,6 +73,15 @@ def test_bucketed_bronze_needs_no_shuffle_by_order(bronze_tables, set_conf, plan
     assert not any("order_id" in k for k in keys)
 
 
+@pytest.mark.parametrize("plan", [silver_plan, performance_plan])
+def test_no_task_holds_a_table_of_its_sellers_and_orders(bronze_tables, set_conf, plan):
+    """Orders of a seller are marked in sorted rows, where a hash table would take most of a task's memory."""
+    set_conf(**NO_BROADCAST)
+    text = plan(bronze_tables())
+    grouped = [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Aggregate\(keys=\[([^\]]*)\]", text)]
+    assert grouped and not any("order_id" in keys and "seller_id" in keys for keys in grouped)
+
+
 def test_scans_read_only_needed_columns(bronze_tables):
     tables = bronze_tables()
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", silver_plan(tables))

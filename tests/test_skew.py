@@ -271,3 +271,12 @@ def test_order_sums_of_undelivered_and_null_orders(spark):
         f" order_estimated_delivery_date {stamp}",
     )
     assert [tuple(r) for r in seller_order_sums(items, orders).collect()] == [(5, 4, None, 0)]
+
+
+@pytest.mark.parametrize("within", [None, "k"])
+def test_one_row_of_each_combination_is_first(spark, within):
+    pairs = [(k, s) for k in (None, 1, 2) for s in (None, "a", "b")] * 3
+    df = spark.createDataFrame(pairs, "k int, s string").repartition(4)
+    marked = df.withColumn("first", skew.is_first("k", "s", within=within))
+    assert marked.count() == len(pairs)
+    assert rows(marked.where("first").select("k", "s")) == rows(df.distinct())
