@@ -121,17 +121,21 @@ class BronzeFixture:
         years = ", ".join(f"'{year}'" for year in range(FIRST_YEAR, LAST_YEAR + 1))
         customers_per_page = PAGE_SIZE // (LAST_YEAR - FIRST_YEAR + 1)
         row = (
-            "struct(concat('N', c_custkey) AS countryiso3code, struct(n_name AS value) AS country,"
+            "struct(concat('N', c.c_custkey) AS countryiso3code, struct(c.n_name AS value) AS country,"
             " struct(code AS id, concat('Logistics ', code) AS value) AS indicator, year AS date,"
-            " CASE WHEN c_custkey % 11 <> 0 THEN 1 + (c_custkey * 3 + position) % 40 / 10 END AS value)"
+            " CASE WHEN c.c_custkey % 11 <> 0 THEN 1 + (c.c_custkey * 3 + position) % 40 / 10 END AS value)"
         )
+        rows = f"flatten(transform(customers, c -> transform(array({years}), year -> {row})))"
+        # Only customers are grouped. The pages, 42 observations for each of them, are written out after they are
+        # dealt to tasks, however few files the customers come from.
         pages = (
             self.given("customer")
             .join(self.given("nation"), F.expr("c_nationkey = n_nationkey"))
-            .selectExpr("c_custkey", "n_name", f"posexplode(array({codes})) AS (position, code)")
-            .selectExpr("*", f"explode(array({years})) AS year")
-            .groupBy("code", F.expr(f"c_custkey div {customers_per_page}"))
-            .agg(F.expr(f"to_json(collect_list({row}), map('ignoreNullFields', 'false')) AS rows"))
+            .groupBy(F.expr(f"c_custkey div {customers_per_page}").alias("page"))
+            .agg(F.collect_list(F.struct("c_custkey", "n_name")).alias("customers"))
+            .selectExpr("page", "customers", f"posexplode(array({codes})) AS (position, code)")
+            .repartition("page", "code")
+            .selectExpr(f"to_json({rows}, map('ignoreNullFields', 'false')) AS rows")
             .selectExpr("""concat('[{"page":1,"pages":1},', rows, ']') AS payload""")
         )
         return pages.unionByName(
