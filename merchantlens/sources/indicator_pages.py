@@ -47,8 +47,13 @@ def _parsed(pages: DataFrame, payload: str) -> DataFrame:
 
 
 def unreadable_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
-    """The pages ``flatten_pages`` fails on, or leaves out if told so."""
-    return _parsed(pages, payload).where("_unreadable").select(*pages.columns)
+    """The pages ``flatten_pages`` fails on, or leaves out if told so.
+
+    They are picked by a generator: a filter would be moved below the columns it reads, and parse every page once
+    for each mention of them.
+    """
+    picked = F.explode(F.when(F.col("_unreadable"), F.array(F.struct(*pages.columns))))
+    return _parsed(pages, payload).select(picked.alias("page")).select("page.*")
 
 
 def flatten_pages(pages: DataFrame, payload: str = "payload", skip_unreadable: bool = False) -> DataFrame:

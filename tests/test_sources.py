@@ -340,3 +340,16 @@ def test_lineage_comes_from_the_scanned_file(spark, tmp_path):
     df = csv_tables.read_csv_table(spark, path, ENTRY["sellers"])
     assert df.select("_source_file").first()[0] == "olist_sellers_dataset.csv"
     assert df.select(F.typeof("_loaded_at")).first()[0] == "timestamp"
+
+
+def test_unreadable_pages_parse_each_page_once(spark):
+    pages = spark.createDataFrame(
+        [(1, '[{"page":1},[{"value":"1.5"}]]'), (2, '[{"page":1},[{"value":"1.5x"}]]'), (3, "[{"), (4, " "), (5, None)],
+        "n int, payload string",
+    )
+    found = indicator_pages.unreadable_pages(pages)
+    assert found.columns == pages.columns
+    assert sorted(r["n"] for r in found.collect()) == [2, 3]
+    counted = found.agg(F.count(F.lit(1)))
+    # Once for the two parts of a payload, once for the rows in the second.
+    assert counted._jdf.queryExecution().executedPlan().toString().count("from_json") == 2
