@@ -100,31 +100,41 @@ def pack_documents(
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """Sequence number and offset of each piece, taken in the order given."""
     full = capacity.vector()
-    weights = np.array(capacity.weights)
-    residual = np.empty((max(1, len(lengths)), 3), np.int64)
-    open_bins = np.empty(0, np.int64)
-    n_bins = 0
+    weights = np.array(capacity.weights)[:, None]
+    # The open sequences in the order they were opened: number, the three residuals, and these as shares. One
+    # without a free piece is closed, so only tokens and attention can refuse.
+    room = max(1, len(lengths))
+    number = np.empty(room, np.int64)
+    residual = np.empty((3, room), np.int64)
+    share = np.empty((3, room))
+    tokens, _, attention = residual
+    n_open = n_bins = 0
     sequence = np.empty(len(lengths), np.int64)
     offset = np.empty(len(lengths), np.int64)
-    for k, length in enumerate(lengths):
+    for k, length in enumerate(lengths.tolist()):
         demand = np.array([length, 1, length * length])
-        free = residual[open_bins]
-        fits = np.flatnonzero((free >= demand).all(axis=1))
+        fits = ((tokens[:n_open] >= length) & (attention[:n_open] >= length * length)).nonzero()[0]
         if len(fits):
-            share = free[fits] / full
+            rank, asked = share.take(fits, axis=1), (demand / full)[:, None]
             if capacity.measure == "residual_norm":
-                rank = (((share - demand / full) ** 2) * weights).sum(axis=1)
+                rank -= asked
+                rank *= rank
+                rank *= weights
             else:
-                rank = -(share * (demand / full) * weights).sum(axis=1)
-            at = open_bins[fits[np.argmin(rank)]]
+                rank *= asked
+                rank *= -weights
+            at = fits[rank.sum(axis=0).argmin()]
         else:
             if (demand > full).any():
                 raise ValueError(f"a piece of {length} tokens exceeds the capacity of a sequence")
-            at, n_bins = n_bins, n_bins + 1
-            residual[at] = full
-            open_bins = np.append(open_bins, at)
-        sequence[k], offset[k] = at, full[0] - residual[at, 0]
-        residual[at] -= demand
-        if (residual[at] == 0).any():
-            open_bins = open_bins[open_bins != at]
+            at, number[n_open], residual[:, n_open] = n_open, n_bins, full
+            n_open, n_bins = n_open + 1, n_bins + 1
+        sequence[k], offset[k] = number[at], full[0] - tokens[at]
+        left = residual[:, at] - demand
+        if left.all():
+            residual[:, at], share[:, at] = left, left / full
+        else:
+            n_open -= 1
+            for column in (number, *residual, *share):
+                column[at:n_open] = column[at + 1 : n_open + 1]
     return sequence, offset

@@ -648,3 +648,28 @@ def test_each_template_is_the_best_notice_of_its_own_text():
         assert name in found
     listed = license_scan.TEMPLATES["BSD-2-Clause-header"].replace("met: ", "met:\n 1. ").replace(". Redis", ".\n 2. Redis")
     assert scanner.best(scanner.notices(listed)).license == "BSD-2-Clause-header"
+
+
+@pytest.mark.parametrize("measure", ["residual_norm", "dot_product"])
+def test_best_fit_is_that_of_a_plain_loop(measure):
+    """Also where pieces or attention fill a sequence before its tokens do."""
+    capacity = packing.Capacity(tokens=100, pieces=6, attention=3000, weights=(0.25, 1.0, 0.5), measure=measure)
+    full, draw = [100, 6, 3000], random.Random(5)
+    lengths = [draw.randint(1, 54) for _ in range(600)]
+    bins, expected = [], []
+    for length in lengths:
+        demand = [length, 1, length * length]
+        best = None
+        for number, free in enumerate(bins):
+            if 0 not in free and all(f >= d for f, d in zip(free, demand, strict=True)):
+                shares = [(f / c, d / c, w) for f, c, d, w in zip(free, full, demand, capacity.weights, strict=True)]
+                rank = sum((s - d) ** 2 * w if measure == "residual_norm" else -s * d * w for s, d, w in shares)
+                if best is None or rank < best[0]:
+                    best = rank, number
+        if best is None:
+            bins.append(list(full))
+        at = best[1] if best else len(bins) - 1
+        expected.append((at, 100 - bins[at][0]))
+        bins[at] = [f - d for f, d in zip(bins[at], demand, strict=True)]
+    found = packing.best_fit(np.array(lengths, np.int64), capacity)
+    assert list(zip(*(part.tolist() for part in found), strict=True)) == expected
