@@ -46,6 +46,8 @@ BUCKET_BYTES = 1_500_000
 # Windows of a slice, and distinct slices of one core that a bucket takes.
 SLICE = 64
 CORE_LIMIT = 2_000
+# Rows a worker turns into windows or slices at a time: each gives up to 64 windows, or a slice per 64 windows.
+ROWS_AT_ONCE = 500
 # Bytes a word is coded in where passages are measured in words.
 CODE = 4
 WORDS = re.compile(WORD_PATTERN.encode())
@@ -128,9 +130,9 @@ def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            for begin in range(0, len(batch), 500):
+            for part in _portions(batch):
                 columns = []
-                for key, data, copies in batch.iloc[begin : begin + 500].itertuples(index=False):
+                for key, data, copies in part.itertuples(index=False):
                     anchors, lo, hi, lead = segments_of(data, length)
                     view = memoryview(data)
                     digests = b"".join(
@@ -160,6 +162,11 @@ def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return long_enough.mapInPandas(cut, SEGMENTS)
 
 
+def _portions(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """``batch`` in parts of ``ROWS_AT_ONCE`` rows, which bound what a worker holds of the rows made from them."""
+    return (batch.iloc[begin : begin + ROWS_AT_ONCE] for begin in range(0, len(batch), ROWS_AT_ONCE))
+
+
 def _equal_segments(
     anchors: np.ndarray, content: np.ndarray, starts: np.ndarray, ends: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, list[list[dict[str, int]]]]:
@@ -326,9 +333,9 @@ def _slices(pieces: DataFrame, length: int) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for part in chain.from_iterable(map(_portions, batches)):
             rows = []
-            for anchor, c1, c2, lead, segment in batch[[*WORD, "lead", "segment"]].itertuples(index=False):
+            for anchor, c1, c2, lead, segment in part[[*WORD, "lead", "segment"]].itertuples(index=False):
                 last = len(segment) - length
                 # Slice g holds the windows that start size * g to size * g + size - 1 bytes before the anchor.
                 for g in range((lead - last) // size, lead // size + 1):
@@ -382,9 +389,9 @@ def _counted_windows(pieces: DataFrame, size: int) -> DataFrame:
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        for batch in batches:
+        for part in chain.from_iterable(map(_portions, batches)):
             rows = []
-            for core, content, left, right in batch.itertuples(index=False):
+            for core, content, left, right in part.itertuples(index=False):
                 # A window has so many bytes before the core, and the rest of size - 1 behind it.
                 for before in range(min(len(left), size - 1), max(0, size - 1 - len(right)) - 1, -1):
                     window = core + left[len(left) - before :] + right[: size - 1 - before]

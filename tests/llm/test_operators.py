@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -673,3 +674,13 @@ def test_best_fit_is_that_of_a_plain_loop(measure):
         bins[at] = [f - d for f, d in zip(bins[at], demand, strict=True)]
     found = packing.best_fit(np.array(lengths, np.int64), capacity)
     assert list(zip(*(part.tolist() for part in found), strict=True)) == expected
+
+
+def test_workers_make_windows_and_slices_of_few_rows_at_a_time():
+    """Rows of a batch are up to 10,000, and each gives up to 64 windows: what a worker holds must not follow the batch."""
+    n = suffix_dedup.ROWS_AT_ONCE
+    batch = pd.DataFrame({"n": range(2 * n + 7)})
+    parts = list(suffix_dedup._portions(batch))
+    assert [len(part) for part in parts] == [n, n, 7]
+    assert pd.concat(parts).equals(batch)
+    assert not list(suffix_dedup._portions(batch.iloc[:0]))
