@@ -134,3 +134,11 @@ def test_no_cross_join_expand_or_python(spark, name):
 
 def test_top_suppliers_is_a_bounded_top_k(spark):
     assert "TakeOrderedAndProject(limit=50" in plan_of(QUERIES["top_suppliers"](spark, FOLDER))
+
+
+def test_pages_group_customers_and_not_their_observations(spark):
+    """42 observations of each customer are written out after the last shuffle."""
+    plan = plan_of(BronzeFixture(spark, FOLDER).indicator_pages)
+    assert exchanges(plan) == ["page, code", "_groupingexpression"]
+    below = plan[plan.index("Exchange hashpartitioning") :]
+    assert "2023" not in below and "countryiso3code" not in below
