@@ -120,23 +120,27 @@ class BronzeFixture:
         codes = ", ".join(f"'{code}'" for code in INDICATORS)
         years = ", ".join(f"'{year}'" for year in range(FIRST_YEAR, LAST_YEAR + 1))
         customers_per_page = PAGE_SIZE // (LAST_YEAR - FIRST_YEAR + 1)
-        row = (
-            "struct(concat('N', c.c_custkey) AS countryiso3code, struct(c.n_name AS value) AS country,"
-            " struct(code AS id, concat('Logistics ', code) AS value) AS indicator, year AS date,"
-            " CASE WHEN c.c_custkey % 11 <> 0 THEN 1 + (c.c_custkey * 3 + position) % 40 / 10 END AS value)"
+        # A country's observations of an indicator differ in the year alone, so their text is that of one joined with
+        # itself between the years.
+        head = (
+            """concat('{"countryiso3code":', coalesce(concat('"N', c.c_custkey, '"'), 'null'), ',"country":', c.country,"""
+            """ ',"indicator":{"id":"', code, '","value":"Logistics ', code, '"},"date":"')"""
         )
-        rows = f"flatten(transform(customers, c -> transform(array({years}), year -> {row})))"
+        value = "CASE WHEN c.c_custkey % 11 <> 0 THEN 1 + (c.c_custkey * 3 + position) % 40 / 10 END"
+        tail = f"""concat('","value":', coalesce(string({value}), 'null'), '}}')"""
+        rows = f"concat({head}, array_join(array({years}), concat({tail}, ',', {head})), {tail})"
+        country = "to_json(struct(n_name AS value), map('ignoreNullFields', 'false')) AS country"
         # Only customers are grouped. The pages, 42 observations for each of them, are written out after they are
         # dealt to tasks, however few files the customers come from.
         pages = (
             self.given("customer")
-            .join(self.given("nation"), F.expr("c_nationkey = n_nationkey"))
+            .join(self.given("nation").selectExpr("n_nationkey", country), F.expr("c_nationkey = n_nationkey"))
             .groupBy(F.expr(f"c_custkey div {customers_per_page}").alias("page"))
-            .agg(F.collect_list(F.struct("c_custkey", "n_name")).alias("customers"))
+            .agg(F.collect_list(F.struct("c_custkey", "country")).alias("customers"))
             .selectExpr("page", "customers", f"posexplode(array({codes})) AS (position, code)")
             .repartition("page", "code")
-            .selectExpr(f"to_json({rows}, map('ignoreNullFields', 'false')) AS rows")
-            .selectExpr("""concat('[{"page":1,"pages":1},', rows, ']') AS payload""")
+            .selectExpr(f"array_join(transform(customers, c -> {rows}), ',') AS rows")
+            .selectExpr("""concat('[{"page":1,"pages":1},[', rows, ']]') AS payload""")
         )
         return pages.unionByName(
             self.given("nation").selectExpr("""'[{"page":1,"pages":1},null]' AS payload""")

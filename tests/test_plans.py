@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 
 import pytest
 
 from merchantlens.checks.queries import QUERIES
 from merchantlens.fixtures import BronzeFixture
 from merchantlens.plans import gold, silver
+from merchantlens.sources.indicator_pages import INDICATORS
 from merchantlens.sources.tables import Bucketing, refresh_table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -142,3 +145,34 @@ def test_pages_group_customers_and_not_their_observations(spark):
     assert exchanges(plan) == ["page, code", "_groupingexpression"]
     below = plan[plan.index("Exchange hashpartitioning") :]
     assert "2023" not in below and "countryiso3code" not in below
+
+
+def test_pages_are_written_without_a_structure_per_observation(spark):
+    """Only country names, which need escaping, go through JSON, once per nation and before the last shuffle."""
+    plan = plan_of(BronzeFixture(spark, FOLDER).indicator_pages)
+    top = plan[: plan.index("Exchange hashpartitioning")]
+    assert "countryiso3code" in top and "to_json" not in top and "flatten(" not in top
+
+
+def test_pages_hold_every_observation_of_every_customer(spark, tmp_path):
+    names = ['Côte "d\'Ivoire"', "a\\b\n,]}", None]
+    customers = [(k, k % 3) for k in (1, 7, 11, 16, 17, 22, 40)] + [(7, 2), (5, 9)]
+    spark.createDataFrame(list(enumerate(names)), "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame(customers, "c_custkey bigint, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    pages = [json.loads(r["payload"]) for r in BronzeFixture(spark, str(tmp_path)).indicator_pages.collect()]
+    assert sum(rows is None for _, rows in pages) == len(names) and all(m == {"page": 1, "pages": 1} for m, _ in pages)
+    found = Counter(json.dumps(row, sort_keys=True) for _, rows in pages for row in rows or ())
+    expected = Counter(
+        json.dumps(
+            {
+                "countryiso3code": f"N{key}", "country": {"value": names[nation]}, "date": str(year),
+                "indicator": {"id": code, "value": f"Logistics {code}"},
+                "value": 1 + (key * 3 + position) % 40 / 10 if key % 11 else None,
+            },
+            sort_keys=True,
+        )
+        for key, nation in customers if nation < 3
+        for position, code in enumerate(INDICATORS)
+        for year in range(2018, 2024)
+    )
+    assert found == expected and all(len(rows) <= 100 for _, rows in pages if rows)
