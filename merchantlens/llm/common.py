@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -17,6 +18,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1 / 1000
 # Rows of narrow keys up to which a table is broadcast: some 10 MB.
 BROADCAST_ROWS = 100_000
+# Rows of whole texts that travel to a Python worker at a time, where the job says so.
+BATCH_ROWS = 500
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +34,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that start inside send texts to the workers in batches of at most ``BATCH_ROWS`` rows.
+
+    An executor holds a batch several times over: as Arrow data on both sides, as Python objects, and what is made
+    from them. Only the size of the batches changes, never what is in them; a smaller one that is set stays.
+    """
+    before = spark.conf.get(BATCH_SETTING)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

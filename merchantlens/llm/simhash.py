@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchantlens.llm.common import hot_keys, join_lookup, stored, text_key
+from merchantlens.llm.common import hot_keys, join_lookup, small_batches, stored, text_key
 from merchantlens.llm.components import connected_components
 
 SHINGLE = 4
@@ -153,9 +153,10 @@ def simhash_components(
     ``row_key`` adds a column ``row`` to tell rows apart by.
     """
     extra = [] if row_key is None else [row_key.alias("row")]
-    rows = stored(
-        docs.select(F.col("doc_id").cast("long"), fingerprints(docs, text).alias("fp"), *extra), "simhash-rows"
-    )
+    with small_batches(docs.sparkSession):
+        rows = stored(
+            docs.select(F.col("doc_id").cast("long"), fingerprints(docs, text).alias("fp"), *extra), "simhash-rows"
+        )
     groups = stored(
         rows.groupBy("fp").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first_id")), "simhash-groups"
     )

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantlens.llm.column_bwt import Collection
-from merchantlens.llm.common import WORD_PATTERN, hot_keys, join_lookup, stored, text_key
+from merchantlens.llm.common import WORD_PATTERN, hot_keys, join_lookup, small_batches, stored, text_key
 
 LENGTH = 400
 GRAM = 64
@@ -452,12 +452,14 @@ def remove_repeats(
     name = distinct_texts(docs, text)
     try:
         texts = spark.table(name)
-        spans = repeated_spans(texts, length, **limits)
-        if n_words is not None:
-            both = spans.unionByName(repeated_passages(texts, n_words, **limits))
-            spans = both.groupBy("key").agg(F.flatten(F.collect_list("spans")).cast(SPANS).alias("spans"))
-        whole = texts.join(spans, "key", "left")
-        cut = stored(whole.select("key", "copies", F.pandas_udf(cut_spans, CUT)("data", "spans").alias("_cut")), "cut-texts")
+        with small_batches(spark):
+            spans = repeated_spans(texts, length, **limits)
+            if n_words is not None:
+                both = spans.unionByName(repeated_passages(texts, n_words, **limits))
+                spans = both.groupBy("key").agg(F.flatten(F.collect_list("spans")).cast(SPANS).alias("spans"))
+            whole = texts.join(spans, "key", "left")
+            made = whole.select("key", "copies", F.pandas_udf(cut_spans, CUT)("data", "spans").alias("_cut"))
+            cut = stored(made, "cut-texts")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     hot = hot_keys(cut, "key", "copies", docs.count()).withColumnRenamed("key", "__key")

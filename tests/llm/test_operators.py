@@ -20,6 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from merchantlens.llm import (
+    common,
     decontamination,
     language_id,
     license_scan,
@@ -684,3 +685,30 @@ def test_workers_make_windows_and_slices_of_few_rows_at_a_time():
     assert [len(part) for part in parts] == [n, n, 7]
     assert pd.concat(parts).equals(batch)
     assert not list(suffix_dedup._portions(batch.iloc[:0]))
+
+
+def test_texts_reach_the_workers_in_small_batches(spark, docs, set_conf, monkeypatch):
+    """Every job of dedup and the fingerprints sends few texts at a time, and the session's own setting is back after."""
+    set_conf(spark__sql__execution__arrow__maxRecordsPerBatch="7000")
+    asked: dict[str, str] = {}
+
+    def seen(df, label):
+        asked[label] = spark.conf.get(common.BATCH_SETTING)
+        return common.stored(df, label)
+
+    monkeypatch.setattr(suffix_dedup, "stored", seen)
+    monkeypatch.setattr(simhash, "stored", seen)
+    suffix_dedup.remove_repeats(docs, length=96, n_words=24)
+    simhash.simhash_components(docs)
+    for label in ("segments", "segment-bytes", "slices", "repeated-passages", "cut-texts", "simhash-rows"):
+        assert asked[label] == str(common.BATCH_ROWS)
+    assert spark.conf.get(common.BATCH_SETTING) == "7000"
+    with pytest.raises(ZeroDivisionError), common.small_batches(spark):
+        raise ZeroDivisionError
+    assert spark.conf.get(common.BATCH_SETTING) == "7000"
+    sizes = spark.range(0, 2_000, 1, 1).mapInPandas(lambda parts: (pd.DataFrame({"n": [len(p)]}) for p in parts), "n long")
+    with common.small_batches(spark):
+        assert [r["n"] for r in sizes.collect()] == [500] * 4
+    set_conf(spark__sql__execution__arrow__maxRecordsPerBatch="100")
+    with common.small_batches(spark):
+        assert spark.conf.get(common.BATCH_SETTING) == "100"
