@@ -25,6 +25,8 @@ from merchantlens.llm.common import is_held_out, is_training, read_table
 
 TOKEN_LIMIT = 1024
 LEAST_QUALITY = 0.7
+# The shortest passage that the further columns of op4 leave out whatever its bytes: over 50 words.
+PASSAGE_WORDS = 51
 URL_RULES = [
     url_filters.UrlRule("block", "net/"),
     url_filters.UrlRule("allow", "example.net/en/"),
@@ -62,11 +64,13 @@ def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The contract's columns and ``kept_text`` are of strings of 400 bytes; ``text`` is without passages of over 50 words too."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     counted = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    cut = suffix_dedup.remove_repeats(docs, rest_words=PASSAGE_WORDS)
     # What is left as text; bytes of characters that were cut in two show as replacement characters.
-    kept = F.make_valid_utf8(F.col("_cut.kept").cast("string")).alias("kept_text")
-    return suffix_dedup.remove_repeats(docs).select("doc_id", *[f"_cut.{name}" for name in counted], kept)
+    kept, rest = (F.make_valid_utf8(c.cast("string")) for c in (F.col("_cut.kept"), F.coalesce("_cut.rest", "_cut.kept")))
+    return cut.select("doc_id", *[f"_cut.{name}" for name in counted], kept.alias("kept_text"), rest.alias("text"))
 
 
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:

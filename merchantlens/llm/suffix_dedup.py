@@ -16,6 +16,9 @@
    instead, which any number of tasks can share.
 6. The repeated windows go back to the texts, are joined to spans there, and cut out.
 
+Passages of a number of words are sought in the same way, with a word's code as the symbol instead of a byte:
+``step`` is the bytes of a symbol, and lengths and places are in symbols throughout.
+
 The sequential files of the method are the bucket arrays here: a bucket is read and rewritten front to back
 once per column, and its size is bounded, so it needs no file on a worker's own disk. Tables between the
 steps lie in the shared folder.
@@ -50,6 +53,8 @@ CORE_LIMIT = 2_000
 ROWS_AT_ONCE = 500
 # Bytes a word is coded in where passages are measured in words.
 CODE = 4
+# Symbols that texts of one transform may have: a core's slices stay below in any case.
+ALPHABET = 60_000
 WORDS = re.compile(WORD_PATTERN.encode())
 
 SPANS = "array<struct<lo: int, hi: int>>"
@@ -58,11 +63,12 @@ WORD = ["anchor", "c1", "c2"]
 SLICES = "anchor bigint, c1 bigint, c2 bigint, at int, until int, ahead int, core binary, content binary"
 
 
-def segments_of(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments_of(data: bytes, length: int, gram: int = GRAM, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: its hash, first and last window start, anchor place after the first."""
+    symbols = np.frombuffer(data, _kind(step))
     found = [
-        _block_segments(np.frombuffer(data[start : start + BLOCK + length - 1], np.uint8), start, length, gram)
-        for start in range(0, len(data) - length + 1, BLOCK)
+        _block_segments(symbols[start : start + BLOCK + length - 1], start, length, gram // step)
+        for start in range(0, len(symbols) - length + 1, BLOCK)
     ]
     if not found:
         return tuple(np.empty((4, 0), np.int64))
@@ -70,8 +76,11 @@ def segments_of(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray,
 
 
 def _block_segments(symbols: np.ndarray, start: int, length: int, gram: int):
-    table = np.random.default_rng(400).integers(1, 1 << 63, 256, np.uint64)
-    hashes = table[symbols]
+    if symbols.itemsize == 1:
+        hashes = np.random.default_rng(400).integers(1, 1 << 63, 256, np.uint64)[symbols]
+    else:
+        hashes = symbols * np.uint64(0xD6E8FEB86659FD93)
+        hashes ^= hashes >> np.uint64(32)
     reach = 1
     while reach < gram:  # strings of twice the length from two neighbours
         hashes = hashes[:-reach] * np.uint64(0x9E3779B97F4A7C15 ^ (reach << 7)) + hashes[reach:]
@@ -86,6 +95,19 @@ def _block_segments(symbols: np.ndarray, start: int, length: int, gram: int):
     return hashes[anchors[first]].view(np.int64), first + start, last + start, anchors[first] - first
 
 
+def _kind(step: int) -> str:
+    return "u1" if step == 1 else "<u4"
+
+
+def _coded(data: bytes, step: int) -> bytes:
+    """The symbols of a text: its bytes, or four bytes a word."""
+    if step == 1:
+        return data
+    import xxhash
+
+    return b"".join(map(xxhash.xxh32_digest, WORDS.findall(data)))
+
+
 def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     padded = np.full(-(-len(values) // width) * width, np.iinfo(values.dtype).max, values.dtype)
@@ -104,11 +126,7 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> str:
         .groupBy("key")
         .agg(F.first("data").alias("data"), F.count("*").alias("copies"))
     )
-    return _bucketed(texts, "distinct_texts")
-
-
-def _bucketed(texts: DataFrame, label: str) -> str:
-    name = f"{label}_{uuid.uuid4().hex}"
+    name = f"distinct_texts_{uuid.uuid4().hex}"
     buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts.write.format("parquet").bucketBy(buckets, "key").saveAsTable(name)
     return name
@@ -118,7 +136,7 @@ def _key(text: str) -> Column:
     return F.substring(text_key(F.coalesce(F.col(text), F.lit(""))), 1, 16)
 
 
-def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def cut_segments(texts: DataFrame, length: int = LENGTH, step: int = 1) -> DataFrame:
     """The segments of each distinct text, those that are equal within a text as one row of several copies.
 
     A segment that stands twice in its text is repeated wherever it stands; ``elsewhere`` has these byte
@@ -132,18 +150,20 @@ def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for part in _portions(batch):
                 columns = []
-                for key, data, copies in part.itertuples(index=False):
-                    anchors, lo, hi, lead = segments_of(data, length)
+                for key, text, copies in part.itertuples(index=False):
+                    data = _coded(text, step)
+                    anchors, lo, hi, lead = segments_of(data, length, step=step)
                     view = memoryview(data)
-                    digests = b"".join(
-                        xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)
-                    )
+                    ranges = zip((step * lo).tolist(), (step * (hi + length)).tolist(), strict=True)
+                    digests = b"".join(xxhash.xxh3_128_digest(view[a:b]) for a, b in ranges)
                     content = np.frombuffer(digests, np.int64).reshape(-1, 2)
                     first, times, elsewhere = _equal_segments(anchors, content, lo, hi + length)
                     columns.append(
                         (key, anchors[first], content[first], lo[first], hi[first], lead[first], copies * times, elsewhere)
                     )
                 sizes = [len(c[1]) for c in columns]
+                if not any(sizes):  # long texts of few words
+                    continue
                 yield pd.DataFrame(
                     {
                         "key": np.repeat(np.array([c[0] for c in columns], object), sizes),
@@ -158,7 +178,9 @@ def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                     }
                 )
 
-    long_enough = texts.where(F.length("data") >= length).select("key", "data", "copies")
+    # Words are a byte or more, with one between them.
+    least = length if step == 1 else 2 * length - 1
+    long_enough = texts.where(F.length("data") >= least).select("key", "data", "copies")
     return long_enough.mapInPandas(cut, SEGMENTS)
 
 
@@ -190,10 +212,10 @@ def _equal_segments(
 
 
 def repeated_spans(
-    texts: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, core_limit: int = CORE_LIMIT
+    texts: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, core_limit: int = CORE_LIMIT, step: int = 1
 ) -> DataFrame:
-    """(key, spans): byte ranges [lo, hi) covered by repeated strings, unmerged, for texts that have any."""
-    segments = stored(cut_segments(texts, length), "segments")
+    """(key, spans): ranges [lo, hi) of symbols covered by repeated strings, unmerged, for texts that have any."""
+    segments = stored(cut_segments(texts, length, step), "segments")
     anchors = stored(
         segments.groupBy("anchor").agg(F.sum("copies").alias("n"), F.count("*").alias("n_rows")), "anchors"
     )
@@ -208,8 +230,8 @@ def repeated_spans(
     contents = stored(contents, "segment-contents")
     rivals = contents.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1").select("anchor")
     compared = stored(contents.join(rivals, "anchor").select(*WORD, "at.*"), "compared-segments")
-    pieces = stored(_with_bytes(compared, texts, length), "segment-bytes")
-    partial = _compare(pieces, length, bucket_bytes, core_limit)
+    pieces = stored(_with_bytes(compared, texts, length, step), "segment-bytes")
+    partial = _compare(pieces, length, bucket_bytes, core_limit, step)
 
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("at.hi") - F.col("at.lo")).alias("hi")))
     full = contents.where("n > 1").select(*WORD, whole.cast(SPANS).alias("runs"))
@@ -229,46 +251,33 @@ def repeated_spans(
 def repeated_passages(texts: DataFrame, n_words: int, **limits: int) -> DataFrame:
     """(key, spans): byte ranges of the passages of ``n_words`` words that occur twice, however they are spaced.
 
-    Each word is coded in four bytes, and repeated strings of the codes of ``n_words`` words are sought.
+    Words are told apart by four bytes each, which workers make anew where they need them: no table holds them.
     """
 
-    def codes(data: pd.Series) -> pd.Series:
-        import xxhash
-
-        return data.map(lambda d: b"".join(map(xxhash.xxh32_digest, WORDS.findall(d))))
-
     def places(data: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_word_places(d, s, n_words) for d, s in zip(data, spans, strict=True)])
+        return pd.Series([_word_places(d, s) for d, s in zip(data, spans, strict=True)])
 
-    spark = texts.sparkSession
-    coded = texts.select("key", F.pandas_udf(codes, "binary")("data").alias("data"), "copies")
-    name = _bucketed(coded, "word_codes")
-    try:
-        spans = repeated_spans(spark.table(name), CODE * n_words, **limits)
-        placed = texts.join(spans, "key").select("key", F.pandas_udf(places, SPANS)("data", "spans").alias("spans"))
-        return stored(placed, "repeated-passages")
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spans = repeated_spans(texts, n_words, step=CODE, **limits)
+    placed = texts.join(spans, "key").select("key", F.pandas_udf(places, SPANS)("data", "spans").alias("spans"))
+    return stored(placed, "repeated-passages")
 
 
-def _word_places(data: bytes, spans: list[dict[str, int]], n_words: int) -> list[dict[str, int]]:
-    """Byte ranges of ranges of codes, of which only strings of whole words count."""
+def _word_places(data: bytes, spans: list[dict[str, int]]) -> list[dict[str, int]]:
+    """Byte ranges of ranges of words."""
     words = [m.span() for m in WORDS.finditer(data)]
-    found = []
-    for span in spans:
-        first, last = -(-span["lo"] // CODE), span["hi"] // CODE - 1
-        if last - first + 1 >= n_words:
-            found.append({"lo": words[first][0], "hi": words[last][1]})
-    return found
+    return [{"lo": words[span["lo"]][0], "hi": words[span["hi"] - 1][1]} for span in spans]
 
 
-def _with_bytes(compared: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """``compared`` with the bytes of each segment, fetched once per text."""
+def _with_bytes(compared: DataFrame, texts: DataFrame, length: int, step: int) -> DataFrame:
+    """``compared`` with the symbols of each segment as bytes, fetched once per text."""
 
     @F.pandas_udf("array<binary>")
     def slices(data: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series(
-            [[d[p["lo"] : p["hi"] + length] for p in places_of] for d, places_of in zip(data, places, strict=True)]
+            [
+                [d[step * p["lo"] : step * (p["hi"] + length)] for p in places_of]
+                for d, places_of in zip((_coded(d, step) for d in data), places, strict=True)
+            ]
         )
 
     wanted = compared.groupBy("key").agg(F.collect_list(F.struct(*WORD, "lo", "hi", "lead")).alias("places"))
@@ -277,9 +286,11 @@ def _with_bytes(compared: DataFrame, texts: DataFrame, length: int) -> DataFrame
     return zipped.select(*[f"z.places.{name}" for name in (*WORD, "lead")], F.col("z.segment").alias("segment"))
 
 
-def _compare(pieces: DataFrame, length: int, bucket_bytes: int, core_limit: int) -> DataFrame:
+def _compare(pieces: DataFrame, length: int, bucket_bytes: int, core_limit: int, step: int) -> DataFrame:
     """(*WORD, runs): repeated windows of distinct segments that share their anchor."""
-    slices = stored(_slices(pieces, length), "slices")
+    if step > 1:  # every word may be a symbol of its own
+        core_limit = min(core_limit, CORE_LIMIT)
+    slices = stored(_slices(pieces, length, step), "slices")
     contents = slices.groupBy("core", "content").agg(
         F.count("*").alias("n"), F.min(F.struct(*WORD, "at", "until", "ahead")).alias("of")
     )
@@ -289,45 +300,45 @@ def _compare(pieces: DataFrame, length: int, bucket_bytes: int, core_limit: int)
     wanted = compared.groupBy(*WORD).agg(
         F.collect_list(F.struct("core", "content", "rivals", "at", "until", "ahead")).alias("s")
     )
-    around = F.col("until") - F.col("at") + _windows(length)
-    size = compared.agg(F.sum(around)).first()[0] or 0
-    buckets = max(1, math.ceil(size / bucket_bytes))
-    core = _core_bytes(length)
-    behind = F.col("s.at") + F.col("s.ahead") + core
+    size, core = _windows(length, step), _core_symbols(length, step)
+    around = step * (F.col("until") - F.col("at") + size)
+    total = compared.agg(F.sum(around)).first()[0] or 0
+    buckets = max(1, math.ceil(total / bucket_bytes))
+    behind = step * (F.col("s.at") + F.col("s.ahead") + core)
     cut = (
         pieces.join(wanted, WORD)
         .select("segment", F.explode("s").alias("s"))
         .select(
             "s.core", "s.content", "s.rivals",
-            F.substring("segment", F.col("s.at") + 1, F.col("s.ahead")).alias("left"),
-            F.substring("segment", behind + 1, F.col("s.until") + length - behind).alias("right"),
+            F.substring("segment", step * F.col("s.at") + 1, step * F.col("s.ahead")).alias("left"),
+            F.substring("segment", behind + 1, step * (F.col("s.until") + length) - behind).alias("right"),
         )
         .withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets)))
     )
     cut = stored(cut, "slice-bytes")
     few, many = cut.where(F.col("rivals") <= core_limit), cut.where(F.col("rivals") > core_limit)
-    found = few.groupBy("bucket").applyInPandas(_transform(_windows(length)), f"core binary, content binary, runs {SPANS}")
+    found = few.groupBy("bucket").applyInPandas(_transform(size, step), f"core binary, content binary, runs {SPANS}")
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("of.until") - F.col("of.at")).alias("hi")))
     full = contents.where("n > 1").select("core", "content", whole.cast(SPANS).alias("runs"))
     single = contents.where("n = 1").select("core", "content")
-    partly = found.unionByName(_counted_windows(many, _windows(length))).join(single, ["core", "content"], "left_semi")
+    partly = found.unionByName(_counted_windows(many, size, step)).join(single, ["core", "content"], "left_semi")
     runs = stored(full.unionByName(partly), "slice-runs")
     placed = slices.join(runs, ["core", "content"]).select(*WORD, "at", F.explode("runs").alias("run"))
     run = F.struct((F.col("at") + F.col("run.lo")).alias("lo"), (F.col("at") + F.col("run.hi")).alias("hi"))
     return placed.groupBy(*WORD).agg(F.collect_list(run).cast(SPANS).alias("runs"))
 
 
-def _windows(length: int) -> int:
-    """Windows of a whole slice: ``SLICE``, or fewer where windows are so short that no core would be left."""
-    return min(SLICE, length)
+def _windows(length: int, step: int) -> int:
+    """Windows of a whole slice: ``SLICE`` bytes, or fewer where windows are so short that no core would be left."""
+    return min(SLICE // step, length)
 
 
-def _core_bytes(length: int) -> int:
-    return length - _windows(length) + 1
+def _core_symbols(length: int, step: int) -> int:
+    return length - _windows(length, step) + 1
 
 
-def _slices(pieces: DataFrame, length: int) -> DataFrame:
-    size, core_bytes = _windows(length), _core_bytes(length)
+def _slices(pieces: DataFrame, length: int, step: int) -> DataFrame:
+    size, n_core = _windows(length, step), _core_symbols(length, step)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -336,16 +347,16 @@ def _slices(pieces: DataFrame, length: int) -> DataFrame:
         for part in chain.from_iterable(map(_portions, batches)):
             rows = []
             for anchor, c1, c2, lead, segment in part[[*WORD, "lead", "segment"]].itertuples(index=False):
-                last = len(segment) - length
-                # Slice g holds the windows that start size * g to size * g + size - 1 bytes before the anchor.
+                last = len(segment) // step - length
+                # Slice g holds the windows that start size * g to size * g + size - 1 symbols before the anchor.
                 for g in range((lead - last) // size, lead // size + 1):
                     core = lead - size * g
                     at, until = max(0, core - size + 1), min(last, core)
                     rows.append(
                         (
                             anchor, c1, c2, at, until, core - at,
-                            digest(segment[core : core + core_bytes], g),
-                            digest(segment[at : until + length], core - at),
+                            digest(segment[step * core : step * (core + n_core)], g),
+                            digest(segment[step * at : step * (until + length)], core - at),
                         )
                     )
             yield pd.DataFrame(rows, columns=[name.split()[0] for name in SLICES.split(", ")])
@@ -353,20 +364,22 @@ def _slices(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.mapInPandas(cut, SLICES)
 
 
-def _transform(size: int):
+def _transform(size: int, step: int):
     """Repeated windows of a bucket; each is ``size`` symbols long, of which one stands for the core."""
 
     def transform(frame: pd.DataFrame) -> pd.DataFrame:
         # Sorted, so that a repeated attempt builds the same collection.
         frame = frame.sort_values(["core", "content"], ignore_index=True)
-        name = 256 + (frame["core"] != frame["core"].shift()).cumsum().to_numpy()
-        # Names of cores start anew where numbers run out; a core's slices stand together and stay together.
+        core = (frame["core"] != frame["core"].shift()).cumsum().to_numpy() - 1
         runs: list[list[dict[str, int]]] = []
-        for part in np.split(np.arange(len(frame)), np.flatnonzero(np.diff((name - 256) // 60_000)) + 1):
-            left, right = frame["left"].iloc[part], frame["right"].iloc[part]
+        for part in _parts(core, (frame["left"].str.len() + frame["right"].str.len()).to_numpy() // step, step):
+            sides = [np.frombuffer(side, _kind(step)) for name in ("left", "right") for side in frame[name].iloc[part]]
+            known, numbers = np.unique(np.concatenate(sides), return_inverse=True)
+            numbered = np.split(numbers, np.cumsum([len(side) for side in sides])[:-1])
+            names = len(known) + core[part] - core[part][0]
             texts = [
-                np.concatenate([np.frombuffer(a, np.uint8), [256 + n % 60_000], np.frombuffer(b, np.uint8)]).astype(np.uint16)
-                for a, n, b in zip(left, name[part] - 256, right, strict=True)
+                np.concatenate([a, [n], b]).astype(np.uint16)
+                for a, n, b in zip(numbered[: len(names)], names, numbered[len(names) :], strict=True)
             ]
             runs += map(_runs, Collection(texts).build().repeated(size))
         out = frame[["core", "content"]].assign(runs=runs)
@@ -375,6 +388,20 @@ def _transform(size: int):
     return transform
 
 
+def _parts(core: np.ndarray, n_symbols: np.ndarray, step: int) -> list[np.ndarray]:
+    """Rows in parts of at most ``ALPHABET`` different symbols; a core's slices stand together and stay together."""
+    first = np.flatnonzero(np.diff(core, prepend=-1))
+    # One name a core, and with words as many symbols as there are in the worst case.
+    sizes = np.ones(len(first), np.int64) if step == 1 else 1 + np.add.reduceat(n_symbols, first)
+    cuts, total = [], 0
+    for begin, size in zip(first.tolist(), sizes.tolist(), strict=True):
+        if total and total + size > ALPHABET:
+            cuts.append(begin)
+            total = 0
+        total += size
+    return np.split(np.arange(len(core)), cuts)
+
+
 def _runs(starts: np.ndarray) -> list[dict[str, int]]:
     if not len(starts):
         return []
@@ -383,7 +410,7 @@ def _runs(starts: np.ndarray) -> list[dict[str, int]]:
     return [{"lo": int(a), "hi": int(b)} for a, b in zip(first, last, strict=True)]
 
 
-def _counted_windows(pieces: DataFrame, size: int) -> DataFrame:
+def _counted_windows(pieces: DataFrame, size: int, step: int) -> DataFrame:
     """Repeated windows of slices whose core is too frequent for one bucket."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -392,10 +419,11 @@ def _counted_windows(pieces: DataFrame, size: int) -> DataFrame:
         for part in chain.from_iterable(map(_portions, batches)):
             rows = []
             for core, content, left, right in part.itertuples(index=False):
-                # A window has so many bytes before the core, and the rest of size - 1 behind it.
-                for before in range(min(len(left), size - 1), max(0, size - 1 - len(right)) - 1, -1):
-                    window = core + left[len(left) - before :] + right[: size - 1 - before]
-                    rows.append((core, content, len(left) - before, xxhash.xxh3_128_digest(window, before)))
+                n_left, n_right = len(left) // step, len(right) // step
+                # A window has so many symbols before the core, and the rest of size - 1 behind it.
+                for before in range(min(n_left, size - 1), max(0, size - 1 - n_right) - 1, -1):
+                    window = core + left[step * (n_left - before) :] + right[: step * (size - 1 - before)]
+                    rows.append((core, content, n_left - before, xxhash.xxh3_128_digest(window, before)))
             yield pd.DataFrame(rows, columns=["core", "content", "at", "window"])
 
     each = pieces.select("core", "content", "left", "right").mapInPandas(
@@ -411,23 +439,35 @@ def _counted_windows(pieces: DataFrame, size: int) -> DataFrame:
     )
 
 
-CUT = "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept: binary, kept_sha256: string>"
+CUT = "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept: binary, kept_sha256: string, rest: binary>"
 
 
-def cut_spans(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    """What is left of each text without its spans, which may overlap."""
+def cut_spans(data: pd.Series, spans: pd.Series, passages: pd.Series) -> pd.DataFrame:
+    """What is left of each text without its spans, which may overlap; ``rest`` if passages take more than these."""
     rows = []
-    for whole, ranges in zip(data, spans, strict=True):
-        merged: list[list[int]] = []
-        for lo, hi in sorted((r["lo"], r["hi"]) for r in (ranges if ranges is not None else ())):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(hi, merged[-1][1])
-            else:
-                merged.append([lo, hi])
-        edges = [0, *[edge for span in merged for edge in span], len(whole)]
-        kept = b"".join(whole[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-        rows.append((len(whole), len(whole) - len(kept), len(merged), kept, hashlib.sha256(kept).hexdigest()))
-    return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+    for whole, ranges, others in zip(data, spans, passages, strict=True):
+        ranges = [(r["lo"], r["hi"]) for r in (ranges if ranges is not None else ())]
+        kept, n_spans = _without(whole, ranges)
+        rest = _without(whole, ranges + [(r["lo"], r["hi"]) for r in others])[0] if others is not None else kept
+        rows.append(
+            (
+                len(whole), len(whole) - len(kept), n_spans, kept, hashlib.sha256(kept).hexdigest(),
+                rest if len(rest) < len(kept) else None,
+            )
+        )
+    return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "rest"])
+
+
+def _without(whole: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The bytes outside all ranges, and the number of ranges after joining those that meet."""
+    merged: list[list[int]] = []
+    for lo, hi in sorted(ranges):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(hi, merged[-1][1])
+        else:
+            merged.append([lo, hi])
+    edges = [0, *[edge for span in merged for edge in span], len(whole)]
+    return b"".join(whole[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)), len(merged)
 
 
 def valid_text(kept: Column) -> Column:
@@ -440,13 +480,20 @@ def valid_text(kept: Column) -> Column:
 
 
 def remove_repeats(
-    docs: DataFrame, text: str = "text", length: int = LENGTH, n_words: int | None = None, **limits: int
+    docs: DataFrame,
+    text: str = "text",
+    length: int = LENGTH,
+    n_words: int | None = None,
+    rest_words: int | None = None,
+    **limits: int,
 ) -> DataFrame:
     """``docs`` with ``_cut``: sizes, spans, kept bytes and their SHA-256, every repeated byte left out.
 
     With ``n_words``, passages of so many words that occur twice are left out as well, however short they are
-    in bytes. Both are sought in the whole texts. All occurrences go, the first one too. A null text is an empty one; repeated rows make each other's
-    texts repeated. Columns of ``docs`` but the text stay as they are, one called ``_cut`` gives way.
+    in bytes. With ``rest_words``, these fields stay as they are, and ``rest`` is the bytes that passages of so
+    many words leave of the kept ones; it is null where they take none. All are sought in the whole texts. All
+    occurrences go, the first one too. A null text is an empty one; repeated rows make each other's texts
+    repeated. Columns of ``docs`` but the text stay as they are, one called ``_cut`` gives way.
     """
     spark = docs.sparkSession
     name = distinct_texts(docs, text)
@@ -458,7 +505,12 @@ def remove_repeats(
                 both = spans.unionByName(repeated_passages(texts, n_words, **limits))
                 spans = both.groupBy("key").agg(F.flatten(F.collect_list("spans")).cast(SPANS).alias("spans"))
             whole = texts.join(spans, "key", "left")
-            made = whole.select("key", "copies", F.pandas_udf(cut_spans, CUT)("data", "spans").alias("_cut"))
+            if rest_words is None:
+                whole = whole.withColumn("passages", F.lit(None).cast(SPANS))
+            else:
+                passages = repeated_passages(texts, rest_words, **limits).withColumnRenamed("spans", "passages")
+                whole = whole.join(passages, "key", "left")
+            made = whole.select("key", "copies", F.pandas_udf(cut_spans, CUT)("data", "spans", "passages").alias("_cut"))
             cut = stored(made, "cut-texts")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -35,6 +35,7 @@ from merchantlens.llm import (
 from merchantlens.llm.chunk_tokens import ChunkIds, ChunkLengths
 from merchantlens.llm.column_bwt import END, Collection
 from merchantlens.llm.components import connected_components
+from merchantlens.llm.queries import QUERIES
 
 SCHEMA = "doc_id bigint, text string, lang string, words string, key string, label int, fp bigint, n int"
 RNG = random.Random(5)
@@ -154,6 +155,50 @@ def test_repeated_passages_equal_brute_force(spark):
         assert gone == {i for i, (a, b) in enumerate(ends) if any(s["lo"] <= a and b <= s["hi"] for s in found.get(k, []))}
 
 
+@pytest.mark.parametrize("limits", [{"core_limit": 1}, {"bucket_bytes": 300}])
+def test_repeated_passages_do_not_depend_on_the_limits(spark, limits):
+    rng = random.Random(9)
+    shared = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(90)]
+    texts = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 60))] for _ in range(30)]
+    for k in range(0, 30, 2):
+        a = rng.randint(0, 50)
+        texts[k][9:9] = shared[a : a + rng.randint(20, 40)]
+    rows = [(str(k).encode(), " ".join(t).encode(), 1) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "key binary, data binary, copies bigint")
+
+    def covered(**limits):
+        found = suffix_dedup.repeated_passages(frame, 24, **limits).collect()
+        return {(r["key"], at) for r in found for s in r["spans"] for at in range(s["lo"], s["hi"])}
+
+    assert len(covered()) > 500 and covered(**limits) == covered()
+
+
+def test_parts_of_a_transform_stay_below_its_symbols():
+    core = np.repeat(np.arange(300), 700)
+    parts = suffix_dedup._parts(core, np.full(len(core), 30), suffix_dedup.CODE)
+    assert np.concatenate(parts).tolist() == list(range(len(core)))
+    assert max(30 * len(part) + 300 for part in parts) < 65_535 and max(map(len, parts)) == 1_400
+    assert not {int(core[a[-1]]) for a in parts[:-1]} & {int(core[b[0]]) for b in parts[1:]}
+    assert [len(part) for part in suffix_dedup._parts(np.arange(130_000), np.ones(130_000, int), 1)] == [60_000, 60_000, 10_000]
+
+
+def test_op4_shows_texts_without_short_passages_of_51_words(spark, tmp_path):
+    """Passages of over 50 words in under 400 bytes are no strings of 400 bytes: ``text`` is without them, the rest stays."""
+    long, short = ([f"{p}{k:03}" for k in range(n)] for p, n in (("p", 51), ("q", 50)))
+    own = [[f"{d}x{k}" for k in range(60)] for d in range(4)]
+    texts = [" ".join(w) for w in (own[0] + long + own[0][::-1], own[1] + long, short + own[2], own[3] + short)]
+    texts[1] = texts[1].replace("p020 p021", "p020\n\np021")
+    twice = "é" * 250  # 500 bytes, no passage
+    rows = list(enumerate([*texts, None, "", twice + "a", "b" + twice, texts[0]]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op4_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    assert got[1]["text"].split() == own[1] and got[1]["kept_text"] == texts[1]
+    assert (got[1]["n_removed"], got[1]["n_spans"]) == (0, 0)
+    assert got[1]["kept_sha256"] == hashlib.sha256(texts[1].encode()).hexdigest()
+    assert [got[k]["text"] for k in (0, 2, 3, 4, 5, 6, 7, 8)] == ["", texts[2], texts[3], "", "", "a", "b", ""]
+    assert [got[k]["n_removed"] for k in (0, 2, 3, 4, 5, 6, 7)] == [len(texts[0]), 0, 0, 0, 0, 500, 500]
+
+
 def fingerprint_by_bits(text: str) -> int:
     words = text.encode().lower().split()
     shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
